@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from tramline.llm import simhash
+from tramline.llm import mixing, simhash
 
 QUERIES = {
     "op4_simhash": simhash.op4_simhash,
+    "op10_mixing": mixing.op10_mixing,
+}
+ORACLES: dict[str, str] = {
+    "op10_mixing": mixing.ORACLE_OP10,
 }
-ORACLES: dict[str, str] = {}
 
 
 def queries() -> dict:
