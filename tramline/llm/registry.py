@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from tramline.llm import mixing, simhash
+from tramline.llm import mixing, secrets, simhash
 
 QUERIES = {
     "op4_simhash": simhash.op4_simhash,
+    "op9_secrets": secrets.op9_secrets,
     "op10_mixing": mixing.op10_mixing,
 }
 ORACLES: dict[str, str] = {
+    "op9_secrets": secrets.ORACLE_OP9,
     "op10_mixing": mixing.ORACLE_OP10,
 }
 
