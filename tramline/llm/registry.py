@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from tramline.llm import mixing, secrets, simhash
+from tramline.llm import mixing, secrets, simhash, urls
 
 QUERIES = {
     "op4_simhash": simhash.op4_simhash,
+    "op7_url_filter": urls.op7_url_filter,
     "op9_secrets": secrets.op9_secrets,
     "op10_mixing": mixing.op10_mixing,
 }
 ORACLES: dict[str, str] = {
+    "op7_url_filter": urls.ORACLE_OP7,
     "op9_secrets": secrets.ORACLE_OP9,
     "op10_mixing": mixing.ORACLE_OP10,
 }
