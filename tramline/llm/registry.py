@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tramline.llm import mixing, secrets, simhash, urls
+from tramline.llm import matroska, mixing, secrets, simhash, urls
 
 QUERIES = {
+    "op1_matroska": matroska.op1_matroska,
     "op4_simhash": simhash.op4_simhash,
     "op7_url_filter": urls.op7_url_filter,
     "op9_secrets": secrets.op9_secrets,
