@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tramline.llm import matroska, mixing, secrets, simhash, urls
+from tramline.llm import matroska, mixing, secrets, simhash, toxicity, urls
 
 QUERIES = {
     "op1_matroska": matroska.op1_matroska,
     "op4_simhash": simhash.op4_simhash,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op7_url_filter": urls.op7_url_filter,
     "op9_secrets": secrets.op9_secrets,
     "op10_mixing": mixing.op10_mixing,
