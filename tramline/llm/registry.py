@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tramline.llm import matroska, mixing, secrets, simhash, toxicity, urls
+from tramline.llm import matroska, mixing, quality, rules, secrets, simhash, toxicity, urls
 
 QUERIES = {
     "op1_matroska": matroska.op1_matroska,
+    "op2_quality": quality.op2_quality,
     "op4_simhash": simhash.op4_simhash,
     "op5_toxicity": toxicity.op5_toxicity,
+    "op6_quality_rules": rules.op6_quality_rules,
     "op7_url_filter": urls.op7_url_filter,
     "op9_secrets": secrets.op9_secrets,
     "op10_mixing": mixing.op10_mixing,
