@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tramline.llm import matroska, mixing, quality, rules, secrets, simhash, toxicity, urls
+from tramline.llm import matroska, mixing, pieces, quality, rules, secrets, simhash, toxicity, urls
 
 QUERIES = {
     "op1_matroska": matroska.op1_matroska,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_quality_rules": rules.op6_quality_rules,
     "op7_url_filter": urls.op7_url_filter,
+    "op8_sentencepiece": pieces.op8_sentencepiece,
     "op9_secrets": secrets.op9_secrets,
     "op10_mixing": mixing.op10_mixing,
 }
