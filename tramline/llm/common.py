@@ -31,16 +31,18 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage through reliable storage that every executor can reach.
-
-    The folder is the session's spark.checkpoint.dir; only a session without one (as in tests)
-    gets a temporary folder.
-    """
-    spark = df.sparkSession
+def scratch_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's spark.checkpoint.dir. Only a session
+    without one (as in tests) gets a temporary folder."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Cut the lineage through reliable storage that every executor can reach."""
+    scratch_dir(df.sparkSession)
     return df.checkpoint()
 
 
