@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +47,13 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """As settle, for large tables: Parquet in the shared folder takes less room than a checkpoint."""
+    at = f"{scratch_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def small(df: DataFrame, most_rows: int) -> DataFrame:
     """df with a broadcast hint if a count proves it to have at most most_rows rows; else df as it is."""
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df

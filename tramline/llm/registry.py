@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tramline.llm import matroska, mixing, pieces, quality, rules, secrets, simhash, toxicity, urls
+from tramline.llm import matroska, mixing, pieces, quality, repeats, rules, secrets, simhash, toxicity, urls
 
 QUERIES = {
     "op1_matroska": matroska.op1_matroska,
     "op2_quality": quality.op2_quality,
+    "op3_repeats": repeats.op3_repeats,
     "op4_simhash": simhash.op4_simhash,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_quality_rules": rules.op6_quality_rules,
