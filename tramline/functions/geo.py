@@ -13,7 +13,7 @@ def haversine_m(lat1: Column, lng1: Column, lat2: Column, lng2: Column, radius:
     """Great-circle distance in metres; null if any coordinate is."""
     dlat, dlng = F.radians(lat2 - lat1) / 2, F.radians(lng2 - lng1) / 2
     h = F.sin(dlat) * F.sin(dlat) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.sin(dlng) * F.sin(dlng)
-    return 2 * radius * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
+    return 2 * radius * F.asin(F.sqrt(F.when(h > 1, 1.0).otherwise(h)))
 
 
 def equirectangular_km(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:

@@ -17,6 +17,11 @@ def seconds(ts: Column) -> Column:
     return micros(ts) / F.lit(1_000_000.0)
 
 
+def elapsed_s(before: Column, after: Column) -> Column:
+    """Seconds between two timestamps, exact to the microsecond."""
+    return (micros(after) - micros(before)) / F.lit(1_000_000.0)
+
+
 def minute_gap(before: Column, after: Column) -> Column:
     """Minute boundaries between two timestamps, not elapsed minutes."""
     minute = lambda ts: F.floor(micros(ts) / 60_000_000)

@@ -62,7 +62,7 @@ def jump_filter(pings: DataFrame, max_kmh: float = 120.0, order: tuple[str, ...]
     """
     w = Window.partitionBy("vehicle_id").orderBy(*order)
     km = geo.haversine_m(F.lag("lat").over(w), F.lag("lng").over(w), F.col("lat"), F.col("lng")) / 1000
-    hours = (times.seconds(F.col("ts")) - times.seconds(F.lag("ts").over(w))) / 3600
+    hours = (times.elapsed_s(F.lag("ts").over(w), F.col("ts"))) / 3600
     speed = F.when(hours > 0, km / hours)
     return pings.withColumn("jump_kmh", speed).where(F.col("jump_kmh").isNull() | (F.col("jump_kmh") <= max_kmh))
 

@@ -33,7 +33,7 @@ def asof_nearest(left: DataFrame, right: DataFrame, by: list[str], on: str, row_
     r = right.select(*[F.col(c).alias(f"_{c}") for c in by], F.col(on).alias("_on"), *[F.col(v).alias(f"_v_{v}") for v in values])
     r = r.where(F.col("_on").isNotNull()).withColumn("_b", F.explode(F.array(*[bucket(F.col("_on")) + d for d in (-1, 0, 1)])))
     key = [F.col(c) == F.col(f"_{c}") for c in by] + [bucket(F.col(on)) == F.col("_b")]
-    gap = F.abs(times.seconds(F.col(on)) - times.seconds(F.col("_on")))
+    gap = F.abs(times.elapsed_s(F.col("_on"), F.col(on)))
     near = left.select(row_id, on, *by).join(r, key).withColumn("_gap", gap).where((F.col("_gap") < tolerance_s) if strict else (F.col("_gap") <= tolerance_s))
     best = near.groupBy(row_id).agg(F.min(F.struct("_gap", "_on", *[f"_v_{v}" for v in values])).alias("_m"))
     best = best.select(F.col(row_id).alias("_id"), F.col("_m._gap").alias("gap_s"), F.col("_m._on").alias(f"matched_{on}"), *[F.col(f"_m._v_{v}").alias(v) for v in values])

@@ -21,7 +21,7 @@ def number_segments(pings: DataFrame, gap_min: int = 20, order: tuple[str, ...]
     """pings with segment_id per vehicle: a new one after a gap of more than gap_min minute boundaries (or elapsed minutes)."""
     w = Window.partitionBy("vehicle_id").orderBy(*order)
     before = F.lag("ts").over(w)
-    gap = (times.seconds(F.col("ts")) - times.seconds(before)) / 60 if elapsed else times.minute_gap(before, F.col("ts"))
+    gap = (times.elapsed_s(before, F.col("ts"))) / 60 if elapsed else times.minute_gap(before, F.col("ts"))
     return islands(pings, ["vehicle_id"], list(order), gap > gap_min, "segment_id")
 
 
@@ -42,7 +42,7 @@ def valid_pings(segmented: DataFrame, min_pings: int = 5, min_minutes: int = 5)
 def gap_sensitivity(pings: DataFrame, thresholds_min: list[int], order: tuple[str, ...] = ("ts", "id")) -> DataFrame:
     """(threshold_min, n_breaks, n_segments) by elapsed minutes, all thresholds in one pass."""
     w = Window.partitionBy("vehicle_id").orderBy(*order)
-    gaps = pings.select(((times.seconds(F.col("ts")) - times.seconds(F.lag("ts").over(w))) / 60).alias("gap"))
+    gaps = pings.select(((times.elapsed_s(F.lag("ts").over(w), F.col("ts"))) / 60).alias("gap"))
     flags = [F.count_if(F.col("gap") > t).alias(f"b{t}") for t in thresholds_min]
     one = gaps.agg(F.count_if(F.col("gap").isNull()).alias("firsts"), *flags)
     rows = F.array(*[F.struct(F.lit(t).alias("threshold_min"), F.col(f"b{t}").alias("n_breaks")) for t in thresholds_min])
@@ -52,7 +52,7 @@ def gap_sensitivity(pings: DataFrame, thresholds_min: list[int], order: tuple[st
 def gap_quantiles(pings: DataFrame, shares: list[float], order: tuple[str, ...] = ("ts", "id")) -> DataFrame:
     """(share, gap_min): quantiles of the minutes between pings of a vehicle."""
     w = Window.partitionBy("vehicle_id").orderBy(*order)
-    gaps = pings.select(((times.seconds(F.col("ts")) - times.seconds(F.lag("ts").over(w))) / 60).alias("gap"))
+    gaps = pings.select(((times.elapsed_s(F.lag("ts").over(w), F.col("ts"))) / 60).alias("gap"))
     q = gaps.agg(F.percentile("gap", F.array(*map(F.lit, shares))).alias("q"))
     return q.select(F.posexplode("q").alias("i", "gap_min")).select(F.element_at(F.array(*map(F.lit, shares)), F.col("i") + 1).alias("share"), "gap_min")
 
@@ -75,7 +75,7 @@ def stop_visits(pings: DataFrame, keys: list[str], stop: str = "stop_id", order:
 def headways(visits: DataFrame, keys: list[str], max_min: float = 120.0, tie: str = "vehicle_id") -> DataFrame:
     """visits with headway_min since the arrival before at the same keys, where over 0 and under max_min."""
     w = Window.partitionBy(*keys).orderBy("arrival", tie)
-    gap = (times.seconds(F.col("arrival")) - times.seconds(F.lag("arrival").over(w))) / 60
+    gap = (times.elapsed_s(F.lag("arrival").over(w), F.col("arrival"))) / 60
     return visits.withColumn("headway_min", gap).where((F.col("headway_min") > 0) & (F.col("headway_min") < max_min))
 
 

@@ -80,7 +80,7 @@ def flag_aba(obs: DataFrame, within_s: float = 300.0, order: tuple[str, ...] = (
     """obs with is_ping_pong: a cell between two of one other cell that are at most within_s apart."""
     w = Window.partitionBy("imsi").orderBy(*order)
     before, after = F.lag("cell_id").over(w), F.lead("cell_id").over(w)
-    span = times.seconds(F.lead("ts").over(w)) - times.seconds(F.lag("ts").over(w))
+    span = times.elapsed_s(F.lag("ts").over(w), F.lead("ts").over(w))
     return obs.withColumn("is_ping_pong", F.coalesce((before == after) & (F.col("cell_id") != before) & (span <= within_s), F.lit(False)))
 
 
@@ -88,7 +88,7 @@ def flag_velocity(obs: DataFrame, gps_ms: float = 42.0, cell_ms: float = 80.0, m
     """obs with is_ping_pong: faster from the row before than its kind of position allows; gaps under min_gap_s are passed over."""
     w = Window.partitionBy("imsi").orderBy(*order)
     m = geo.haversine_m(F.lag("lat").over(w), F.lag("lng").over(w), F.col("lat"), F.col("lng"))
-    s = times.seconds(F.col("ts")) - times.seconds(F.lag("ts").over(w))
+    s = times.elapsed_s(F.lag("ts").over(w), F.col("ts"))
     limit = F.when(F.col("source").contains("gps"), gps_ms).otherwise(cell_ms)
     return obs.withColumn("is_ping_pong", F.coalesce((s >= min_gap_s) & (m / s > limit), F.lit(False)))
 
@@ -155,7 +155,7 @@ def trips_from_observations(obs: DataFrame, place: str = "stay_id", kind: str =
     moved = known.select("imsi", "effective_day", before(place).alias("origin"), F.col(place).alias("destination"), before("ts").alias("departure"), F.col("ts").alias("arrival"), before(kind).alias("origin_type"), F.col(kind).alias("dest_type"), geo.haversine_m(before("lat"), before("lng"), F.col("lat"), F.col("lng")).alias("distance_m"), *[F.col(c) for c in order if c not in ("ts",)])
     moved = moved.where(F.col("origin").isNotNull() & (F.col("origin") != F.col("destination")))
     number = F.row_number().over(Window.partitionBy("imsi").orderBy("arrival", *[c for c in order if c != "ts"]))
-    return moved.withColumns({"trip_no": number, "duration_min": (times.seconds(F.col("arrival")) - times.seconds(F.col("departure"))) / 60, "purpose": purpose(F.col("origin_type"), F.col("dest_type")), "period": times.telecom_period(F.col("departure")), "day_type": times.day_type(F.col("departure"))})
+    return moved.withColumns({"trip_no": number, "duration_min": (times.elapsed_s(F.col("departure"), F.col("arrival"))) / 60, "purpose": purpose(F.col("origin_type"), F.col("dest_type")), "period": times.telecom_period(F.col("departure")), "day_type": times.day_type(F.col("departure"))})
 
 
 def trips_from_stays(stays: DataFrame) -> DataFrame:

@@ -22,14 +22,14 @@ def speeds(points: DataFrame, keys: list[str] = _TRIP, at: tuple[str, ...] = ("t
     """points with speed_mps from the row before, 0 for the first and where no time passes."""
     w = Window.partitionBy(*keys).orderBy(*at)
     d = geo.haversine_m(F.lag("lat").over(w), F.lag("lng").over(w), F.col("lat"), F.col("lng"))
-    s = times.seconds(F.col("ts")) - times.seconds(F.lag("ts").over(w))
+    s = times.elapsed_s(F.lag("ts").over(w), F.col("ts"))
     return points.withColumn("speed_mps", F.coalesce(F.when(s > 0, d / s), F.lit(0.0)))
 
 
 def gaps(points: DataFrame, expected_s: float, keys: list[str] = _TRIP, at: tuple[str, ...] = ("ts", "id"), factor: float = 5.0) -> DataFrame:
     """Rows before a gap of more than factor times the expected interval, with gap_s and gap_end."""
     w = Window.partitionBy(*keys).orderBy(*at)
-    s = times.seconds(F.lead("ts").over(w)) - times.seconds(F.col("ts"))
+    s = times.elapsed_s(F.col("ts"), F.lead("ts").over(w))
     return points.withColumns({"gap_s": s, "gap_end": F.lead("ts").over(w)}).where(F.col("gap_s") > factor * expected_s)
 
 
@@ -40,7 +40,7 @@ def resample(points: DataFrame, interval_s: float, keys: list[str] = _TRIP, at:
     """
     w = Window.partitionBy(*keys).orderBy(*at)
     nxt = lambda c: F.lead(c).over(w)
-    gap = times.seconds(nxt("ts")) - times.seconds(F.col("ts"))
+    gap = times.elapsed_s(F.col("ts"), nxt("ts"))
     n = F.floor(gap / interval_s).cast("int") - 1
     if max_gap_s is not None:
         n = F.when(gap <= max_gap_s, n)
@@ -80,7 +80,7 @@ def fuse_schedule(gps: DataFrame, events: DataFrame, row_id: str = "id", within_
     bucket = lambda ts: F.floor(times.seconds(ts) / within_s)
     e = e.withColumn("_b", F.explode(F.array(*[bucket(F.col("_ts")) + d for d in (-1, 0, 1)])))
     d = geo.haversine_m(F.col("lat"), F.col("lng"), F.col("_lat"), F.col("_lng"))
-    near = gps.join(e, (F.col("trip_id") == F.col("_t")) & (bucket(F.col("ts")) == F.col("_b"))).where((F.abs(times.seconds(F.col("ts")) - times.seconds(F.col("_ts"))) <= within_s) & (d <= within_m))
+    near = gps.join(e, (F.col("trip_id") == F.col("_t")) & (bucket(F.col("ts")) == F.col("_b"))).where((F.abs(times.elapsed_s(F.col("_ts"), F.col("ts"))) <= within_s) & (d <= within_m))
     first = near.groupBy(row_id).agg(F.min(F.struct("_ts", "_lat", "_lng")).alias("m")).select(F.col(row_id).alias("_id"), "m")
     mixed = lambda c: F.coalesce(gps_weight * F.col(c) + (1 - gps_weight) * F.col(f"m._{c}"), F.col(c))
     return gps.join(first, F.col(row_id) == F.col("_id"), "left").withColumns({"lat": mixed("lat"), "lng": mixed("lng"), "source": F.when(F.col("m").isNull(), "gps").otherwise("gps+schedule")}).drop("m", "_id")
