@@ -106,10 +106,9 @@ def convex_hull(spark, sf):
     return zones.hulls(i.pings(spark, sf), "event_type").select("event_type", "n_points", F.size("hull").alias("n_corners"), F.round(geo.polygon_area_m2(F.col("hull")), 0).alias("area_m2"))
 
 
-@query("neighbour_cells", "WITH c AS (SELECT DISTINCT (user_id % 40 / 4)::INT AS row, (event_id % 30 / 3)::INT AS col FROM events WHERE event_id % 3 = 0) SELECT a.row, a.col, b.row AS row2, b.col AS col2 FROM c a JOIN c b ON abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1")
+@query("neighbour_cells", "WITH c AS (SELECT DISTINCT floor(user_id % 40 / 4)::INT AS row, floor(event_id % 30 / 3)::INT AS col FROM events WHERE event_id % 3 = 0) SELECT a.row, a.col, b.row AS row2, b.col AS col2 FROM c a JOIN c b ON abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1")
 def neighbour_cells(spark, sf):
-    half = lambda x: F.rint(x).cast("int")
-    c = table(spark, sf, "events").where("event_id % 3 = 0").select(F.round(F.col("user_id") % 40 / 4).cast("int").alias("row"), half(F.col("event_id") % 30 / 3).alias("col")).distinct()
+    c = table(spark, sf, "events").where("event_id % 3 = 0").select(F.floor(F.col("user_id") % 40 / 4).cast("int").alias("row"), F.floor(F.col("event_id") % 30 / 3).cast("int").alias("col")).distinct()
     return zones.neighbours(c)
 
 
