@@ -22,6 +22,7 @@ import re
 from collections import Counter
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,8 +32,8 @@ from tramline.llm.common import let, settle, table
 MODEL_FILE = os.environ.get("TRAMLINE_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 #: Words in the table of frequent words, at most, and their length in characters.
 FREQUENT_WORDS, FREQUENT_CHARS = 100_000, 32
-_KEPT_WORDS = 200_000
-_COUNTED = 500_000
+_KEPT_WORDS = 50_000
+_COUNTED = 200_000
 MARK = "▁"
 _WORD = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
 
@@ -168,17 +169,17 @@ def frequent_words(docs: DataFrame, most: int = FREQUENT_WORDS, text_col: str =
 class Encoder:
     """Encodes and decodes texts in one process; keeps the ids of up to _KEPT_WORDS rare words."""
 
-    def __init__(self, pieces: Pieces, frequent: dict[str, list[int]]):
+    def __init__(self, pieces: Pieces, frequent: dict[str, tuple[int, ...]]):
         self.frequent, self.kept, self.base, self.merges = frequent, {}, pieces.byte_base, pieces.merges
         self.ids = {p: (i, s) for p, i, s in pieces.rows}
         self.longest = pieces.longest
         self.raw = {i: p.replace(MARK, " ").encode() for p, i, _ in pieces.rows} | {self.base + b: bytes([b]) for b in range(256)}
 
-    def word(self, word: str) -> list[int]:
+    def word(self, word: str) -> tuple[int, ...]:
         found = self.frequent.get(word)
         if found is None and (found := self.kept.get(word)) is None:
             borders = self._merged(word) if self.merges else self._viterbi(word)
-            found = [i for a, b in zip(borders, borders[1:]) for i in self._piece(word[a:b])]
+            found = tuple(i for a, b in zip(borders, borders[1:]) for i in self._piece(word[a:b]))
             if len(word) <= 256:
                 if len(self.kept) >= _KEPT_WORDS:
                     self.kept.clear()
@@ -250,14 +251,20 @@ class Codec:
         pieces = pieces or load_pieces()
         often = settle(frequent_words(docs, text_col=text_col).select("word"))
         ids = segment(lattice(often, piece_table(spark, pieces), pieces.longest), pieces.merges, pieces.byte_base)
-        frequent = {r["word"]: list(r["ids"]) for r in ids.collect()}
+        rows = ids.collect()
+        flat = np.fromiter((i for r in rows for i in r["ids"]), np.int32)
         self.key = os.urandom(8).hex()
-        self.sent = spark.sparkContext.broadcast((pieces, frequent))
+        self.sent = spark.sparkContext.broadcast((pieces, [r["word"] for r in rows], flat, [len(r["ids"]) for r in rows]))
 
     def here(self) -> Encoder:
+        """The encoder of this process. Numbers are shared among the words, which keeps it small."""
         if self.key not in _ENCODERS:
             _ENCODERS.clear()
-            _ENCODERS[self.key] = Encoder(*self.sent.value)
+            pieces, often, flat, sizes = self.sent.value
+            shared: dict[int, int] = {}
+            every = [shared.setdefault(i, i) for i in flat.tolist()]
+            ends = np.cumsum(sizes).tolist()
+            _ENCODERS[self.key] = Encoder(pieces, {w: tuple(every[e - n : e]) for w, n, e in zip(often, sizes, ends)})
         return _ENCODERS[self.key]
 
     def __getstate__(self):
@@ -304,15 +311,17 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     def digest(batches):
         encoder = codec.here()
         for batch in batches:
-            rows = []
-            for ids in batch.column(1).to_pylist():
-                text = encoder.decode(ids)
-                rows.append((len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest(), len(text)))
-            cols = list(zip(*rows)) if rows else [()] * 4
-            arrays = [pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "decoded_chars"])
-
-    return encode(docs, codec).mapInArrow(digest, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, decoded_chars long")
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                rows = []
+                for text in part.column(1).to_pylist():
+                    ids = encoder.encode(text)
+                    back = encoder.decode(ids)
+                    rows.append((len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), len(back)))
+                arrays = [pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.string(), pa.string(), pa.int64()))]
+                yield pa.RecordBatch.from_arrays([part.column(0), *arrays], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "decoded_chars"])
+
+    return docs.select("doc_id", "text").mapInArrow(digest, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, decoded_chars long")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
