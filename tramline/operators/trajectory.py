@@ -93,10 +93,55 @@ def tower_positions(events: DataFrame, towers: DataFrame, near_km: float = 2.0)
     o = t.select(F.col("tower_id").alias("_o"), F.col("lat").alias("_lat"), F.col("lng").alias("_lng"), F.explode(F.array(*[F.struct((F.col("x") + i).alias("x"), (F.col("y") + j).alias("y")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("c"))
     pairs = t.join(o, (F.col("x") == F.col("c.x")) & (F.col("y") == F.col("c.y"))).where(geo.haversine_m(F.col("lat"), F.col("lng"), F.col("_lat"), F.col("_lng")) <= near_km * 1000)
     w = F.when(F.col("tower_id") == F.col("_o"), 1.0).otherwise(0.5)
-    placed = pairs.groupBy("tower_id").agg((F.sum(w * F.col("_lat")) / F.sum(w)).alias("lat"), (F.sum(w * F.col("_lng")) / F.sum(w)).alias("lng"), F.least(F.lit(0.6), 0.3 + 0.1 * (F.count(F.lit(1)) - 1)).alias("confidence"))
+    placed = pairs.groupBy("tower_id").agg((F.sum(w * F.col("_lat")) / F.sum(w)).alias("lat"), (F.sum(w * F.col("_lng")) / F.sum(w)).alias("lng"), F.least(F.lit(0.6), 0.3 + 0.1 * F.count(F.lit(1))).alias("confidence"))
     return events.join(placed, "tower_id", "left")
 
 
+def tower_track(placed: DataFrame, keys: list[str] = _TRIP, at: tuple[str, ...] = ("ts", "id"), reach: float = 0.3) -> DataFrame:
+    """placed (keys, at, lat, lng, tower_lat, tower_lng, radius_m) with each place drawn on from the tower in the direction of travel.
+
+    The shift is at most reach times the radius. A place depends on the one put out before it, so a
+    trip, of bounded length, is one group.
+    """
+    import pandas as pd
+
+    names, schema = placed.columns, placed.schema
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(list(at), kind="stable").reset_index(drop=True)
+        lat, lng = pdf["lat"].to_numpy(copy=True), pdf["lng"].to_numpy(copy=True)
+        base_lat, base_lng, radius = pdf["tower_lat"].to_numpy(), pdf["tower_lng"].to_numpy(), pdf["radius_m"].to_numpy()
+        for k in range(1, len(pdf)):
+            dy, dx = lat[k] - lat[k - 1], lng[k] - lng[k - 1]
+            far = (dy * dy + dx * dx) ** 0.5
+            if far > 0:
+                step = min(radius[k] / 111_000 * reach, far) / far
+                lat[k], lng[k] = base_lat[k] + dy * step, base_lng[k] + dx * step
+        return pdf.assign(lat=lat, lng=lng)[names]
+
+    return placed.where(F.col("lat").isNotNull() & F.col("tower_lat").isNotNull()).groupBy(*keys).applyInPandas(run, schema)
+
+
+def gps_track(points: DataFrame, interval_s: float, max_gap_s: float = 60.0, keys: list[str] = _TRIP, at: tuple[str, ...] = ("ts", "id")) -> DataFrame:
+    """Points with neighbours put in across gaps of up to max_gap_s, smoothed, with source gps or interpolated and a speed."""
+    filled = resample(points, interval_s, keys, at, max_gap_s).withColumn("source", F.when(F.col("step") == 0, "gps").otherwise("interpolated"))
+    order = (*at, "step")
+    return speeds(smooth(filled, keys, order), keys, order)
+
+
+def schedule_track(stop_times: DataFrame, interval_s: float, keys: list[str] = _TRIP) -> DataFrame:
+    """Positions along a schedule: its stop events (trip_id, arrival_ts, departure_ts, lat, lng, id) and places between them in steps of interval_s."""
+    events = stop_events(stop_times)
+    track = resample(events, interval_s, keys, ("ts", "id", "kind"))
+    return track.withColumn("source", F.when(F.col("step") == 0, F.col("kind")).otherwise("interpolated"))
+
+
+def source_shares(points: DataFrame, keys: list[str] = _TRIP) -> DataFrame:
+    """Points, those put in, and their share by key."""
+    made = F.count_if(F.col("source") == "interpolated")
+    return points.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_points"), made.alias("n_interpolated"), (made / F.count(F.lit(1))).alias("interpolated_share"))
+
+
 def accuracy(truth: DataFrame, found: DataFrame, row_id: str = "id", within_s: float = 5.0) -> DataFrame:
     """One row for each algorithm of found (algorithm, trip_id, ts, lat, lng, confidence): errors against truth by nearest time, coverage and quality."""
     names = [r[0] for r in found.select("algorithm").distinct().orderBy("algorithm").collect()]

@@ -192,13 +192,36 @@ def gtfs_times(spark, sf):
 _NEAR = i.HAVERSINE.format("t.lat", "t.lng", "o.lat", "o.lng")
 
 
-@query("tower_positions", f"WITH {i.STOPS}, p AS (SELECT t.stop_id, o.lat, o.lng, CASE WHEN t.stop_id = o.stop_id THEN 1.0 ELSE 0.5 END AS w FROM stops t JOIN stops o ON {_NEAR} <= 6000), x AS (SELECT stop_id, sum(w * lat) / sum(w) AS lat, sum(w * lng) / sum(w) AS lng, least(0.6, 0.3 + 0.1 * (count(*) - 1)) AS confidence FROM p GROUP BY 1) SELECT event_id, round(lat, 7) AS lat, round(lng, 7) AS lng, round(confidence, 7) AS confidence FROM events JOIN x ON x.stop_id = event_id % 40")
+@query("tower_positions", f"WITH {i.STOPS}, p AS (SELECT t.stop_id, o.lat, o.lng, CASE WHEN t.stop_id = o.stop_id THEN 1.0 ELSE 0.5 END AS w FROM stops t JOIN stops o ON {_NEAR} <= 6000), x AS (SELECT stop_id, sum(w * lat) / sum(w) AS lat, sum(w * lng) / sum(w) AS lng, least(0.6, 0.3 + 0.1 * count(*)) AS confidence FROM p GROUP BY 1) SELECT event_id, round(lat, 7) AS lat, round(lng, 7) AS lng, round(confidence, 7) AS confidence FROM events JOIN x ON x.stop_id = event_id % 40")
 def tower_positions(spark, sf):
     towers = i.stops(spark).withColumnRenamed("stop_id", "tower_id")
     e = table(spark, sf, "events").select("event_id", (F.col("event_id") % 40).cast("int").alias("tower_id"))
     return rounded(trajectory.tower_positions(e, towers, 6.0).select("event_id", "lat", "lng", "confidence"), 7)
 
 
+@query("gps_track", f"WITH {_LEADS}, n AS (SELECT vehicle_id, greatest(0, coalesce(CASE WHEN gap <= 7200 THEN floor(gap / 600)::INT - 1 END, 0)) AS k FROM x) SELECT vehicle_id AS trip_id, (count(*) + sum(k))::BIGINT AS n_points, sum(k)::BIGINT AS n_interpolated, round(sum(k) / (count(*) + sum(k)), 6) AS interpolated_share FROM n GROUP BY 1")
+def gps_track(spark, sf):
+    return rounded(trajectory.source_shares(trajectory.gps_track(_track(spark, sf), 600.0, 7200.0)), 6)
+
+
+@query("schedule_track", "WITH e AS (SELECT o_custkey, o_orderkey AS id, o_orderdate + to_seconds(o_orderkey % 7000) AS a, o_orderkey % 900 AS w FROM orders WHERE o_custkey < 100), s AS (SELECT o_custkey, a AS ts FROM e UNION ALL SELECT o_custkey, a + to_seconds(w) FROM e WHERE w > 0) SELECT o_custkey AS trip_id, count(*) AS n_events, min(ts) AS first_ts, max(ts) AS last_ts FROM s GROUP BY 1")
+def schedule_track(spark, sf):
+    k = F.col("o_orderkey")
+    later = lambda s, t: F.timestamp_add("SECOND", s, t)
+    o = table(spark, sf, "orders").where("o_custkey < 100").select(F.col("o_custkey").alias("trip_id"), k.alias("id"), later(k % 7000, F.col("o_orderdate")).alias("arrival_ts"), (F.lit(18.9) + k % 40 * 0.01).alias("lat"), (F.lit(72.8) + k % 30 * 0.01).alias("lng"), (k % 900).alias("w"))
+    track = trajectory.schedule_track(o.withColumn("departure_ts", later(F.col("w"), F.col("arrival_ts"))).drop("w"), 864000.0)
+    return track.where("step = 0").groupBy("trip_id").agg(F.count(F.lit(1)).alias("n_events"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+
+
+@query("tower_track")
+def tower_track(spark, sf):
+    """Places of tower events drawn along the direction of travel."""
+    towers = i.stops(spark).withColumnRenamed("stop_id", "tower_id")
+    e = _track(spark, sf).select("trip_id", "id", "ts", (F.col("id") % 40).cast("int").alias("tower_id"))
+    placed = trajectory.tower_positions(e, towers, 6.0).join(towers.select("tower_id", F.col("lat").alias("tower_lat"), F.col("lng").alias("tower_lng")), "tower_id").withColumn("radius_m", F.lit(500.0))
+    return rounded(trajectory.tower_track(placed).select("id", "lat", "lng", "confidence"), 6)
+
+
 @query("stream_tumbling", "SELECT time_bucket(INTERVAL '6 hours', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def stream_tumbling(spark, sf):
     s = windows.with_clock(windows.stream_table(spark, sf, "events"))
