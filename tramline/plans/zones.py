@@ -240,3 +240,56 @@ def stream_sessions(spark, sf):
 def time_labels(spark, sf):
     t = F.col("ts")
     return table(spark, sf, "events").select("event_id", times.day_type(t).alias("day_type"), times.effective_day(t).alias("effective_day"), times.in_hours(t, 20, 7).alias("home_time"), times.in_hours(t, 7, 20).alias("work_time"))
+
+
+_LINES = "lines AS (SELECT k AS edge_id, 18.9::DOUBLE + k * 0.02::DOUBLE AS lat FROM range(20) t(k))"
+
+
+def _lines(spark):
+    k = F.col("id")
+    lat = F.lit(18.9) + k * F.lit(0.02)
+    return spark.range(20).select(k.alias("edge_id"), lat.alias("lat1"), F.lit(72.7).alias("lng1"), lat.alias("lat2"), F.lit(73.2).alias("lng2"))
+
+
+@query("near_edges", f"WITH {i.PINGS}, {_LINES} SELECT id, edge_id, round(abs(pings.lat - lines.lat) * 111320.0::DOUBLE, 4) AS distance_m FROM pings JOIN lines ON abs(pings.lat - lines.lat) * 111320.0::DOUBLE <= 500")
+def near_edges(spark, sf):
+    from tramline.operators import barriers
+
+    return rounded(barriers.near_edges(i.pings(spark, sf), _lines(spark), 500.0))
+
+
+@query("tag_barriers", f"WITH {i.PINGS}, {_LINES}, x AS (SELECT id, edge_id, abs(pings.lat - lines.lat) * 111320.0::DOUBLE AS d FROM pings JOIN lines ON abs(pings.lat - lines.lat) * 111320.0::DOUBLE <= 300) SELECT pings.id AS cell, arg_min(edge_id, (d, edge_id)) AS barrier FROM pings LEFT JOIN x USING (id) GROUP BY 1")
+def tag_barriers(spark, sf):
+    from tramline.operators import barriers
+
+    return barriers.tag_barriers(i.pings(spark, sf).withColumnRenamed("id", "cell"), _lines(spark), 300.0).select("cell", "barrier")
+
+
+@query("building_proxies", f"WITH {i.PINGS}, b AS (SELECT floor(lat / 0.05::DOUBLE)::BIGINT AS row, floor(lng / 0.05::DOUBLE)::BIGINT AS col, speed AS area, stop_id % 4 + 1 AS lv FROM pings), c AS (SELECT DISTINCT row, col + d AS col FROM b, (VALUES (0), (1)) v(d)), f AS (SELECT row, col, count(*) AS n, sum(area) AS a, avg(lv) AS l, sum(area * lv / 30.0) AS p FROM b GROUP BY ALL) SELECT row, col, coalesce(n, 0) AS n_buildings, round(coalesce(a, 0), 4) AS building_area_m2, round(coalesce(l, 1), 4) AS mean_levels, round(coalesce(p, 0), 4) AS population FROM c LEFT JOIN f USING (row, col)")
+def building_proxies(spark, sf):
+    from tramline.operators import barriers
+
+    b = i.pings(spark, sf).select("lat", "lng", F.col("speed").alias("area_m2"), (F.col("stop_id") % 4 + 1).alias("levels"))
+    c = barriers.to_cells(b, 0.05).select("row", F.explode(F.array(F.col("col"), F.col("col") + 1)).alias("col")).distinct()
+    return rounded(barriers.building_proxies(c, b, 0.05))
+
+
+@query("road_lengths")
+def road_lengths(spark, sf):
+    """Road length by class and cell."""
+    from tramline.operators import barriers
+
+    p = table(spark, sf, "part").where("p_partkey < 500")
+    k = F.col("p_partkey")
+    e = p.select(F.element_at(F.array(F.lit("primary"), F.lit("local")), (k % 2 + 1).cast("int")).alias("road_class"), (F.lit(18.9) + k % 20 * 0.01).alias("lat1"), (F.lit(72.8) + k % 30 * 0.01).alias("lng1"), (F.lit(18.9) + k % 21 * 0.01).alias("lat2"), (F.lit(72.8) + k % 31 * 0.01).alias("lng2"))
+    return rounded(barriers.road_lengths(e, 0.05, ["primary", "local"]))
+
+
+@query("corridor_permeability", f"WITH {_LINES}, f AS (SELECT event_id AS id, 18.9::DOUBLE + (event_id % 39) * 0.01::DOUBLE AS lat, CASE event_type WHEN 'view' THEN 1.0 WHEN 'click' THEN 0.5 WHEN 'error' THEN 0.2 ELSE 0 END AS w FROM events), s AS (SELECT edge_id, sum(w) AS w FROM lines JOIN f ON abs(lines.lat - f.lat) * 111320.0::DOUBLE <= 20 GROUP BY 1), l AS (SELECT edge_id, {i.HAVERSINE.format('lat', '72.7::DOUBLE', 'lat', '73.2::DOUBLE')} / 1000 AS km FROM lines) SELECT edge_id, round(coalesce(w, 0) / km, 6) AS permeability FROM l LEFT JOIN s USING (edge_id)")
+def corridor_permeability(spark, sf):
+    from tramline.operators import barriers
+
+    e = table(spark, sf, "events")
+    f = e.select(F.col("event_id").alias("id"), (F.lit(18.9) + (F.col("event_id") % 39) * F.lit(0.01)).alias("lat"), F.lit(72.9).alias("lng"), (F.col("event_type") == "view").alias("bridge"), (F.col("event_type") == "click").alias("footbridge"), (F.col("event_type") == "error").alias("crossing"))
+    found = barriers.corridor_permeability(barriers.permeability_features(f), _lines(spark))
+    return rounded(found.select("edge_id", "permeability"), 6)
