@@ -12,7 +12,7 @@ def city_key(name: Column) -> Column:
 
 
 def place_of_folder(folder: Column) -> Column:
-    """mumbai_maharashtra_india as Mumbai, Maharashtra, India."""
+    """old_town_country as Old, Town, Country."""
     return F.array_join(F.transform(F.split(folder, "_"), lambda p: F.initcap(p)), ", ")
 
 

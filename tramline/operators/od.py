@@ -73,8 +73,8 @@ def zero_fill(od: DataFrame, zones: DataFrame, zone: str = "zone", most: int = 5
     n = ids.count()
     if n > most:
         raise ValueError(f"{n} zones give {n * n} pairs; at most {most} zones are filled")
-    listed = ids.agg(F.collect_list(zone).alias("_all"))
-    pairs = listed.select(F.explode("_all").alias("origin"), "_all").select("origin", F.explode("_all").alias("destination"))
+    listed = ids.agg(F.collect_list(zone).alias("_all")).withColumn("_k", F.lit(1))
+    pairs = ids.select(F.col(zone).alias("origin"), F.lit(1).alias("_k")).join(F.broadcast(listed), "_k").select("origin", F.explode("_all").alias("destination"))
     sums = od.groupBy("origin", "destination").agg(F.sum("flow").alias("flow"))
     return pairs.join(sums, ["origin", "destination"], "left").fillna(0.0, ["flow"])
 

@@ -127,13 +127,16 @@ def grow_regions(cells: DataFrame, edges: DataFrame, area: str, target: float, l
 def skim(zones: DataFrame, zone: str = "zone_id", most: int = 20_000) -> DataFrame:
     """(origin, destination, distance_km) for all ordered pairs of zone centroids, up to `most` zones.
 
-    The all-pairs matrix is the result asked for. The zones are listed once and exploded beside each origin.
+    The all-pairs matrix is the result asked for. The list of zones, bounded by `most`, is sent to all
+    tasks, and each origin explodes it.
     """
     n = zones.limit(most + 1).count()
     if n > most:
         raise ValueError(f"more than {most} zones")
-    listed = zones.groupBy().agg(F.collect_list(F.struct(F.col(zone).alias("z"), "lat", "lng")).alias("_all"))
-    pairs = listed.select(F.explode("_all").alias("o"), "_all").select("o", F.explode("_all").alias("d"))
+    place = F.struct(F.col(zone).alias("z"), "lat", "lng")
+    listed = zones.groupBy().agg(F.collect_list(place).alias("_all")).withColumn("_k", F.lit(1))
+    origins = zones.repartition(zone).select(place.alias("o"), F.lit(1).alias("_k"))
+    pairs = origins.join(F.broadcast(listed), "_k").select("o", F.explode("_all").alias("d"))
     d = geo.haversine_m(F.col("o.lat"), F.col("o.lng"), F.col("d.lat"), F.col("d.lng")) / 1000
     return pairs.select(F.col("o.z").alias("origin"), F.col("d.z").alias("destination"), d.alias("distance_km"))
 
