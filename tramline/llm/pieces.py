@@ -19,6 +19,7 @@ import hashlib
 import heapq
 import os
 import re
+from array import array
 from collections import Counter
 from dataclasses import dataclass
 
@@ -31,8 +32,8 @@ from tramline.llm.common import let, settle, table
 
 MODEL_FILE = os.environ.get("TRAMLINE_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 #: Words in the table of frequent words, at most, and their length in characters.
-FREQUENT_WORDS, FREQUENT_CHARS = 100_000, 32
-_KEPT_WORDS = 50_000
+FREQUENT_WORDS, FREQUENT_CHARS = 200_000, 32
+_KEPT_WORDS = 100_000
 _COUNTED = 200_000
 MARK = "▁"
 _WORD = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
@@ -137,7 +138,7 @@ def piece_table(spark: SparkSession, pieces: Pieces) -> DataFrame:
 
 
 def frequent_words(docs: DataFrame, most: int = FREQUENT_WORDS, text_col: str = "text") -> DataFrame:
-    """(word, n): words counted often, at most `most` of them, over all texts.
+    """(word, n): words between blanks that are counted often, at most `most` of them, over all texts.
 
     Each task counts up to a fixed number of distinct words at a time and passes on those it met
     three times or more. This only decides which words go through the relations.
@@ -147,14 +148,14 @@ def frequent_words(docs: DataFrame, most: int = FREQUENT_WORDS, text_col: str =
         counts: Counter = Counter()
 
         def flush():
-            often = [(w, n) for w, n in counts.items() if n > 2 and len(w) <= FREQUENT_CHARS]
+            often = [(MARK + w, n) for w, n in counts.items() if n > 2 and 0 < len(w) < FREQUENT_CHARS and "\n" not in w and MARK not in w]
             counts.clear()
             return pa.RecordBatch.from_arrays([pa.array([w for w, _ in often], pa.string()), pa.array([n for _, n in often], pa.int64())], names=["word", "n"])
 
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 for text in batch.column(0).slice(at, 64).to_pylist():
-                    counts.update(words(text))
+                    counts.update((text or "").split(" "))
                 if len(counts) > _COUNTED:
                     yield flush()
         yield flush()
@@ -167,35 +168,79 @@ def frequent_words(docs: DataFrame, most: int = FREQUENT_WORDS, text_col: str =
 
 
 class Encoder:
-    """Encodes and decodes texts in one process; keeps the ids of up to _KEPT_WORDS rare words."""
+    """Encodes and decodes texts in one process; keeps the ids of up to _KEPT_WORDS rare words beside the frequent ones."""
 
     def __init__(self, pieces: Pieces, frequent: dict[str, tuple[int, ...]]):
-        self.frequent, self.kept, self.base, self.merges = frequent, {}, pieces.byte_base, pieces.merges
-        self.ids = {p: (i, s) for p, i, s in pieces.rows}
+        self.base, self.merges = pieces.byte_base, pieces.merges
+        # Ids by what stands between two blanks, its one leading mark left out; and by word.
+        self.frequent = {w[1:]: ids for w, ids in frequent.items() if w[0] == MARK and w[1:2] not in ("", MARK)}
+        self.known, self.inner = dict(self.frequent), {}
+        self.id_of = {p: i for p, i, _ in pieces.rows}
+        self.scores = {p: s for p, _, s in pieces.rows}
         self.longest = pieces.longest
-        self.raw = {i: p.replace(MARK, " ").encode() for p, i, _ in pieces.rows} | {self.base + b: bytes([b]) for b in range(256)}
+        self.raw = [b""] * (max(self.base + 255, *(i for _, i, _ in pieces.rows)) + 1)
+        for p, i, _ in pieces.rows:
+            self.raw[i] = p.replace(MARK, " ").encode()
+        for b in range(256):
+            self.raw[self.base + b] = bytes([b])
 
     def word(self, word: str) -> tuple[int, ...]:
-        found = self.frequent.get(word)
-        if found is None and (found := self.kept.get(word)) is None:
+        found = self.known.get(word[1:]) if word[0] == MARK else self.inner.get(word)
+        return self._new(word) if found is None else found
+
+    def _part(self, part: str) -> tuple[int, ...]:
+        """The ids of a mark and a part without blanks and marks."""
+        if "\n" not in part:
+            found = self._new(MARK + part)
+        else:
+            found = tuple([i for w in _WORD.findall(MARK + part) for i in self.word(w)])
+        if len(part) <= 256:
+            if len(self.known) >= len(self.frequent) + _KEPT_WORDS:
+                self.known = dict(self.frequent)
+            self.known[part] = found
+        return found
+
+    def _new(self, word: str) -> tuple[int, ...]:
+        if self.merges and len(word) <= 64:
+            parts = self._short(word)
+        else:
             borders = self._merged(word) if self.merges else self._viterbi(word)
-            found = tuple(i for a, b in zip(borders, borders[1:]) for i in self._piece(word[a:b]))
-            if len(word) <= 256:
-                if len(self.kept) >= _KEPT_WORDS:
-                    self.kept.clear()
-                self.kept[word] = found
+            parts = [word[a:b] for a, b in zip(borders, borders[1:])]
+        try:
+            found = tuple([self.id_of[p] for p in parts])
+        except KeyError:
+            found = tuple([i for p in parts for i in self._piece(p)])
+        if word[0] != MARK and len(word) <= 256:
+            if len(self.inner) >= _KEPT_WORDS // 2:
+                self.inner.clear()
+            self.inner[word] = found
         return found
 
     def _piece(self, part: str) -> list[int]:
-        got = self.ids.get(part)
-        return [got[0]] if got else [self.base + b for b in part.encode("utf-8", "surrogatepass")]
+        got = self.id_of.get(part)
+        return [got] if got is not None else [self.base + b for b in part.encode("utf-8", "surrogatepass")]
+
+    def _short(self, word: str) -> list[str]:
+        """As fold_merges, for words of few characters: the best of the scores of neighbours, until there is none."""
+        get, none = self.scores.get, -float("inf")
+        parts = list(word)
+        scores = [get(a + b, none) for a, b in zip(parts, parts[1:])]
+        while scores and (best := max(scores)) > none:
+            i = scores.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del scores[i]
+            if i:
+                scores[i - 1] = get(parts[i - 1] + parts[i], none)
+            if i < len(scores):
+                scores[i] = get(parts[i] + parts[i + 1], none)
+        return parts
 
     def _merged(self, word: str) -> list[int]:
         """As fold_merges, with a heap of the edges over two neighbours."""
-        n, ids = len(word), self.ids
+        n, ids = len(word), self.scores
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         alive = [True] * n
-        heap = [(-got[1], i, i + 2) for i in range(n - 1) if (got := ids.get(word[i : i + 2]))]
+        heap = [(-got, i, i + 2) for i in range(n - 1) if (got := ids.get(word[i : i + 2])) is not None]
         heapq.heapify(heap)
         while heap:
             _, i, j = heapq.heappop(heap)
@@ -205,11 +250,11 @@ class Encoder:
             if j < n:
                 before[j] = i
                 if (got := ids.get(word[i : after[j]])) is not None:
-                    heapq.heappush(heap, (-got[1], i, after[j]))
+                    heapq.heappush(heap, (-got, i, after[j]))
             if i > 0:
                 left = before[i]
                 if (got := ids.get(word[left:j])) is not None:
-                    heapq.heappush(heap, (-got[1], left, j))
+                    heapq.heappush(heap, (-got, left, j))
         return [i for i in range(n) if alive[i]] + [n]
 
     def _viterbi(self, word: str, unknown: float = -1e4) -> list[int]:
@@ -218,8 +263,8 @@ class Encoder:
         for j in range(1, len(word) + 1):
             top = (best[j - 1] + unknown, 1 - j)
             for i in range(max(0, j - self.longest), j):
-                if (got := self.ids.get(word[i:j])) is not None:
-                    top = max(top, (best[i] + got[1], -i))
+                if (got := self.scores.get(word[i:j])) is not None:
+                    top = max(top, (best[i] + got, -i))
             best.append(top[0])
             last.append(-top[1])
         path = [len(word)]
@@ -228,11 +273,29 @@ class Encoder:
         return path[::-1]
 
     def encode(self, text: str | None) -> list[int]:
+        if not text:
+            return []
         out: list[int] = []
-        frequent, one = self.frequent, self.word
-        for w in words(text):
-            out += frequent.get(w) or one(w)
-        return out
+        if MARK in text:
+            for w in words(text):
+                out += self.word(w)
+            return out
+        get, blanks = self.known.get, 0
+        for part in text.split(" "):
+            if not part:
+                blanks += 1
+                continue
+            if blanks:
+                for w in _WORD.findall(MARK * (blanks + 1) + part):
+                    out += self._new(w) if w[0] == MARK else self.word(w)
+                blanks = 0
+                continue
+            found = get(part)
+            if found is None:
+                found = self._part(part)
+                get = self.known.get
+            out += found
+        return out + list(self._new(MARK * blanks)) if blanks else out
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: pieces joined, marks as spaces, without the first one."""
@@ -303,7 +366,7 @@ def decode(encoded: DataFrame, codec: Codec, id_col: str = "doc_id") -> DataFram
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (of the ids joined by spaces), decoded_sha256, decoded_chars of every document."""
+    """doc_id, n_tokens, ids_sha256 (of the ids as 32-bit numbers), decoded_sha256, decoded_chars of every document."""
     docs = table(spark, sf_dir, "documents")
     codec = Codec(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -317,7 +380,7 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
                 for text in part.column(1).to_pylist():
                     ids = encoder.encode(text)
                     back = encoder.decode(ids)
-                    rows.append((len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), len(back)))
+                    rows.append((len(ids), hashlib.sha256(array("i", ids).tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), len(back)))
                 arrays = [pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.string(), pa.string(), pa.int64()))]
                 yield pa.RecordBatch.from_arrays([part.column(0), *arrays], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "decoded_chars"])
 
