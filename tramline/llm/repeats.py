@@ -208,12 +208,13 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     spark = docs.sparkSession
     every = stored(contexts(docs, id_col, text_col))
     shared = every.groupBy("h").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1")).where("d0 < d1").select("h")
+    shared = stored(shared)  # joins of stored tables have plain shuffles on both sides, which are split where a key is hot
     kept = stored(every.join(shared, "h", "left_semi"))
-    content = kept.groupBy("h", "c1", "c2").agg(F.min("doc_id").alias("d"))
+    content = stored(kept.groupBy("h", "c1", "c2").agg(F.min("doc_id").alias("d")))
     each = stored(kept.join(content, ["h", "c1", "c2"]))
     settled = each.where("d < doc_id").select("doc_id", "lo", "hi")
     first = each.where("d = doc_id")
-    many = first.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("c1").alias("a"), F.max("c1").alias("b")).where("a < b")
+    many = stored(first.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("c1").alias("a"), F.max("c1").alias("b")).where("a < b"))
     open_ = stored(first.join(many, "h").select("doc_id", "h", "lo", "hi", (F.col("n") > HOT_CONTEXTS).alias("hot")))
     places = open_.groupBy("doc_id").agg(F.collect_list(F.struct("h", "lo", "hi", "hot")).cast(_PLACES).alias("places"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -222,7 +223,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     groups = max(1, open_.where("not hot").count() // GROUP_CONTEXTS + 1)
     cold = cut.where("words is not null").withColumn("g", F.pmod(F.xxhash64("h"), F.lit(groups))).groupBy("g").applyInPandas(_group_repeats, "doc_id long, lo long, hi long")
     windows = cut.where("words is null").select("doc_id", "lo", "hi", "w1", "w2")
-    least = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("d"), F.max("doc_id").alias("e")).where("d < e")
+    least = stored(windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("d"), F.max("doc_id").alias("e")).where("d < e"))
     hot = windows.join(least, ["w1", "w2"]).where(F.col("d") < F.col("doc_id")).select("doc_id", "lo", "hi")
     return settled.unionByName(cold).unionByName(hot)
 
