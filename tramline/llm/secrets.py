@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.llm.common import table, text_of
+from tramline.llm.common import settle, table, text_of
 
 _ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 
@@ -108,7 +108,8 @@ def findings(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[
     place = F.coalesce(*[F.when(F.col("rule") == r.key, F.lit(i)) for i, r in enumerate(rules)])
     hits = rows.where(F.size("spans") > 0).withColumn("_nth", place).where(F.col("_nth").isNotNull())
     each = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.col("_nth").alias("nth"), s["end"].alias("end")))
-    per_blob = hits.groupBy("blob").agg(F.sort_array(F.flatten(F.collect_list(each))).alias("found"))
+    # Settled, so that the join below shuffles both sides plainly and a blob with many copies is split.
+    per_blob = settle(hits.groupBy("blob").agg(F.sort_array(F.flatten(F.collect_list(each))).alias("found")))
     none = F.array().cast("array<struct<start:bigint,nth:int,end:bigint>>")
     joined = addressed(versions, text_col).join(per_blob, "blob", "left")
     return joined.withColumn("found", F.coalesce("found", none)).drop("blob")
