@@ -169,7 +169,7 @@ def simulated_gps(spark, sf):
     return rounded(population.noisy_gps(i.pings(spark, sf), "id").select("id", "lat", "lng"), 6)
 
 
-@query("partial_routes")
+@query("partial_routes", "SELECT l_orderkey AS trip_id, least(count(*), greatest(3, round(count(*) * 0.6)))::INT AS n_kept, count(*)::INT AS n_stops FROM lineitem GROUP BY 1 HAVING count(*) >= 4")
 def partial_routes(spark, sf):
     """Seeded ordered parts of routes."""
     t = i.trips(spark, sf).where(F.size("stops") >= 4)

@@ -90,7 +90,11 @@ def _stays(spark, sf):
     )
 
 
-@query("home_work")
+_HOME = "least(1.0, duration_hours / 8) * 0.5 + 0.3 * least(1.0, visit_count / 3.0) + 0.2 * least(1.0, ln(1 + observation_count) / ln(101))"
+_FAR = i.HAVERSINE.format("(max(lat) FILTER (hn = 1) OVER (PARTITION BY imsi))", "(max(lng) FILTER (hn = 1) OVER (PARTITION BY imsi))", "lat", "lng")
+
+
+@query("home_work", f"WITH {i.OBS}, st AS (SELECT imsi, cell_id AS stay_id, count(*)::INT AS observation_count, count(DISTINCT ts::DATE)::INT AS visit_count, round(sum(confidence) / 2, 6) AS duration_hours, avg(lat) AS lat, avg(lng) AS lng FROM obs GROUP BY 1, 2), h AS (SELECT *, row_number() OVER (PARTITION BY imsi ORDER BY {_HOME} DESC, observation_count DESC, stay_id) AS hn FROM st), f AS (SELECT *, hn > 1 AND visit_count >= 3 AND coalesce({_FAR} >= 500, true) AS able FROM h), w AS (SELECT *, row_number() OVER (PARTITION BY imsi ORDER BY able DESC, 0.6 * visit_count + 0.4 * ln(1 + duration_hours) DESC, observation_count DESC, stay_id) AS wn FROM f) SELECT imsi, stay_id, visit_count, observation_count, CASE WHEN hn = 1 THEN 'home' WHEN able AND wn = 1 THEN 'work' ELSE 'other' END AS stay_type FROM w")
 def home_work(spark, sf):
     """Home and work among cells seen by each user."""
     return telecom.label_home_work(_stays(spark, sf), 3, 500.0).select("imsi", "stay_id", "visit_count", "observation_count", "stay_type")
