@@ -274,7 +274,7 @@ def building_proxies(spark, sf):
     return rounded(barriers.building_proxies(c, b, 0.05))
 
 
-@query("road_lengths")
+@query("road_lengths", f"WITH e AS (SELECT CASE p_partkey % 2 WHEN 0 THEN 'primary' ELSE 'local' END AS c, 18.9::DOUBLE + p_partkey % 20 * 0.01::DOUBLE AS lat1, 72.8::DOUBLE + p_partkey % 30 * 0.01::DOUBLE AS lng1, 18.9::DOUBLE + p_partkey % 21 * 0.01::DOUBLE AS lat2, 72.8::DOUBLE + p_partkey % 31 * 0.01::DOUBLE AS lng2 FROM part WHERE p_partkey < 500), p AS (SELECT c, {i.HAVERSINE.format('lat1', 'lng1', 'lat2', 'lng2')} / 1000 / 20 AS km, floor((lat1 + (lat2 - lat1) * ((k + 0.5::DOUBLE) / 20)) / 0.05::DOUBLE)::BIGINT AS row, floor((lng1 + (lng2 - lng1) * ((k + 0.5::DOUBLE) / 20)) / 0.05::DOUBLE)::BIGINT AS col FROM e, range(20) r(k)) SELECT row, col, round(coalesce(sum(km) FILTER (c = 'primary'), 0), 4) AS km_primary, round(coalesce(sum(km) FILTER (c = 'local'), 0), 4) AS km_local FROM p GROUP BY ALL")
 def road_lengths(spark, sf):
     """Road length by class and cell."""
     from tramline.operators import barriers
