@@ -244,6 +244,45 @@ def test_links_meet_every_near_pair(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("often", [3, 1 << 30])
+def test_near_copies_are_all_similar_pairs(spark, empty, monkeypatch, often):
+    monkeypatch.setattr(simhash, "ORDER_SAMPLE", 1)
+    monkeypatch.setattr(simhash, "ORDER_COMMON", often)
+    rnd = random.Random(5)
+    data = [r[:2] for r in make_docs()] + [(None, "alone without an id at all"), (90, "Fewer words"), (91, "fewer  WORDS"), (92, "fewer words here")]
+    for _ in range(30):
+        words = [f"w{rnd.randrange(4000)}" for _ in range(rnd.choice((12, 60, 200)))]
+        for _ in range(6):
+            copy = list(words)
+            for at in rnd.sample(range(len(copy)), rnd.randint(1, max(1, len(copy) // 25))):
+                copy[at] = f"x{rnd.randrange(4000)}"
+            data.append((1000 + len(data), " ".join(copy)))
+    grams = lambda t: (lambda w: frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)) if w))(WORD.findall((t or "").lower()))
+    sets = [grams(t) for _, t in data]
+    root, far = list(range(len(data))), 0
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(data)), 2):
+        x, y = sets[a], sets[b]
+        if x == y or 5 * len(x & y) >= 4 * len(x | y):
+            root[find(b)] = find(a)
+            far += x != y and (simhash.fingerprint(data[a][1]) ^ simhash.fingerprint(data[b][1])).bit_count() > 3
+    assert far > 10
+    least = collections.defaultdict(lambda: 1 << 62)
+    for i, (ident, _) in enumerate(data):
+        least[find(i)] = min(least[find(i)], 1 << 62 if ident is None else ident)
+    want = {ident: least[find(i)] if least[find(i)] < 1 << 62 else None for i, (ident, _) in enumerate(data)}
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    assert dict(map(tuple, simhash.near_copies(docs).collect())) == want
+    kept = [r["doc_id"] for r in simhash.keep_one(spark, docs, "").collect()]
+    assert sorted(kept, key=str) == sorted((i for i in want if i == want[i]), key=str)
+    assert simhash.near_copies(empty).count() == 0
+
+
 # ---- 5 ----
 
 

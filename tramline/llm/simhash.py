@@ -10,30 +10,40 @@ full distance is verified in the join. Only distinct fingerprints are indexed: c
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.llm.common import components, settle, table
+from tramline.llm.common import components, settle, small, stored, table
 
 SEGMENT_BITS = 32
 MAX_DISTANCE = 3
 SHINGLE_WORDS = 3
 HASH_SEED = 42
+#: The pipeline's stage: near copies share this much of their shingles of so many words.
+STAGE_WORDS = 5
+STAGE_SIMILARITY = 0.8
+#: Grams found so often in one of so many sets come last in prefixes. They set an order, no result.
+ORDER_SAMPLE = 8
+ORDER_COMMON = 16
+#: Up to so many keys are sent to the grams, rather than the grams shuffled to them.
+HELD_KEYS = 500_000
 _CHUNK = 1 << 16
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE_WORDS) -> int:
-    """SimHash of the word shingles of a text as a signed 64-bit number.
+def shingle_hashes(text: str | None, shingle: int = SHINGLE_WORDS) -> np.ndarray:
+    """Hashes of the word shingles of a text in order, repeated ones too.
 
-    A-Z are lower-cased. A null text counts as empty; no word gives 0; fewer words than a shingle
-    give the hash of the whole sequence.
+    A-Z are lower-cased. A null text counts as empty and has none; fewer words than a shingle give
+    the hash of the whole sequence.
     """
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     n = max(1, len(words) - shingle + 1)
     line = b" ".join(words)
     lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
@@ -41,14 +51,26 @@ def fingerprint(text: str | None, shingle: int = SHINGLE_WORDS) -> int:
     starts = ends - lengths
     last = (ends[shingle - 1 :] if len(words) >= shingle else ends[-1:]) - 1
     digest = xxhash.xxh64_intdigest
-    ones = np.zeros(64, np.int64)
+    out = np.empty(n, np.uint64)
     for at in range(0, n, _CHUNK):
         to = min(n, at + _CHUNK)
         pairs = zip(starts[at:to].tolist(), last[at:to].tolist())
-        hashes = np.fromiter((digest(line[i:j], HASH_SEED) for i, j in pairs), np.uint64, to - at)
-        bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        out[at:to] = np.fromiter((digest(line[i:j], HASH_SEED) for i, j in pairs), np.uint64, to - at)
+    return out
+
+
+def simhash(hashes: np.ndarray) -> int:
+    """SimHash of shingle hashes as a signed 64-bit number, 0 for none."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), _CHUNK):
+        bits = np.unpackbits(hashes[at : at + _CHUNK].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > n, bitorder="little").view("<i8")[0])
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<i8")[0])
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE_WORDS) -> int:
+    """SimHash of the word shingles of a text (see shingle_hashes); no word gives 0."""
+    return simhash(shingle_hashes(text, shingle))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -113,10 +135,106 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = STAGE_WORDS) -> DataFrame:
+    """(id, key, fp, grams) for each row of docs: grams are the distinct shingle hashes in ascending
+    order, key is a hash of grams and fp the SimHash."""
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            keys, fps, grams = [], [], []
+            for text in batch.column(1).to_pylist():
+                hashes = shingle_hashes(text, shingle)
+                each = np.unique(hashes.view(np.int64))
+                keys.append(xxhash.xxh64_intdigest(each.astype("<i8").tobytes(), HASH_SEED) - (1 << 63))
+                fps.append(simhash(hashes))
+                grams.append(each)
+            arrays = [batch.column(0), pa.array(keys, pa.int64()), pa.array(fps, pa.int64()), pa.array(grams, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=[id_col, "key", "fp", "grams"])
+
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, key long, fp long, grams array<long>")
+
+
+def prefixes(sets: DataFrame, common: np.ndarray, threshold: float) -> DataFrame:
+    """(key, n, gram): of each row's set the first n - ceil(threshold n) + 1 grams, common ones last.
+
+    Two sets with a Jaccard similarity of threshold or more share a gram of their prefixes in any
+    order that is the same for all sets, so `common` changes no result, only the number of pairs.
+    """
+
+    def run(batches):
+        for batch in batches:
+            keys, lengths, parts = [], [], []
+            for key, grams in zip(batch.column(0).to_pylist(), batch.column(1)):
+                each = grams.values.to_numpy()
+                late = np.isin(each, common)
+                keys.append(key)
+                lengths.append(len(each))
+                parts.append(np.concatenate((each[~late], each[late]))[: len(each) - _least(len(each), threshold) + 1])
+            times = [len(p) for p in parts]
+            columns = np.repeat(np.array(keys, np.int64), times), np.repeat(np.array(lengths, np.int32), times), np.concatenate(parts or [np.empty(0, np.int64)])
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["key", "n", "gram"])
+
+    return sets.select("key", "grams").mapInArrow(run, "key long, n int, gram long")
+
+
+def _least(n: int, threshold: float) -> int:
+    return math.ceil(threshold * n - 1e-9)
+
+
+def similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) of keys whose grams have a Jaccard similarity of threshold or more."""
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    held = sets.join(small(needed, HELD_KEYS), "key", "left_semi").dropDuplicates(["key"])
+    both = small(pairs, HELD_KEYS).join(held.select(F.col("key").alias("a"), F.col("grams").alias("_a")), "a").join(held.select(F.col("key").alias("b"), F.col("grams").alias("_b")), "b")
+    shared = F.size(F.array_intersect("_a", "_b"))
+    return both.withColumn("_s", shared).where(F.col("_s") >= threshold * (F.size("_a") + F.size("_b") - F.col("_s")) - 1e-9).select("a", "b")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = STAGE_SIMILARITY, shingle: int = STAGE_WORDS) -> DataFrame:
+    """One row for each row of docs: id and component_id, over pairs of a Jaccard similarity of
+    threshold or more between their sets of word shingles. None is missed.
+
+    A similarity of 0.8 leaves some 10 of 64 fingerprint bits different, for which segments would
+    be too short to tell documents apart. So SimHash links only propose the closest pairs;
+    the others are proposed by a shared gram of their prefixes, first to the least key of that gram,
+    then, between components so found, to each other. Every pair is verified by its grams. Rows
+    without words form one component. component_id is the smallest id, nulls aside.
+    """
+    each = stored(shingle_sets(docs, id_col, text_col, shingle))
+    firsts = settle(each.groupBy("key").agg(F.min(id_col).alias("first")))
+    sets = each.select("key", "fp", "grams")
+    sample = sets.where(F.pmod("key", F.lit(ORDER_SAMPLE)) == 0).select(F.explode("grams").alias("gram")).groupBy("gram").count().where(F.col("count") >= ORDER_COMMON)
+    common = np.sort(sample.select("gram").toPandas()["gram"].to_numpy(np.int64))
+    heads = prefixes(sets, common, threshold)
+    met = heads.groupBy("gram").agg(F.min(F.struct("key", "n")).alias("pivot"), F.max("key").alias("_last")).where("pivot.key < _last").drop("_last")
+    heads = stored(heads.join(met, "gram").distinct())
+
+    fps = settle(sets.groupBy("fp").agg(F.min("key").alias("least")))
+    alike = sets.select("key", "fp").join(fps, "fp").where("key <> least").select(F.col("least").alias("a"), F.col("key").alias("b"))
+    name = lambda c: fps.select(F.col("fp").alias(c), F.col("least").alias(f"_{c}"))
+    linked = links(fps.select("fp")).join(name("a"), "a").join(name("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    fit = lambda n, m: (F.col(n) >= threshold * F.col(m) - 1e-9) & (F.col(m) >= threshold * F.col(n) - 1e-9)
+    stars = heads.where((F.col("key") != F.col("pivot.key")) & fit("n", "pivot.n")).select(F.col("pivot.key").alias("a"), F.col("key").alias("b"))
+    pairs = alike.union(linked).union(stars).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found = settle(similar(settle(pairs), sets, threshold))
+
+    parts = components(found).select(F.col("node").alias("key"), "component")
+    own = heads.join(parts, "key", "left").select("gram", "key", "n", F.coalesce("component", "key").alias("part"))
+    other = own.select("gram", F.col("key").alias("b"), F.col("n").alias("m"), F.col("part").alias("_part"))
+    across = own.join(other, "gram").where((F.col("key") < F.col("b")) & (F.col("part") != F.col("_part")) & fit("n", "m")).select(F.col("key").alias("a"), "b").distinct()
+    found = found.union(similar(settle(across.join(pairs, ["a", "b"], "left_anti")), sets, threshold))
+
+    parts = components(found).withColumnRenamed("node", "key")
+    rooted = firsts.join(parts, "key", "left").select("key", "first", F.coalesce("component", "key").alias("root"))
+    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    return each.select(id_col, "key").join(rooted.join(smallest, "root").select("key", "component_id"), "key").select(id_col, "component_id")
+
+
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents, of each near-duplicate component only the one with the smallest doc_id.
+    """The documents, of each component of near copies only the one with the smallest doc_id.
 
     Repeated rows with that doc_id stay; a component whose ids are all null keeps them.
     """
-    found = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    found = near_copies(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     return docs.join(found.select(F.col("doc_id").alias("_kept")).distinct(), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
