@@ -2,12 +2,14 @@
 
 import datetime as dt
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tramline.functions import geo, seqs, times
 from tramline.operators import clean, features, nearest, od, routes, segments, stays, telecom, trajectory, zones
+from tramline.plans import bus
 
 PING = "vehicle_id long, id long, ts timestamp_ntz, lat double, lng double, stop_id int"
 
@@ -200,3 +202,27 @@ def test_features_handle_constants(spark):
     assert value(spark, zones.travel_time_min(F.lit(float("inf")))) == math.inf
     assert value(spark, zones.building_levels(F.lit("3,5"))) == 3
     assert value(spark, zones.building_levels(F.lit("many"))) == 2
+
+
+def test_candidates_of_the_whole_catalogue(spark, monkeypatch):
+    rnd = random.Random(3)
+    trips = {i: [rnd.randrange(12) for _ in range(rnd.randint(1, 8))] for i in range(150)}
+    rows = list(trips.items())
+    segments, templates = spark.createDataFrame(rows, "trip_id long, stops array<long>"), spark.createDataFrame(rows, "template_id long, stops array<long>")
+    want = set()
+    for i, s in rows:
+        shared = sorted((-len(set(s) & set(t)), j) for j, t in rows if set(s) & set(t))
+        kept = [x for x in shared if x[0] <= -2] or shared
+        want |= {(i, j, -n) for n, j in kept[:3]}
+    for most in (8, 0):
+        monkeypatch.setattr(routes, "SUBSET_STOPS", most)
+        assert set(map(tuple, routes.candidates(segments, templates, ["trip_id"], top_n=3).collect())) == want
+
+
+def test_route_match_meets_every_template(spark, tmp_path):
+    stops = {1: [1, 2, 3, 4], 70: [11, 12, 13, 14], 900: [21, 22, 23, 24], 901: [21, 22, 23, 24]}
+    lines = [(k, n, p) for k, s in stops.items() for n, p in enumerate(s)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.sql("select id as o_orderkey, timestamp_ntz'2024-01-01' as o_orderdate from range(1000)").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r["trip_id"]: (r["template_id"], r["confidence"], r["status"]) for r in bus.route_match(spark, str(tmp_path)).collect()}
+    assert got == {1: (1, 1.0, "matched"), 70: (70, 1.0, "matched"), 900: (900, 1.0, "matched"), 901: (900, 1.0, "matched")}

@@ -29,18 +29,42 @@ def stop_index(templates: DataFrame) -> DataFrame:
     return templates.select(F.explode(F.array_distinct("stops")).alias("stop_id"), "template_id")
 
 
+#: Up to so many distinct stops on either side, candidates meet by subsets of their stops.
+SUBSET_STOPS = 8
+
+
 def candidates(segments: DataFrame, templates: DataFrame, seg_keys: list[str], min_shared: int = 2, top_n: int = 15) -> DataFrame:
     """(seg_keys, template_id, shared): for each segment the top_n templates by shared stops, then id.
 
     Those with min_shared stops or more; all that share one if there are none of them.
     """
-    stops = segments.select(*seg_keys, F.explode(F.array_distinct("stops")).alias("stop_id"))
-    shared = stops.join(stop_index(templates), "stop_id").groupBy(*seg_keys, "template_id").agg(F.count(F.lit(1)).alias("shared"))
+    most = segments.select("stops").union(templates.select("stops")).agg(F.max(F.size(F.array_distinct("stops")))).first()[0]
+    if most is not None and most <= SUBSET_STOPS:
+        shared = _by_subsets(segments, templates, seg_keys, top_n)
+    else:
+        stops = segments.select(*seg_keys, F.explode(F.array_distinct("stops")).alias("stop_id"))
+        shared = stops.join(stop_index(templates), "stop_id").groupBy(*seg_keys, "template_id").agg(F.count(F.lit(1)).alias("shared"))
     w = Window.partitionBy(*seg_keys)
     kept = shared.withColumn("_most", F.max("shared").over(w)).where((F.col("shared") >= min_shared) | (F.col("_most") < min_shared)).drop("_most")
     return kept.withColumn("_n", F.row_number().over(w.orderBy(F.desc("shared"), "template_id"))).where(F.col("_n") <= top_n).drop("_n")
 
 
+def _by_subsets(segments: DataFrame, templates: DataFrame, seg_keys: list[str], top_n: int) -> DataFrame:
+    """(seg_keys, template_id, shared) with at least the top_n templates of each segment.
+
+    A pair meets at the subset that is its intersection. Of the templates that hold a subset the
+    top_n least ids are enough: each of them shares as much as any later one whose intersection the
+    subset is, and comes first. So no stop brings all its segments to all its templates.
+    """
+    kind = dict(templates.dtypes)["stops"]
+    stops = F.array_sort(F.array_distinct(F.filter("stops", lambda x: x.isNotNull())))
+    none = F.array(F.array().cast(kind))
+    subsets = F.aggregate(stops.cast(kind), none, lambda held, x: F.concat(held, F.transform(held, lambda s: F.concat(s, F.array(x)))))
+    each = lambda df, *cols: df.select(*cols, F.explode(subsets).alias("_s")).where(F.size("_s") > 0)
+    first = each(templates, "template_id").withColumn("_n", F.row_number().over(Window.partitionBy("_s").orderBy("template_id"))).where(F.col("_n") <= top_n).drop("_n")
+    return each(segments, *seg_keys).join(first, "_s").groupBy(*seg_keys, "template_id").agg(F.max(F.size("_s")).cast("long").alias("shared"))
+
+
 def endpoint_closeness(observed: Column, template: Column) -> Column:
     """How near the observed ends lie to the template's ends, 0 to 1; ends that it lacks count 0."""
     n = F.size(template)

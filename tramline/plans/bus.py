@@ -155,7 +155,7 @@ def route_candidates(spark, sf):
 def route_match(spark, sf):
     """Trips matched to the catalogue's templates by common stops, order and direction."""
     t = i.trips(spark, sf).where(F.size("stops") >= 4)
-    templates = t.where(f"trip_id < {_TEMPLATES}").select(F.col("trip_id").alias("template_id"), "stops")
+    templates = routes.route_catalog(t).select("template_id", "stops")
     found = routes.infer_routes(t.select("trip_id", "stops"), templates, ["trip_id"])
     return rounded(found.drop("stops"))
 
