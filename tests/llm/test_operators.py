@@ -416,6 +416,13 @@ def test_op8_round_trip(spark, corpus, empty, table):
     assert pieces.encode(empty, pieces.Codec(empty, table)).count() == 0
 
 
+def test_tokens_are_decoded(spark, corpus, table):
+    data, docs = corpus
+    got = {r["doc_id"]: (r["n_tokens"], r["decoded_sha256"]) for r in pieces.tokens(spark, docs, "").collect()}
+    plain = pieces.Encoder(table, {})
+    assert got == {i: (len(plain.encode(t)), hashlib.sha256((t or "").encode()).hexdigest()) for i, t, *_ in data}
+
+
 # ---- 9 ----
 
 

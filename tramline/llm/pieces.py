@@ -388,7 +388,20 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens and ids of the documents."""
+    """doc_id, source, n_tokens, ids and decoded_sha256 (of the text decoded from the ids) of the documents."""
     keyed = docs.withColumn("_key", F.struct("doc_id", "source"))
-    found = encode(keyed, Codec(docs), "_key")
-    return found.select("_key.doc_id", "_key.source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    codec = Codec(docs)
+    found = encode(keyed, codec, "_key")
+    kind = found.schema["ids"].dataType.simpleString()
+    key = found.schema["_key"].dataType.simpleString()
+
+    def back(batches):
+        decoder = codec.here()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                digests = [hashlib.sha256(decoder.decode(ids).encode()).hexdigest() for ids in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(digests, pa.string())], names=["_key", "ids", "decoded_sha256"])
+
+    found = found.mapInArrow(back, f"_key {key}, ids {kind}, decoded_sha256 string")
+    return found.select("_key.doc_id", "_key.source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded_sha256")
