@@ -246,7 +246,7 @@ def test_links_meet_every_near_pair(spark):
 
 @pytest.mark.parametrize("often", [3, 1 << 30])
 def test_near_copies_are_all_similar_pairs(spark, empty, monkeypatch, often):
-    monkeypatch.setattr(simhash, "ORDER_SAMPLE", 1)
+    monkeypatch.setattr(simhash, "ORDER_SAMPLE", 1 << 30)
     monkeypatch.setattr(simhash, "ORDER_COMMON", often)
     rnd = random.Random(5)
     data = [r[:2] for r in make_docs()] + [(None, "alone without an id at all"), (90, "Fewer words"), (91, "fewer  WORDS"), (92, "fewer words here")]
@@ -344,14 +344,41 @@ def test_op6(spark, corpus, empty):
     assert rules.judge(empty).count() == 0
 
 
-def test_label_model_finds_faults_that_never_meet():
-    rnd = random.Random(8)
+def brute_em(patterns, misfires):
+    """The label model row by row instead of by pattern, to the same fixed point."""
+    rows = np.array([p for p, n in patterns.items() for _ in range(n)])
+    prior, low, high = rules.START_GOOD, np.array(misfires), np.full(len(misfires), rules.CATCHES)
+    for _ in range(2000):
+        at = np.log(prior / (1 - prior)) + np.where(rows < 0, np.log(low / high), np.where(rows > 0, np.log((1 - low) / (1 - high)), 0)).sum(1)
+        good = 1 / (1 + np.exp(-at))
+        rate = lambda w, expected: (((rows < 0) * w[:, None]).sum(0) + len(rows) * expected) / (((rows != 0) * w[:, None]).sum(0) + len(rows))  # noqa: B023, E731
+        high = rate(1 - good, rules.CATCHES)
+        low, prior = np.minimum(rate(good, np.array(misfires)), high), (good.sum() + 1) / (len(rows) + 2)
+    return dict(zip(map(tuple, rows.tolist()), (at >= 0).tolist()))
+
+
+@pytest.mark.parametrize("seed", [8, 9])
+def test_label_model_equals_brute_force(seed):
+    rnd = random.Random(seed)
     patterns = collections.Counter()
-    for _ in range(5000):
-        fault = rnd.randrange(4) if rnd.random() < 0.2 else None
-        patterns[tuple(-1 if j == fault else 1 if rnd.random() < 0.9 else 0 for j in range(4))] += 1
-    model = rules.fit(dict(patterns), 4)
-    assert all((model.log_odds(p) < 0) == (-1 in p) for p in patterns)
+    for _ in range(1500):
+        fault = rnd.randrange(5) if rnd.random() < 0.2 else None
+        patterns[tuple(-1 if j == fault or (j == 4 and rnd.random() < 0.06) else 1 if rnd.random() < 0.9 else 0 for j in range(5))] += 1
+    misfires = tuple(v.misfires for v in rules.VOTES)
+    model, want = rules.fit(dict(patterns), misfires), brute_em(patterns, misfires)
+    assert {p: model.log_odds(p) >= 0 for p in patterns} == want
+    assert want[1, 1, 1, 1, -1]  # a lone bad vote of the weak rule is outvoted
+    assert not want[-1, 1, 1, 1, 1] and not want[1, 1, 1, 1, -1] == want[1, 1, -1, 1, 1]
+    assert rules.fit({}, misfires).misfires == misfires
+
+
+def test_kept_follows_the_posterior(spark, corpus):
+    data, docs = corpus
+    patterns = rules.vote_patterns(rules.stats(docs))
+    want = brute_em(patterns, tuple(v.misfires for v in rules.VOTES))
+    votes = rules.stats(docs).select("doc_id", *[v.column().alias(f"v{i}") for i, v in enumerate(rules.VOTES)]).collect()
+    good = {r[0]: want[tuple(r[1:])] for r in votes}
+    assert {r["doc_id"]: r["kept"] for r in rules.judge(docs).collect()} == {r["doc_id"]: good[r["doc_id"]] and not r["base_failed"] for r in rules.judge(docs).collect()}
 
 
 # ---- 7 ----

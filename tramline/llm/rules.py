@@ -71,12 +71,14 @@ def _repeat_words(words: Column) -> Column:
 @dataclass(frozen=True)
 class Vote:
     """A rule: a SQL expression over the counts that is bad at or above `bad`, good at or below
-    `good`, and abstains in between or where it is null."""
+    `good`, and abstains in between or where it is null. `misfires` is the share of bad votes that
+    one expects it to cast on good documents, before any document is seen."""
 
     name: str
     value: str
     good: float
     bad: float
+    misfires: float
 
     def column(self) -> Column:
         """1 good, -1 bad, 0 no vote."""
@@ -85,66 +87,65 @@ class Vote:
 
 
 VOTES = (
-    Vote("symbols", "n_symbols / nullif(word_chars, 0)", 0.02, 0.08),
-    Vote("upper case", "n_upper / nullif(word_chars, 0)", 0.15, 0.4),
-    Vote("repeated windows", "n_repeat_words / nullif(n_words, 0)", 0.25, 0.6),
-    Vote("repeated lines", "n_dup_lines / nullif(n_lines, 0)", 0.2, 0.5),
-    Vote("word length", "abs(word_chars / nullif(n_words, 0) - 6)", 3.0, 6.0),
+    Vote("symbols", "n_symbols / nullif(word_chars, 0)", 0.02, 0.08, 0.002),
+    Vote("upper case", "n_upper / nullif(word_chars, 0)", 0.1, 0.2, 0.002),
+    Vote("repeated windows", "n_repeat_words / nullif(n_words, 0)", 0.2, 0.4, 0.002),
+    Vote("repeated lines", "n_dup_lines / nullif(n_lines, 0)", 0.2, 0.4, 0.002),
+    Vote("word length", "abs(word_chars / nullif(n_words, 0) - 5)", 0.6, 1.2, 0.05),
 )
+#: What one expects of any rule before any document is seen: its share of bad votes on bad documents.
+CATCHES = 0.3
+#: Votes that the expectations count as, for each document.
+PRIOR_VOTES = 1.0
+START_GOOD = 0.8
 
 
 @dataclass(frozen=True)
 class LabelModel:
-    """Prior of good, and for each rule (good votes, bad votes, abstentions) given good and given bad."""
+    """Prior of good, and each rule's share of bad votes among its votes on good and on bad documents."""
 
     prior: float
-    given_good: tuple[tuple[float, float, float], ...]
-    given_bad: tuple[tuple[float, float, float], ...]
+    misfires: tuple[float, ...]
+    catches: tuple[float, ...]
+
+    def weights(self, nth: int) -> tuple[float, float]:
+        """What a good and a bad vote of a rule add to the log odds of good."""
+        a, b = self.misfires[nth], self.catches[nth]
+        return math.log((1 - a) / (1 - b)), math.log(a / b)
 
     def log_odds(self, pattern: tuple[int, ...]) -> float:
         at = math.log(self.prior / (1 - self.prior))
-        for vote, good, bad in zip(pattern, self.given_good, self.given_bad):
+        for nth, vote in enumerate(pattern):
             if vote:
-                k = 0 if vote > 0 else 1
-                at += math.log(good[k] / bad[k])
+                at += self.weights(nth)[vote < 0]
         return at
 
 
-#: Bounds on the share of bad votes that a rule casts on good and on bad documents.
-MISFIRES, CATCHES = (0.0001, 0.005), (0.2, 0.98)
-
-
-def _rates(votes: list[float], bounds: tuple[float, float]) -> tuple[float, float, float]:
-    bad = min(max(votes[1] / (votes[0] + votes[1]), bounds[0]), bounds[1])
-    return 1 - bad, bad, votes[2]
-
-
-def fit(patterns: dict[tuple[int, ...], int], n_rules: int, rounds: int = 200, few: float = 1.0) -> LabelModel:
+def fit(patterns: dict[tuple[int, ...], int], misfires: tuple[float, ...], catches: float = CATCHES, prior_votes: float = PRIOR_VOTES, rounds: int = 500) -> LabelModel:
     """Expectation-maximisation of a label model with independent rules.
 
-    A rule sees one kind of fault, and faults seldom meet in a document. So the rules must stay
-    better than chance as MISFIRES and CATCHES bound them, else the hidden class could stand for a
-    single fault, with all others on the good side. Abstaining says nothing of the quality. Rates
-    are smoothed by `few` votes of the starting rates, so that a rule that never votes, or an empty
-    table, keeps them.
+    A rule sees one kind of fault, and faults seldom meet in a document: the likelihood alone would
+    let the hidden class stand for the two faults that meet most. So each rule's rates have a Beta
+    prior around what one expects of it, worth `prior_votes` votes a document, whatever the number
+    of documents. No rate is clamped, but a rule that would catch less than it misfires is taken as
+    without effect, which keeps the classes from changing places. Abstaining says nothing of the
+    quality. An empty table leaves the expectations.
     """
     total = sum(patterns.values())
-    start_good, start_bad = (1 - MISFIRES[1], MISFIRES[1], 0.0), (0.5, 0.5, 0.0)
-    model = LabelModel(0.8, (start_good,) * n_rules, (start_bad,) * n_rules)
-    before = None
+    weight = max(1.0, prior_votes * total)
+    model, before = LabelModel(START_GOOD, misfires, (catches,) * len(misfires)), None
     for _ in range(rounds):
-        weight = {p: 1 / (1 + math.exp(-max(-50.0, min(50.0, model.log_odds(p))))) for p in sorted(patterns)}
-        good = [[few * start_good[0], few * start_good[1], 0.0] for _ in range(n_rules)]
-        bad = [[few * start_bad[0], few * start_bad[1], 0.0] for _ in range(n_rules)]
-        mass = 0.0
-        for p, w in weight.items():
-            n = patterns[p]
-            mass += n * w
-            for j, vote in enumerate(p):
-                k = {1: 0, -1: 1, 0: 2}[vote]
-                good[j][k] += n * w
-                bad[j][k] += n * (1 - w)
-        model = LabelModel((mass + 1) / (total + 2), tuple(_rates(r, MISFIRES) for r in good), tuple(_rates(r, CATCHES) for r in bad))
+        good = {p: n / (1 + math.exp(-max(-50.0, min(50.0, model.log_odds(p))))) for p, n in sorted(patterns.items())}
+        mass = sum(good.values())
+        low, high = [], []
+        for nth, expected in enumerate(misfires):
+            cast = lambda of, *votes: sum(of(p) for p in good if p[nth] in votes)  # noqa: B023, E731
+            a = (cast(good.get, -1) + weight * expected) / (cast(good.get, -1, 1) + weight)
+            bad = lambda p: patterns[p] - good[p]
+            b = (cast(bad, -1) + weight * catches) / (cast(bad, -1, 1) + weight)
+            low.append(min(a, b))
+            high.append(b)
+        model = LabelModel((mass + 1) / (total + 2), tuple(low), tuple(high))
         if before is not None and abs(before - mass) < 1e-9 * max(1, total):
             break
         before = mass
@@ -161,9 +162,9 @@ def vote_patterns(counts: DataFrame, votes=VOTES) -> dict[tuple[int, ...], int]:
 def posterior(model: LabelModel, votes=VOTES) -> Column:
     """Probability of good quality over the counts."""
     at = F.lit(math.log(model.prior / (1 - model.prior)))
-    for vote, good, bad in zip(votes, model.given_good, model.given_bad):
-        v = vote.column()
-        at = at + F.when(v > 0, math.log(good[0] / bad[0])).when(v < 0, math.log(good[1] / bad[1])).otherwise(0.0)
+    for nth, vote in enumerate(votes):
+        v, (good, bad) = vote.column(), model.weights(nth)
+        at = at + F.when(v > 0, good).when(v < 0, bad).otherwise(0.0)
     return 1 / (1 + F.exp(-at))
 
 
@@ -172,10 +173,11 @@ def judge(docs: DataFrame, votes=VOTES, id_col: str = "doc_id", text_col: str =
 
     base_failed: fewer than 50 words, or over half of the words in repeated windows. kept: not
     base_failed and a posterior of one half or more. Empty tables give empty results; repeated
-    rows are judged alike.
+    rows are judged alike, whatever their ids; other columns are not read. Texts are read whole,
+    however long; null and empty ones have no votes and fail the base.
     """
     counts = settle(stats(docs, id_col, text_col))
-    model = fit(vote_patterns(counts, votes), len(votes))
+    model = fit(vote_patterns(counts, votes), tuple(v.misfires for v in votes))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = counts.withColumns({"base_failed": failed, "quality": posterior(model, votes)})
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= KEEP))

@@ -27,9 +27,10 @@ HASH_SEED = 42
 #: The pipeline's stage: near copies share this much of their shingles of so many words.
 STAGE_WORDS = 5
 STAGE_SIMILARITY = 0.8
-#: Grams found so often in one of so many sets come last in prefixes. They set an order, no result.
-ORDER_SAMPLE = 8
+#: Grams found so often among about so many sampled rows come last in prefixes. They set an order, no result.
+ORDER_SAMPLE = 20_000
 ORDER_COMMON = 16
+ORDER_MOST = 200_000
 #: Up to so many keys are sent to the grams, rather than the grams shuffled to them.
 HELD_KEYS = 500_000
 _CHUNK = 1 << 16
@@ -135,57 +136,59 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = STAGE_WORDS) -> DataFrame:
-    """(id, key, fp, grams) for each row of docs: grams are the distinct shingle hashes in ascending
-    order, key is a hash of grams and fp the SimHash."""
+def _sets(docs: DataFrame, names: list[str], kinds: str, row, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(id, *names) for each row of docs; row gives the values from a text's shingle hashes and their distinct values in ascending order."""
     kind = docs.schema[id_col].dataType.simpleString()
+    fields = {"long": pa.int64(), "int": pa.int32(), "array<long>": pa.list_(pa.int64())}
+    types = [fields[k] for k in kinds.split()]
 
     def run(batches):
         for batch in batches:
-            keys, fps, grams = [], [], []
-            for text in batch.column(1).to_pylist():
-                hashes = shingle_hashes(text, shingle)
-                each = np.unique(hashes.view(np.int64))
-                keys.append(xxhash.xxh64_intdigest(each.astype("<i8").tobytes(), HASH_SEED) - (1 << 63))
-                fps.append(simhash(hashes))
-                grams.append(each)
-            arrays = [batch.column(0), pa.array(keys, pa.int64()), pa.array(fps, pa.int64()), pa.array(grams, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=[id_col, "key", "fp", "grams"])
+            for at in range(0, batch.num_rows, 256):
+                part, rows = batch.slice(at, 256), []
+                for text in part.column(1).to_pylist():
+                    hashes = shingle_hashes(text, shingle)
+                    rows.append(row(hashes, np.unique(hashes.view(np.int64))))
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows), types))], names=[id_col, *names])
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, key long, fp long, grams array<long>")
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, ", ".join([f"`{id_col}` {kind}", *(f"{n} {k}" for n, k in zip(names, kinds.split()))]))
 
 
-def prefixes(sets: DataFrame, common: np.ndarray, threshold: float) -> DataFrame:
-    """(key, n, gram): of each row's set the first n - ceil(threshold n) + 1 grams, common ones last.
+def _key(grams: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(grams.astype("<i8").tobytes(), HASH_SEED) - (1 << 63)
+
+
+def prefix(grams: np.ndarray, common: np.ndarray, threshold: float) -> np.ndarray:
+    """The first n - ceil(threshold n) + 1 of n grams, common ones last.
 
     Two sets with a Jaccard similarity of threshold or more share a gram of their prefixes in any
     order that is the same for all sets, so `common` changes no result, only the number of pairs.
     """
-
-    def run(batches):
-        for batch in batches:
-            keys, lengths, parts = [], [], []
-            for key, grams in zip(batch.column(0).to_pylist(), batch.column(1)):
-                each = grams.values.to_numpy()
-                late = np.isin(each, common)
-                keys.append(key)
-                lengths.append(len(each))
-                parts.append(np.concatenate((each[~late], each[late]))[: len(each) - _least(len(each), threshold) + 1])
-            times = [len(p) for p in parts]
-            columns = np.repeat(np.array(keys, np.int64), times), np.repeat(np.array(lengths, np.int32), times), np.concatenate(parts or [np.empty(0, np.int64)])
-            yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["key", "n", "gram"])
-
-    return sets.select("key", "grams").mapInArrow(run, "key long, n int, gram long")
+    late = np.isin(grams, common)
+    return np.concatenate((grams[~late], grams[late]))[: len(grams) - _least(len(grams), threshold) + 1]
 
 
 def _least(n: int, threshold: float) -> int:
     return math.ceil(threshold * n - 1e-9)
 
 
-def similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) of keys whose grams have a Jaccard similarity of threshold or more."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    held = sets.join(small(needed, HELD_KEYS), "key", "left_semi").dropDuplicates(["key"])
+def common_grams(docs: DataFrame, rows: int, id_col: str, text_col: str, shingle: int) -> np.ndarray:
+    """The grams that are frequent in a sample of about ORDER_SAMPLE rows, ORDER_MOST at most, in ascending order."""
+    picked = docs.where(F.pmod(F.xxhash64(F.col(id_col), F.lit("order")), F.lit(max(1, rows // ORDER_SAMPLE))) == 0)
+    grams = _sets(picked, ["grams"], "array<long>", lambda _, each: (each,), id_col, text_col, shingle).select(F.explode("grams").alias("gram"))
+    often = grams.groupBy("gram").count().where(F.col("count") >= ORDER_COMMON).orderBy(F.desc("count"), "gram").limit(ORDER_MOST)
+    return np.sort(often.select("gram").toPandas()["gram"].to_numpy(np.int64))
+
+
+def similar(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, threshold: float, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """The pairs (a, b) of keys whose sets have a Jaccard similarity of threshold or more.
+
+    Sets are computed anew, and only for the first document of each key of a pair.
+    """
+    needed = settle(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(firsts, "key").select("key", "first"))
+    texts = docs.join(small(needed.select(F.col("first").alias("_first")).distinct(), HELD_KEYS), F.col(id_col).eqNullSafe(F.col("_first")), "left_semi")
+    sets = _sets(texts, ["key", "grams"], "long array<long>", lambda _, each: (_key(each), each), id_col, text_col, shingle).select("key", "grams")
+    held = sets.join(small(needed.select("key"), HELD_KEYS), "key", "left_semi").dropDuplicates(["key"])
     both = small(pairs, HELD_KEYS).join(held.select(F.col("key").alias("a"), F.col("grams").alias("_a")), "a").join(held.select(F.col("key").alias("b"), F.col("grams").alias("_b")), "b")
     shared = F.size(F.array_intersect("_a", "_b"))
     return both.withColumn("_s", shared).where(F.col("_s") >= threshold * (F.size("_a") + F.size("_b") - F.col("_s")) - 1e-9).select("a", "b")
@@ -199,31 +202,39 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     be too short to tell documents apart. So SimHash links only propose the closest pairs;
     the others are proposed by a shared gram of their prefixes, first to the least key of that gram,
     then, between components so found, to each other. Every pair is verified by its grams. Rows
-    without words form one component. component_id is the smallest id, nulls aside.
+    without words form one component. component_id is the smallest id, nulls aside. Sets are known
+    by a 64-bit hash (key); they are computed anew for each use rather than stored, since they take
+    more room than the texts. Repeated rows and ids are rows like any other; other columns are not
+    read; texts are read whole; an empty table gives an empty result.
     """
-    each = stored(shingle_sets(docs, id_col, text_col, shingle))
-    firsts = settle(each.groupBy("key").agg(F.min(id_col).alias("first")))
-    sets = each.select("key", "fp", "grams")
-    sample = sets.where(F.pmod("key", F.lit(ORDER_SAMPLE)) == 0).select(F.explode("grams").alias("gram")).groupBy("gram").count().where(F.col("count") >= ORDER_COMMON)
-    common = np.sort(sample.select("gram").toPandas()["gram"].to_numpy(np.int64))
-    heads = prefixes(sets, common, threshold)
-    met = heads.groupBy("gram").agg(F.min(F.struct("key", "n")).alias("pivot"), F.max("key").alias("_last")).where("pivot.key < _last").drop("_last")
-    heads = stored(heads.join(met, "gram").distinct())
-
-    fps = settle(sets.groupBy("fp").agg(F.min("key").alias("least")))
-    alike = sets.select("key", "fp").join(fps, "fp").where("key <> least").select(F.col("least").alias("a"), F.col("key").alias("b"))
+    told = [id_col, text_col, shingle]
+    each = stored(_sets(docs, ["key", "fp", "n"], "long long int", lambda hashes, grams: (_key(grams), simhash(hashes), len(grams)), *told))
+    firsts = settle(each.groupBy("key").agg(F.min(id_col).alias("first"), F.min("fp").alias("fp"), F.min("n").alias("n")))
+    common = common_grams(docs, each.count(), *told)
+    parts_of = _sets(docs, ["key", "n", "prefix"], "long int array<long>", lambda _, grams: (_key(grams), len(grams), prefix(grams, common, threshold)), *told)
+    heads = parts_of.select("key", "n", F.explode("prefix").alias("gram"))
+    met = heads.groupBy("gram").agg(F.min("key").alias("pivot"), F.max("key").alias("_last")).where("pivot < _last").select("gram", "pivot")
+    heads = stored(heads.join(stored(met), "gram"))
+
+    fps = settle(firsts.groupBy("fp").agg(F.min("key").alias("least")))
+    alike = firsts.select("key", "fp").join(fps, "fp").where("key <> least").select(F.col("least").alias("a"), F.col("key").alias("b"))
     name = lambda c: fps.select(F.col("fp").alias(c), F.col("least").alias(f"_{c}"))
     linked = links(fps.select("fp")).join(name("a"), "a").join(name("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
     fit = lambda n, m: (F.col(n) >= threshold * F.col(m) - 1e-9) & (F.col(m) >= threshold * F.col(n) - 1e-9)
-    stars = heads.where((F.col("key") != F.col("pivot.key")) & fit("n", "pivot.n")).select(F.col("pivot.key").alias("a"), F.col("key").alias("b"))
+    stars = heads.where("key <> pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct()
     pairs = alike.union(linked).union(stars).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    found = settle(similar(settle(pairs), sets, threshold))
+    long_as = lambda c, n: firsts.select(F.col("key").alias(c), F.col("n").alias(n))
+    pairs = settle(pairs.join(long_as("a", "_n"), "a").join(long_as("b", "_m"), "b").where(fit("_n", "_m")).select("a", "b"))
+    verified = lambda some: similar(some, docs, firsts, threshold, *told)
+    found = settle(verified(pairs))
 
     parts = components(found).select(F.col("node").alias("key"), "component")
-    own = heads.join(parts, "key", "left").select("gram", "key", "n", F.coalesce("component", "key").alias("part"))
+    own = stored(heads.join(parts, "key", "left").select("gram", "key", "n", F.coalesce("component", "key").alias("part")))
+    several = stored(own.groupBy("gram").agg(F.min("part").alias("_lo"), F.max("part").alias("_hi")).where("_lo < _hi").select("gram"))
+    own = stored(own.join(several, "gram").distinct())
     other = own.select("gram", F.col("key").alias("b"), F.col("n").alias("m"), F.col("part").alias("_part"))
     across = own.join(other, "gram").where((F.col("key") < F.col("b")) & (F.col("part") != F.col("_part")) & fit("n", "m")).select(F.col("key").alias("a"), "b").distinct()
-    found = found.union(similar(settle(across.join(pairs, ["a", "b"], "left_anti")), sets, threshold))
+    found = found.union(verified(settle(across.join(pairs, ["a", "b"], "left_anti"))))
 
     parts = components(found).withColumnRenamed("node", "key")
     rooted = firsts.join(parts, "key", "left").select("key", "first", F.coalesce("component", "key").alias("root"))
