@@ -165,9 +165,9 @@ def brute_repeats(data):
     return out
 
 
-@pytest.mark.parametrize("hot", [2000, 1])
+@pytest.mark.parametrize("hot", [2000, 4])
 def test_op3(spark, corpus, empty, hot, monkeypatch):
-    monkeypatch.setattr(repeats, "HOT_CONTEXTS", hot)
+    monkeypatch.setattr(repeats, "GROUP_CONTEXTS", hot)
     data, docs = corpus
     found = repeats.remove_repeats(docs).withColumn("h", F.sha2(F.col("kept").cast("binary"), 256))
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["h"]) for r in found.collect()}
@@ -186,20 +186,59 @@ def test_repeats_of_few_words(spark):
     assert got[None] == 0
 
 
+def test_repeats_with_odd_ids(spark, monkeypatch):
+    """String ids, ids with several texts, repeated rows, and one word 50,000 times."""
+    monkeypatch.setattr(repeats, "GROUP_CONTEXTS", 20)
+    data = [(f"d{i}", t) for i, t, *_ in make_docs(3, 40)]
+    data += [("d1", data[5][1]), ("d1", data[3][1]), ("d2", data[2][1]), ("d2", data[2][1]), ("a", "x " * 50_000), ("b", "y " + "x " * 400), (None, data[5][1])]
+    first, words = {}, [(i, repeats.split_words(t)) for i, t in data]
+    for i, w in words:
+        for p in range(len(w) - 49) if i is not None else ():
+            k = tuple(w[p : p + 50])
+            first[k] = min(first.get(k, i), i)
+    want = []
+    for i, w in words:
+        gone = bytearray(len(w))
+        for p in range(len(w) - 49) if i is not None else ():
+            if first[tuple(w[p : p + 50])] < i:
+                gone[p : p + 50] = b"\1" * 50
+        want.append((str(i), len(w), sum(gone), b" ".join(x for x, g in zip(w, gone) if not g).decode()))
+    docs = spark.createDataFrame([(i, t, 0, 0) for i, t in data], "doc_id string, text string, th int, h int").repartition(3)
+    got = [(str(r["doc_id"]), r["n_words"], r["n_removed"], r["kept"]) for r in repeats.remove_repeats(docs).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_maximal_passages(spark, corpus):
     _, docs = corpus
-    spans = repeats.maximal(repeats.repeats(docs)).collect()
+    runs = repeats.repeats(docs)
+    spans = repeats.maximal(runs).collect()
     assert spans and all(r["n_words"] >= 50 for r in spans)
+    covered = collections.defaultdict(set)
+    for r in runs.collect():
+        covered[r["doc_id"]] |= set(range(r["lo"], r["hi"] + 50))
+    told = collections.defaultdict(list)
+    for r in spans:
+        told[r["doc_id"]] += range(r["begin"], r["end"])
+    assert {k: sorted(v) for k, v in told.items()} == {k: sorted(v) for k, v in covered.items()}
 
 
-def test_tree_nodes_number_equal_windows():
+def test_nodes_number_equal_windows():
     rnd = np.random.default_rng(0)
     tokens = rnd.integers(0, 2, 400)
     tokens[200:300] = tokens[50:150]
     starts = np.arange(0, 350)
-    node = repeats.tree_nodes(tokens, starts, 50)
+    order, begins = repeats.deep_nodes(tokens, starts, 50)
+    node = np.empty(len(starts), int)
+    node[order] = np.repeat(np.arange(len(begins)), np.diff([*begins, len(order)]))
     for a, b in itertools.combinations(range(0, 350, 7), 2):
         assert (node[a] == node[b]) == bool((tokens[a : a + 50] == tokens[b : b + 50]).all())
+    rank, levels = repeats.suffix_array(tokens)
+    every = np.argsort(rank)
+    suffixes = [tuple(tokens[i:]) for i in every]
+    assert suffixes == sorted(suffixes)
+    shared = repeats.common_prefixes(every, levels)
+    lcp = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    assert shared.tolist() == [0] + [lcp(a, b) for a, b in zip(suffixes, suffixes[1:])]
 
 
 # ---- 4 ----
