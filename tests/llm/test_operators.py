@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tramline.llm import common, matroska, mixing, pieces, quality, repeats, rules, secrets, simhash, toxicity, urls
 
+SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -135,8 +136,30 @@ def test_classifier_shrinks_sparse_sites(spark):
     got = {r["doc_id"]: r for r in quality.classify(docs.withColumn("keep", F.lit("x")), labels).collect()}
     assert all(got[i]["keep"] == (i % 4 != 0) for i in range(200))
     assert len(got) == 203 and got[500]["keep"]
-    sites = {(r["host"], r["path"]): r for r in quality.sites(spark.createDataFrame([("a", "p", 1.0)] * 50 + [("b", "p", 0.0)] * 50 + [("c", "q", 0.0)], "host string, path string, p double")).collect()}
-    assert sites["a", "p"]["host_rate"] > 0.9 and sites["b", "p"]["host_rate"] < 0.1
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_rates_leave_the_document_out(spark, seed):
+    """path_rate against sums over all other documents, and sparse hosts near the rate of all."""
+    rnd = random.Random(seed)
+    rows = [(f"h{h}", rnd.choice(("p", "q")), min(0.99, max(0.01, rnd.gauss(0.2 + 0.07 * h, 0.1)))) for h in range(10) for _ in range(rnd.choice((1, 5, 40)))]
+    rows += [(f"lone{i}", "p", (0.01, 0.99)[i % 2]) for i in range(8)] + [(None, None, 0.5), (None, "p", 0.4)]
+    table = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, host string, path string, p double")
+    sites = quality.sites(table)
+    prior = sites.first()
+    k, k2 = prior["host_prior_n"], prior["path_prior_n"]
+    assert min(k, k2) >= quality.LEAST_PRIOR
+    joined = table.join(sites.select(*[F.col(c).alias(f"_{c}") for c in sites.columns]), F.col("host").eqNullSafe(F.col("_host")) & F.col("path").eqNullSafe(F.col("_path")))
+    got = {r["i"]: r["rate"] for r in joined.select("i", quality.rate_without(F.col("p")).alias("rate")).collect()}
+    assert len(got) == len(rows)
+    for i, (host, path, _) in enumerate(rows):
+        others = [r for j, r in enumerate(rows) if j != i]
+        rate = lambda ps, prior, weight: (sum(ps) + prior * weight) / (len(ps) + weight)
+        whole = sum(r[2] for r in others) / len(others)
+        at_host = rate([r[2] for r in others if r[0] == host], whole, k)
+        assert got[i] == pytest.approx(rate([r[2] for r in others if r[:2] == (host, path)], at_host, k2))
+        if host is not None and host.startswith("lone"):
+            assert got[i] == pytest.approx(whole)  # its own evidence does not count twice
 
 
 def test_classifier_on_empty_tables(spark, empty):
@@ -440,6 +463,20 @@ def test_op7(spark):
     assert urls.judge(pages.limit(0)).count() == 0
 
 
+def test_links_are_resolved(spark):
+    cases = [
+        ("http://x.org/a/b?c", "HTTP://N.net/es/1#f", "http://n.net/es/1"), ("http://x.org/a/b", "//n.net/es/1", "http://n.net/es/1"), ("https://X.org/a/b?q#f", "/es/../c", "https://x.org/c"), ("http://x.org/a/b", "c/./d", "http://x.org/a/c/d"),
+        ("http://x.org", "c", "http://x.org/c"), ("http://x.org/a/", "?a=1&amp;b=2", "http://x.org/a/?a=1&b=2"), ("http://x.org/a/b/c", "../..", "http://x.org/"), ("http://x.org/a", "mailto:y@z", None), ("http://x.org/a", "#top", None),
+        ("http://x.org", "http://n.net", "http://n.net/"), ("nourl", "/a", None), (None, "/a", None), ("http://x.org/a", "/b?u=http://y.org/", "http://x.org/b?u=http://y.org/"), ("http://x.org/a//b", "c//d/", "http://x.org/a//c//d/"),
+    ]
+    rows = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(cases)], "i int, a string, b string")
+    got = {r["i"]: r["x"] for r in rows.select("i", urls.resolve(F.col("a"), F.col("b")).alias("x")).collect()}
+    assert got == {i: w for i, (_, _, w) in enumerate(cases)}
+    pages = [(1, "http://q.org/1", "<link rel=canonical href=//n.net/es/1>"), (2, "HTTP://Q.org/2", '<link rel="canonical" href="/1">'), (3, "http://q.org/3", "<meta http-equiv=refresh content='0;url=2'>"), (4, "http://r.org/", "<link rel=canonical href=/5>")]
+    got = urls.judge(spark.createDataFrame([(*p, p[0], "x") for p in pages], "page_id int, url string, html string, _url int, _alias string"))
+    assert sorted((r["page_id"], r["verdict"], r["_url"], r["_alias"]) for r in got.collect()) == [(1, "block", 1, "x"), (2, "block", 2, "x"), (3, "block", 3, "x"), (4, "allow", 4, "x")]
+
+
 # ---- 8 ----
 
 
@@ -516,14 +553,37 @@ def test_op9(spark, corpus, empty):
 def test_ledger_scans_only_what_it_lacks(spark, corpus):
     _, docs = corpus
     first = spark.createDataFrame(secrets.scan(docs, rules=secrets.BASE_RULES).collect(), "blob string, rule string, spans array<struct<start:bigint,end:bigint>>")
-    n = secrets.addressed(docs).select("blob").distinct().count()
+    n = docs.select(F.coalesce("text", F.lit(""))).distinct().count()
     assert first.count() == 3 * n
     assert secrets.scan(docs, first, secrets.BASE_RULES).count() == 0
     newer = secrets.Rule("hex", "[0-9a-f]{17,}", version=2)
     again = secrets.scan(docs, first, (*secrets.BASE_RULES, newer))
     assert {r["rule"] for r in again.collect()} == {"hex@2"} and again.count() == n
-    a = {r["doc_id"]: r["found"] for r in secrets.findings(docs, first, secrets.BASE_RULES).collect()}
-    assert a == {r["doc_id"]: r["found"] for r in secrets.findings(docs, rules=secrets.BASE_RULES).collect()}
+
+
+def test_stored_ledger(spark, corpus, tmp_path):
+    _, docs = corpus
+    at = str(tmp_path / "ledger")
+    a = {r["doc_id"]: r["found"] for r in secrets.findings(docs.where("doc_id < 30"), at).collect()}
+    once = secrets.read_ledger(spark, at).count()
+    assert secrets.update_ledger(docs.where("doc_id < 30"), at).count() == once
+    b = {r["doc_id"]: r["found"] for r in secrets.findings(docs, at).collect()}
+    assert all(b[i] == x for i, x in a.items()) and b == {r["doc_id"]: r["found"] for r in secrets.findings(docs).collect()}
+    n = docs.select(F.coalesce("text", F.lit(""))).distinct().count()
+    assert secrets.read_ledger(spark, at).count() == len(secrets.RULES) * n
+
+
+def test_extra_columns_stay(spark, corpus):
+    _, docs = corpus
+    names = ("found", "blob", "row", "_row", "_slot", "_id", "_n", "p", "keep", "host", "key", "text_", "words", "size", "sid")
+    odd = docs.withColumns({n: F.concat(F.lit(n), F.col("doc_id")) for n in names})
+    kept = lambda df: all(r[n] == f"{n}{r['doc_id']}" for r in df.collect() for n in names)
+    for stage in (quality.reject_poor, simhash.keep_one, secrets.redact, mixing.mix):
+        out = stage(spark, odd, SF) if stage is quality.reject_poor else stage(spark, odd, "")
+        assert out.columns == odd.columns and out.count() and kept(out)
+    assert [c for c in secrets.findings(odd).columns if c != "found"] == [c for c in odd.columns if c != "found"]
+    for few in (repeats.remove_repeats, simhash.near_duplicates, rules.judge):
+        assert few(odd).count() == docs.count()
 
 
 def test_redaction(spark, corpus):
@@ -596,6 +656,25 @@ def test_mix_repeats_whole_documents(spark, corpus):
     assert all(r["text"] == texts[r["doc_id"]] for r in got.collect())
 
 
+def test_mix_keeps_shares_in_every_part(spark):
+    rnd = random.Random(2)
+    data = [(i, " ".join(["w"] * rnd.choice((0, 20, 60, 200, 900))), "en", f"s{min(i % 7, 3)}", 0) for i in range(600)]
+    docs = spark.createDataFrame(data, DOCS).repartition(4)
+    rows, pieces = mixing.plan(docs, block=64)
+    want = {r["sid"]: r["target"] for r in rows.collect()}
+    at, seen, total = 0, collections.Counter(), sum(want.values())
+    for r in pieces.orderBy("slot", "doc_id").collect():
+        seen[r["sid"]] += r["words"]
+        at += r["words"]
+        assert all(abs(seen[s] - at * want[s] / total) < 64 * 12 for s in want)
+    source = {i: s for i, _, _, s, _ in data}
+    got = [r["doc_id"] for r in mixing.mix(spark, docs, "").collect()]
+    size = {i: len((t or "").split()) for i, t, *_ in data}
+    shares = lambda ids: (lambda c: {s: c[s] / sum(c.values()) for s in c})(collections.Counter({s: sum(size[i] for i in ids if source[i] == s) for s in {*source.values()}}))
+    whole, half = shares(got), shares(got[: len(got) // 2])
+    assert all(abs(whole[s] - half[s]) < 0.08 for s in whole)
+
+
 def test_time_is_not_read():
     """Reruns agree: no module reads the clock or an unseeded random source."""
     import inspect

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import re
 import tempfile
 import uuid
 
@@ -33,11 +35,14 @@ def let(value: Column, body) -> Column:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: the session's spark.checkpoint.dir. Only a session
-    without one (as in tests) gets a temporary folder."""
+    """The folder that all executors share: the session's spark.checkpoint.dir. Without one, a local
+    session (as in tests) gets a temporary folder; a cluster must name one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return sc.getCheckpointDir()
 
 
@@ -47,13 +52,37 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+_SCOPES: list[str] = []
+
+
 def stored(df: DataFrame) -> DataFrame:
     """As settle, for large tables: Parquet in the shared folder takes less room than a checkpoint."""
-    at = f"{scratch_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    at = f"{_SCOPES[-1] if _SCOPES else scratch_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def remove(spark: SparkSession, at: str) -> None:
+    """Remove a folder of the shared storage."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def exists(spark: SparkSession, at: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables stored inside are removed at the end; what is computed from them must be written by then."""
+    _SCOPES.append(f"{scratch_dir(spark)}/scratch-{uuid.uuid4().hex}")
+    try:
+        yield
+    finally:
+        remove(spark, _SCOPES.pop())
+
+
 def small(df: DataFrame, most_rows: int) -> DataFrame:
     """df with a broadcast hint if a count proves it to have at most most_rows rows; else df as it is."""
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df

@@ -128,25 +128,36 @@ def plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, block: int = BL
 
 
 def taken(rows: DataFrame, pieces: DataFrame) -> DataFrame:
-    """rows with taken: the words that the mix takes of each document, repeats counted."""
-    sums = pieces.groupBy("sid", "spot", "nth").agg(F.sum("words").alias("_taken"))
+    """rows with taken, the words that the mix takes of each document, repeats counted, and first_slot, where it first does (else null)."""
+    sums = pieces.groupBy("sid", "spot", "nth").agg(F.sum("words").alias("_taken"), F.min("slot").alias("first_slot"))
     return rows.join(sums, ["sid", "spot", "nth"], "left").withColumn("taken", F.coalesce("_taken", F.lit(0)).cast("long")).drop("_taken")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, size, source_size, target, taken of every document."""
-    return taken(*plan(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken")
+    """doc_id, size, source_size, target, taken, first_slot of every document."""
+    return taken(*plan(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mix, whole: one copy for each time that most of a document is taken.
+    """The documents of the mix, whole, in the order of the schedule: one copy for each time that most of a document is taken.
 
-    A document id is repeated round(taken / size) times (of all its rows together), so at most
-    twice; documents without words, which no block holds, stay once.
+    A document id (null is one, too) is repeated round(taken / size) times (of all its rows
+    together), so at most twice; documents without words, which no block holds, stay once. A copy
+    stands at the slot that first takes of it, documents without words come first. Partitions are
+    ranges of slots, so that sources keep their shares in every part of the mix. All columns stay,
+    and texts are read whole, however long.
     """
-    found = taken(*plan(docs)).groupBy("doc_id").agg(F.sum("taken").alias("_t"), F.sum("size").alias("_s"))
-    copies = found.select(F.col("doc_id").alias("_id"), F.when(F.col("_s") == 0, 1).otherwise(F.round(F.col("_t") / F.col("_s"))).cast("int").alias("_n")).where("_n > 0")
-    return docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_i", F.explode(F.sequence(F.lit(1), "_n"))).select(*docs.columns)
+    rows, pieces = plan(docs)
+    per = pieces.groupBy("sid", "spot", "nth").agg(F.sum("words").alias("_t"), *[F.min(F.when(F.col("epoch") == e, F.col("slot"))).alias(f"_s{e}") for e in range(MAX_REPEATS)])
+    slots = [f"_s{e}" for e in range(MAX_REPEATS)]
+    found = rows.join(per, ["sid", "spot", "nth"], "left").groupBy("doc_id").agg(F.coalesce(F.sum("_t"), F.lit(0)).alias("_t"), F.sum("size").alias("_s"), *[F.min(s).alias(s) for s in slots])
+    number = F.when(F.col("_s") == 0, 1).otherwise(F.round(F.col("_t") / F.col("_s"))).cast("int")
+    copies = settle(found.select(F.col("doc_id").alias("_id"), F.slice(F.array(*slots), 1, number).alias("_slots")).where(F.size("_slots") > 0))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    out = keyed.join(copies, F.col("_row")["doc_id"].eqNullSafe(F.col("_id"))).select("_row", F.explode("_slots").alias("_slot"))
+    spread = F.xxhash64(F.col("_row")["doc_id"])  # so that documents without words fill several ranges
+    ordered = out.withColumn("_spread", spread).repartitionByRange("_slot", "_spread").sortWithinPartitions("_slot", "_spread")
+    return ordered.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 ORACLE_OP10 = r"""
@@ -167,10 +178,19 @@ lam(i, l) AS (
 t AS (
   SELECT source, source_size, least(2.0::DOUBLE * source_size, w * (SELECT l FROM lam WHERE i = 60)) AS target FROM s),
 o AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, round(t.target)::BIGINT AS want,
+  SELECT d.doc_id, d.source, d.size, t.source_size, t.target, round(t.target)::BIGINT AS want,
          coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id NULLS FIRST, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-       (greatest(0, least(pos + size, want) - pos) + greatest(0, least(source_size + pos + size, want) - source_size - pos))::BIGINT AS taken
-FROM o
+n AS (
+  SELECT source, b, coalesce(sum(b) OVER (ORDER BY source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo
+  FROM (SELECT source, ceil(round(target)::BIGINT / 1024.0)::BIGINT AS b FROM t)),
+v AS (SELECT unnest(range((SELECT sum(b) FROM n)::BIGINT)) AS point, greatest(1, length(bin(greatest(1, (SELECT sum(b) FROM n)::BIGINT - 1)))) AS bits),
+k AS (
+  SELECT n.source, x.slot, row_number() OVER (PARTITION BY n.source ORDER BY x.slot) - 1 AS rank
+  FROM (SELECT point, list_sum(list_transform(range(bits), lambda i: ((point >> i) & 1) << (bits - 1 - i)))::BIGINT AS slot FROM v) x
+  JOIN n ON x.point >= n.lo AND x.point < n.lo + n.b)
+SELECT o.doc_id, size, source_size, target,
+       (greatest(0, least(pos + size, want) - pos) + greatest(0, least(source_size + pos + size, want) - source_size - pos))::BIGINT AS taken,
+       k.slot AS first_slot
+FROM o LEFT JOIN k ON o.source IS NOT DISTINCT FROM k.source AND o.size > 0 AND o.pos < o.want AND k.rank = o.pos // 1024
 """

@@ -15,11 +15,13 @@ QUERIES = {
     "op8_sentencepiece": pieces.op8_sentencepiece,
     "op9_secrets": secrets.op9_secrets,
     "op10_mixing": mixing.op10_mixing,
+    "secret_ledger_runs": secrets.secret_ledger_runs,
 }
 ORACLES: dict[str, str] = {
     "op7_url_filter": urls.ORACLE_OP7,
     "op9_secrets": secrets.ORACLE_OP9,
     "op10_mixing": mixing.ORACLE_OP10,
+    "secret_ledger_runs": secrets.ORACLE_LEDGER_RUNS,
 }
 
 

@@ -8,12 +8,13 @@ rows that carry the blob. Everything is built from DataFrame functions.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import uuid
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.llm.common import settle, table, text_of
+from tramline.llm.common import exists, scratch_dir, settle, table, text_of
 
 _ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 
@@ -76,18 +77,14 @@ def spans(text: Column, rule: Rule) -> Column:
     return F.when(may, found).otherwise(F.array().cast(_SPANS))
 
 
-def addressed(versions: DataFrame, text_col: str = "text") -> DataFrame:
-    """versions with blob, the SHA-256 of the text (null as empty)."""
-    return versions.withColumn("blob", F.sha2(text_of(text_col), 256))
-
-
 def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
     """New ledger rows (blob, rule, spans), rule as kind@version, for the pairs that the ledger lacks.
 
-    One copy of each blob is read. A pair that finds nothing is recorded with an empty array, so
-    that it is not scanned again. Append the result to the ledger.
+    A blob is the SHA-256 of a text (null as empty); one copy of each is read, whole. A pair that
+    finds nothing is recorded with an empty array, so that it is not scanned again.
     """
-    blobs = addressed(versions, text_col).groupBy("blob").agg(F.first(text_of(text_col)).alias("_text"))
+    text = text_of(text_col)
+    blobs = versions.select(F.sha2(text, 256).alias("blob"), text.alias("_text")).groupBy("blob").agg(F.first("_text").alias("_text"))
     done = F.array().cast("array<string>")
     if ledger is not None:
         seen = ledger.groupBy("blob").agg(F.collect_set("rule").alias("_done"))
@@ -97,22 +94,43 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
     return blobs.select("blob", F.explode(F.array_compact(F.array(*found))).alias("_f")).select("blob", "_f.rule", "_f.spans")
 
 
-def findings(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
-    """versions with found: all spans (start, nth, end) of the rules, by start, then by the rule's place.
+def read_ledger(spark: SparkSession, at: str) -> DataFrame | None:
+    """The ledger stored at a folder, None if there is none yet."""
+    return spark.read.parquet(at) if exists(spark, at) else None
+
 
-    Null and empty texts have none. Repeated rows and copies each get the findings of their blob.
+def update_ledger(versions: DataFrame, at: str, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
+    """The ledger stored at a folder, after the pairs that it lacked have been scanned and appended.
+
+    A run that failed appends nothing; the next one scans its pairs.
     """
-    rows = scan(versions, ledger, rules, text_col)
-    if ledger is not None:
-        rows = rows.unionByName(ledger.select("blob", "rule", "spans"))
+    scan(versions, read_ledger(versions.sparkSession, at), rules, text_col).write.mode("append").parquet(at)
+    return read_ledger(versions.sparkSession, at)
+
+
+def _found(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...], text_col: str) -> DataFrame:
+    """(row, found) for each row of versions, from a ledger that has all its blobs."""
     place = F.coalesce(*[F.when(F.col("rule") == r.key, F.lit(i)) for i, r in enumerate(rules)])
-    hits = rows.where(F.size("spans") > 0).withColumn("_nth", place).where(F.col("_nth").isNotNull())
+    hits = ledger.where(F.size("spans") > 0).withColumn("_nth", place).where(F.col("_nth").isNotNull())
     each = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.col("_nth").alias("nth"), s["end"].alias("end")))
     # Settled, so that the join below shuffles both sides plainly and a blob with many copies is split.
     per_blob = settle(hits.groupBy("blob").agg(F.sort_array(F.flatten(F.collect_list(each))).alias("found")))
     none = F.array().cast("array<struct<start:bigint,nth:int,end:bigint>>")
-    joined = addressed(versions, text_col).join(per_blob, "blob", "left")
-    return joined.withColumn("found", F.coalesce("found", none)).drop("blob")
+    rows = versions.select(F.struct(*[F.col(f"`{c}`") for c in versions.columns]).alias("row"), F.sha2(text_of(text_col), 256).alias("blob"))
+    return rows.join(per_blob, "blob", "left").select("row", F.coalesce("found", none).alias("found"))
+
+
+def findings(versions: DataFrame, at: str | None = None, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
+    """versions with found: all spans (start, nth, end) of the rules, by start, then by the rule's place.
+
+    at is the folder of the ledger, which is read and appended to; None takes a new one in the
+    shared folder. Null and empty texts have no spans. Repeated rows and copies, whatever their
+    ids, each get the findings of their blob. Texts are read whole, however long. A column named
+    found is replaced; all others stay. An empty table gives an empty result.
+    """
+    at = at or f"{scratch_dir(versions.sparkSession)}/ledger-{uuid.uuid4().hex}"
+    both = _found(versions, update_ledger(versions, at, rules, text_col), rules, text_col)
+    return both.select(*[F.col("row")[c].alias(c) for c in versions.columns if c != "found"], "found")
 
 
 def _told(found: Column, rules: tuple[Rule, ...]) -> Column:
@@ -130,28 +148,49 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count(0), count(1), count(2), F.sha2(_told(base, RULES), 256).alias("base_sha256"), _told(F.col("found"), RULES).alias("spans"))
 
 
-def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str, at: str | None = None) -> DataFrame:
     """The documents with every found span replaced by [kind]; n_chars is counted anew where the text changed.
 
-    Overlapping spans are replaced as one, under the name of the first.
+    Overlapping spans are replaced as one, under the name of the first. All columns stay, null and
+    empty texts as they are. at is the folder of the ledger, as in findings.
     """
     kinds = F.array(*[F.lit(f"[{r.kind}]") for r in RULES])
-    found = findings(docs)
+    at = at or f"{scratch_dir(spark)}/ledger-{uuid.uuid4().hex}"
+    found = _found(docs, update_ledger(docs, at), RULES, "text")
+    old = F.col("row")["text"]
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
 
     def step(acc: Column, s: Column) -> Column:
         fresh = s["start"] >= acc["at"]
-        piece = F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.element_at(kinds, s["nth"] + 1))
+        piece = F.concat(acc["out"], F.substring(old, acc["at"] + 1, s["start"] - acc["at"]), F.element_at(kinds, s["nth"] + 1))
         return F.struct(F.when(fresh, piece).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
 
-    rest = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.char_length("text")))
+    rest = lambda acc: F.concat(acc["out"], F.substring(old, acc["at"] + 1, F.char_length(old)))
     hit = F.size("found") > 0
-    text = F.when(hit, F.aggregate("found", start, step, rest)).otherwise(F.col("text"))
-    out = found.withColumn("_new", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(hit, F.char_length("_new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.withColumn("text", F.col("_new")).select(*docs.columns)
-
+    out = found.select("row", "found", F.when(hit, F.aggregate("found", start, step, rest)).otherwise(old).alias("text"))
+    columns = {c: F.col("row")[c] for c in docs.columns} | {"text": F.col("text")}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.when(hit, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(columns["n_chars"])
+    return out.select(*[v.alias(c) for c, v in columns.items()])
+
+
+def secret_ledger_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """run, pairs: how many (blob, rule version) pairs of documents are scanned at first, again, and after one rule's new version."""
+    docs = table(spark, sf_dir, "documents").select("text")
+    at = f"{scratch_dir(spark)}/ledger-{uuid.uuid4().hex}"
+    raised = (replace(RULES[0], version=RULES[0].version + 1), *RULES[1:])
+    runs = []
+    for nth, rules in enumerate((RULES, RULES, raised), 1):
+        before = read_ledger(spark, at)
+        held = before.count() if before is not None else 0
+        runs.append((nth, update_ledger(docs, at, rules).count() - held))
+    return spark.createDataFrame(runs, "run int, pairs long")
+
+
+ORACLE_LEDGER_RUNS = f"""
+WITH b AS (SELECT count(DISTINCT coalesce(text, '')) AS n FROM documents)
+SELECT 1::INTEGER AS run, n * {len(RULES)} AS pairs FROM b UNION ALL SELECT 2, 0 UNION ALL SELECT 3, n FROM b
+"""
 
 _JOINED = "array_to_string(list_transform(list_sort(list_transform({0}, lambda x: {{'s': x.s, 'n': x.n, 'e': x.e}})), lambda x: ['assign','access','hex','jwt','forge','pem'][x.n + 1] || ':' || x.s || ':' || x.e), ',')"
 

@@ -65,13 +65,50 @@ def verdict_column(rule: Column, rules=RULES) -> Column:
     return F.coalesce(*[F.when(rule == r.name, F.lit(r.verdict)) for r in rules], F.lit(None).cast("string"))
 
 
+_PARTS = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?"
+
+
 def url_node(url: Column) -> Column:
-    """The URL without its fragment, which servers never see."""
-    return F.regexp_extract(url, r"^([^#]*)", 1)
+    """The URL as a node: scheme and host in lower case, an empty path as /, without dot segments and
+    without the fragment, which servers never see. Other strings lose the fragment only."""
+    part = lambda n: F.regexp_extract(url, _PARTS, n)
+    whole = F.concat(F.translate(part(1), _UPPER, _LOWER), F.lit("://"), F.translate(part(2), _UPPER, _LOWER), _without_dots(part(3)), part(4))
+    return F.when(F.regexp_like(url, F.lit(_PARTS)), whole).otherwise(F.regexp_extract(url, r"^([^#]*)", 1))
+
+
+def _without_dots(path: Column) -> Column:
+    """A path from the root without . and .. segments."""
+    steps = F.split(F.regexp_replace(path, "^/", ""), "/", -1)
+
+    def step(acc: Column, x: Column) -> Column:
+        up = F.slice(acc, 1, F.greatest(F.lit(0), F.size(acc) - 1))
+        return F.when(x == "..", up).when(x == ".", acc).otherwise(F.array_append(acc, x))
+
+    folded = F.aggregate(steps, F.array().cast("array<string>"), step)
+    ends = F.when(F.regexp_like(path, F.lit(r"/\.\.?$")), F.array_append(folded, F.lit(""))).otherwise(folded)
+    return F.concat(F.lit("/"), F.array_join(F.when(F.regexp_like(path, F.lit(r"(^|/)\.\.?(/|$)")), ends).otherwise(steps), "/"))
+
+
+def resolve(base: Column, link: Column) -> Column:
+    """The URL that a link of a page leads to, null where it names no host. &amp; is decoded."""
+    to = F.trim(F.regexp_replace(link, "(?i)&amp;", "&"))
+    scheme, host, path = (F.regexp_extract(base, _PARTS, n) for n in (1, 2, 3))
+    root = F.concat(scheme, F.lit("://"), host)
+    known = F.regexp_like(base, F.lit(_PARTS))
+    found = (
+        F.when(F.contains(to, F.lit("://")) & F.regexp_like(to, F.lit(_PARTS)), to)
+        .when(F.regexp_like(to, F.lit(r"^[A-Za-z][A-Za-z0-9+.-]*:")) | ~known, F.lit(None).cast("string"))
+        .when(F.startswith(to, F.lit("//")), F.concat(scheme, F.lit(":"), to))
+        .when(F.startswith(to, F.lit("/")), F.concat(root, to))
+        .when(F.startswith(to, F.lit("?")), F.concat(root, path, to))
+        .when((to == "") | F.startswith(to, F.lit("#")), F.lit(None).cast("string"))
+        .otherwise(F.concat(root, F.regexp_replace(F.when(path == "", F.lit("/")).otherwise(path), "[^/]*$", ""), to))
+    )
+    return url_node(found)
 
 
 def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(a, b): absolute canonical links and refresh redirects found in whole pages."""
+    """(a, b): canonical links and refresh redirects found in whole pages, resolved against the page's URL."""
     html = F.coalesce(F.col(html_col), F.lit(""))
     links = F.regexp_extract_all(html, F.lit(r"(?i)(<link\b[^>]*>)"), F.lit(1))
     links = F.filter(links, lambda x: F.regexp_like(x, F.lit(r"(?i)\brel\s*=\s*[\"']?canonical\b")))
@@ -80,33 +117,39 @@ def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html")
     metas = F.filter(metas, lambda x: F.regexp_like(x, F.lit(r"(?i)\bhttp-equiv\s*=\s*[\"']?refresh\b")))
     refresh = F.transform(metas, lambda x: F.regexp_extract(x, r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1))
     found = pages.where(F.contains(F.lower(html), F.lit("canonical")) | F.contains(F.lower(html), F.lit("http-equiv")))
-    found = found.select(url_node(F.col(url_col)).alias("a"), F.explode(F.concat(canonical, refresh)).alias("b"))
-    return found.where(F.contains("b", F.lit("://"))).select("a", url_node(F.col("b")).alias("b"))
+    found = found.select(F.col(url_col).alias("_url"), F.explode(F.concat(canonical, refresh)).alias("_to"))
+    return found.select(url_node(F.col("_url")).alias("a"), resolve(F.col("_url"), F.col("_to")).alias("b")).where("a is not null and b is not null")
 
 
 def judge(pages: DataFrame, edges: DataFrame | None = None, rules=RULES, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """pages with host, path, rule and verdict (instead of any columns of these names).
 
     edges, if given, are further redirects (a, b) beside those in the pages. Null urls and urls
-    without :// have an empty host and path, and no rule; a null url has no aliases.
+    without :// have an empty host and path, and no rule; a null url has no aliases. Rows with equal
+    urls are judged alike, and the links of all of them count. Pages are read whole, however long;
+    an empty table gives an empty result.
     """
-    url = F.col(url_col)
-    base = pages.drop("host", "path", "rule", "verdict").withColumns({"host": host_of(url), "path": path_of(url)}).withColumn("rule", rule_column(F.col("host"), F.col("path"), rules))
+    new = ["host", "path", "rule", "verdict"]
+    carry = [c for c in pages.columns if c not in new]
+    url = F.col("_url")
+    row = F.struct(*[F.col(f"`{c}`") for c in carry]).alias("_row")
+    base = pages.select(row, F.col(url_col).alias("_url"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
+    base = base.withColumn("rule", rule_column(F.col("host"), F.col("path"), rules)).withColumn("_at", url_node(url))
     links = alias_edges(pages, url_col, html_col)
     if edges is not None:
         links = links.union(edges.select(url_node(F.col("a")), url_node(F.col("b"))))
     parts = components(links)
     own = verdict_column(rule_column(host_of(F.col("node")), path_of(F.col("node")), rules), rules)
     decided = parts.groupBy("component").agg(F.min(own).alias("_alias"))  # allow sorts before block
-    alias = parts.join(decided, "component").where(F.col("_alias").isNotNull()).select(F.col("node").alias("_node"), "_alias")
-    slim = base.withColumn("_url", url_node(url))
-    joined = slim.join(settle(alias), F.col("_url") == F.col("_node"), "left")
-    return joined.withColumn("verdict", F.coalesce(verdict_column(F.col("rule"), rules), "_alias", F.lit("allow"))).drop("_url", "_node", "_alias")
+    alias = settle(parts.join(decided, "component").where(F.col("_alias").isNotNull()).select(F.col("node").alias("_node"), "_alias"))
+    joined = base.join(alias, F.col("_at") == F.col("_node"), "left")
+    verdict = F.coalesce(verdict_column(F.col("rule"), rules), "_alias", F.lit("allow")).alias("verdict")
+    return joined.select(*[F.col("_row")[c].alias(c) for c in carry], "host", "path", "rule", verdict)
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, host, path, rule, verdict of every page."""
-    return judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+    return judge(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "host", "path", "rule", "verdict")
 
 
 ORACLE_OP7 = r"""
