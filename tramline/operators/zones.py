@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import heapq
 import math
+import re
+import tempfile
 
 import numpy as np
 import pandas as pd
@@ -208,11 +210,13 @@ def connected(edges: DataFrame, nodes: DataFrame, node: str) -> DataFrame:
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    import tempfile
-
+    """df with its lineage cut in the session's shared folder; a local session may do without one, a cluster must name it."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()
 
 
