@@ -488,41 +488,103 @@ def table():
         pytest.skip("no piece model here")
 
 
-def test_ids_equal_the_library(table):
+class Plain:
+    """A piece table without relations: the best of neighbours, or the best sum, one word at a time."""
+
+    def __init__(self, table):
+        self.table, self.score, self.ids = table, {p: s for p, _, s in table.rows}, {p: i for p, i, _ in table.rows}
+
+    def word(self, word):
+        if self.table.merges:
+            parts = list(word)
+            while found := [(-self.score[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in self.score]:
+                i = min(found)[1]
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        else:
+            best = {0: (0.0, ())}
+            for j in range(1, len(word) + 1):
+                ways = [(best[i][0] + self.score[word[i:j]], -i, best[i][1] + (word[i:j],)) for i in range(j) if word[i:j] in self.score]
+                ways.append((best[j - 1][0] - 1e4, 1 - j, best[j - 1][1] + (word[j - 1],)))
+                best[j] = (lambda w: (w[0], w[2]))(max(ways))
+            parts = best[len(word)][1]
+        return [x for p in parts for x in ([self.ids[p]] if p in self.ids else [self.table.byte_base + b for b in p.encode()])]
+
+    def encode(self, text):
+        return [i for w in pieces.words(text) for i in self.word(w)]
+
+
+def test_ids_equal_the_library(spark, table, monkeypatch):
+    """Through the relations, with words forgotten again and again, long words, and marks in texts."""
     import sentencepiece
 
+    monkeypatch.setattr(pieces, "KNOWN_WORDS", 500)
     lib = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL_FILE)
-    mine, rnd = pieces.Encoder(table, {}), random.Random(9)
-    texts = ["".join(rnd.choice("ab  \n\t thein▁é😀日\r .,\u0000éx") for _ in range(rnd.randint(0, 40))) for _ in range(3000)] + [t or "" for _, t, *_ in make_docs()]
-    assert [mine.encode(t) for t in texts] == lib.encode(texts)
-    assert all(mine.decode(mine.encode(t)) == t for t in texts if "▁" not in t)
+    rnd = random.Random(9)
+    texts = ["".join(rnd.choice("ab  \n\t thein▁é😀日\r .,\u0000éx") for _ in range(rnd.randint(0, 40))) for _ in range(1500)] + [t or "" for _, t, *_ in make_docs()]
+    texts += ["a" * 3000, "internationalization" * 20 + " b", "   x  " * 50]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    codec = pieces.Codec(spark, table)
+    ids = {r["doc_id"]: r["ids"] for r in pieces.encode(docs, codec).collect()}
+    assert [ids[i] for i in range(len(texts))] == lib.encode(texts)
+    back = pieces.Encoder(table)
+    assert all(back.decode(ids[i]) == t for i, t in enumerate(texts) if "▁" not in t)
 
 
-def test_relations_fold_as_the_encoder_does(spark, table):
-    words = ["▁hello", "▁worth", "▁é日😀x", "\n", "▁▁▁▁b", "▁①", "▁internationalization", "x"]
+def test_relations_give_the_same_lattice_and_fold(spark, table):
+    words = ["▁hello", "▁worth", "▁é日😀x", "\n", "▁▁▁▁b", "▁①", "▁internationalization", "x", "▁" + "ab" * 31]
     w = spark.createDataFrame([(x,) for x in words], "word string")
     unigram = pieces.Pieces(tuple((p, i, -float(len(p)) ** 0.5 - i % 7) for p, i, _ in table.rows), table.byte_base, False)
     for t in (table, unigram):
-        one = pieces.Encoder(t, {})
-        found = pieces.segment(pieces.lattice(w, pieces.piece_table(spark, t), t.longest), t.merges, t.byte_base).collect()
-        assert {r["word"]: tuple(r["ids"]) for r in found} == {x: one.word(x) for x in words}
+        one, plain = pieces.Encoder(t), Plain(t)
+        edges = pieces.lattice(w, pieces.piece_table(spark, t), t.longest)
+        inside = {x["word"]: sorted((e["i"], e["j"], e["score"], e["id"]) for e in x["edges"]) for x in one.edges(words).to_pylist()}
+        assert {r["word"]: sorted(map(tuple, r["edges"])) for r in edges.collect()} == inside
+        found = pieces.segment(edges, t.merges, t.byte_base).collect()
+        assert {r["word"]: r["ids"] for r in found} == {x: plain.word(x) for x in words}
+        assert all(list(one.long(x)) == plain.word(x) for x in words)
 
 
 def test_op8_round_trip(spark, corpus, empty, table):
     data, docs = corpus
-    codec = pieces.Codec(docs, table)
-    plain = pieces.Encoder(table, {})
+    codec, plain = pieces.Codec(spark, table), Plain(table)
     ids = {r["doc_id"]: r["ids"] for r in pieces.encode(docs, codec).collect()}
     assert ids == {i: plain.encode(t) for i, t, *_ in data}
     back = {r["doc_id"]: r["text"] for r in pieces.decode(pieces.encode(docs, codec), codec).collect()}
     assert back == {i: t or "" for i, t, *_ in data}
-    assert pieces.encode(empty, pieces.Codec(empty, table)).count() == 0
+    assert pieces.encode(empty, codec).count() == 0
+    odd = docs.select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(1).alias("key"), F.lit(2).alias("words"))
+    assert sorted(map(len, (r["ids"] for r in pieces.encode(odd, codec).collect()))) == sorted(map(len, ids.values()))
+
+
+def test_unigram_documents(spark, corpus, table):
+    data, docs = corpus
+    unigram = pieces.Pieces(tuple((p, i, -float(len(p)) ** 0.5 - i % 7) for p, i, _ in table.rows), table.byte_base, False)
+    few = docs.where("doc_id < 20")
+    got = {r["doc_id"]: r["ids"] for r in pieces.encode(few, pieces.Codec(spark, unigram)).collect()}
+    plain = Plain(unigram)
+    assert got == {i: plain.encode(t) for i, t, *_ in data if i < 20}
+
+
+def test_unigram_words(spark):
+    got = {r["word"]: r["pieces"].split(" ") for r in pieces.unigram_words(spark, SF).collect()}
+    names = [r[0].lower() for t, c in (("nation", "n_name"), ("region", "r_name")) for r in spark.read.parquet(f"{SF}/{t}.parquet").select(c).collect()]
+    n = collections.Counter(x[i : i + k] for x in names for i in range(len(x)) for k in (1, 2, 3) if i + k <= len(x))
+    score = {p: round(np.log(c / 1000.0), 6) for p, c in n.items()}
+    cost = lambda parts: sum(score.get(p, -1e4) for p in parts)
+    assert got and all("".join(p) == w for w, p in got.items())
+    plain = Plain(pieces.Pieces(tuple((p, 0, s) for p, s in score.items()), 0, False))
+    plain.ids = {}
+    for w, p in list(got.items())[:200]:
+        best = {0: 0.0}
+        for j in range(1, len(w) + 1):
+            best[j] = max([best[i] + score[w[i:j]] for i in range(max(0, j - 3), j) if w[i:j] in score] + [best[j - 1] - 1e4])
+        assert cost(p) == pytest.approx(best[len(w)])
 
 
 def test_tokens_are_decoded(spark, corpus, table):
     data, docs = corpus
     got = {r["doc_id"]: (r["n_tokens"], r["decoded_sha256"]) for r in pieces.tokens(spark, docs, "").collect()}
-    plain = pieces.Encoder(table, {})
+    plain = Plain(table)
     assert got == {i: (len(plain.encode(t)), hashlib.sha256((t or "").encode()).hexdigest()) for i, t, *_ in data}
 
 

@@ -1,5 +1,6 @@
 """The pipeline's stages in order, each on what the one before kept."""
 
+import re
 from pathlib import Path
 
 import pytest
@@ -31,7 +32,7 @@ def test_stages(spark, tmp_path):
 
 def test_every_operator_is_registered():
     names = registry.queries()
-    assert sorted({int(n[2:].split("_")[0]) for n in names}) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names if re.match(r"op\d+_", n)) == list(range(1, 11))
 
 
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))

@@ -7,10 +7,11 @@ equality to the piece table and grouped by word. A fold with Spark's higher-orde
 segments the word: Viterbi over the scores for unigram models; for BPE models, whose ids come from
 merging the best neighbours first and not from the best sum, the merges over the same edges.
 
-Only distinct frequent words pass through the relations, a number bounded by a parameter; their
-table goes to all tasks. Rare words meet the same lattice and the same rule inside the task that
-reads them, since sending each occurrence of a word to its piece would move more than the texts.
-The choice of the frequent words changes no result.
+`lattice` has these relations as DataFrames, for a table of words. Documents go the same way inside
+their task, where they stay, since a shuffle of their words would move more than their texts: each
+task explodes the words that are new to it, probes the broadcast piece table and sends their edges
+to the fold; the fold's pieces come back to the task's documents, in the order of the rows. A task
+knows a bounded number of words at a time and folds again what it has forgotten.
 """
 
 from __future__ import annotations
@@ -20,23 +21,24 @@ import heapq
 import os
 import re
 from array import array
-from collections import Counter
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.llm.common import let, settle, table
+from tramline.llm.common import let, table, text_of
 
 MODEL_FILE = os.environ.get("TRAMLINE_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
-#: Words in the table of frequent words, at most, and their length in characters.
-FREQUENT_WORDS, FREQUENT_CHARS = 200_000, 32
-_KEPT_WORDS = 100_000
-_COUNTED = 200_000
+#: Words that a task knows at a time, and words in a row of lattices.
+KNOWN_WORDS, ROW_WORDS = 250_000, 256
+#: Longer words are merged by a heap inside the task, as the fold's time grows with the square of their length.
+LONG_WORD = 64
 MARK = "▁"
 _WORD = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
+_SPAN = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -90,14 +92,16 @@ def lattice(distinct: DataFrame, table_: DataFrame, longest: int) -> DataFrame:
 def fold_merges(word: Column, edges: Column) -> Column:
     """Borders of the pieces of a BPE word: the best edge over two neighbouring pieces is merged, leftmost first, until none is left."""
     n = F.char_length(word)
+    place = lambda i, j: i.cast("long") * _SPAN + j
+    costs = F.map_from_entries(F.transform(edges, lambda e: F.struct(place(e["i"], e["j"]).alias("k"), (-e["score"]).alias("v"))))
 
-    def step(at: Column, _: Column) -> Column:
-        between = lambda e: F.size(F.filter(at, lambda b: (b > e["i"]) & (b < e["j"])))
-        open_ = F.filter(edges, lambda e: F.array_contains(at, e["i"]) & F.array_contains(at, e["j"]) & (between(e) == 1))
-        best = F.array_min(F.transform(open_, lambda e: F.struct((-e["score"]).alias("s"), e["i"].alias("i"), e["j"].alias("j"))))
-        return let(best, lambda m: F.when(m.isNull(), at).otherwise(F.filter(at, lambda b: (b <= m["i"]) | (b >= m["j"]))))
+    def step(cost: Column, at: Column) -> Column:
+        over = F.transform(F.slice(at, 1, F.greatest(F.lit(0), F.size(at) - 2)), lambda b, k: F.struct(cost[place(b, F.get(at, k + 2))].alias("s"), k.alias("k")))
+        best = F.array_min(F.filter(over, lambda x: x["s"].isNotNull()))
+        return let(best, lambda m: F.when(m.isNull(), at).otherwise(F.filter(at, lambda _, k: k != m["k"] + 1)))
 
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), n - 1)), F.sequence(F.lit(0), n), step)
+    start = F.sequence(F.lit(0), n)
+    return let(costs, lambda cost: F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), n - 1)), start, lambda at, _: step(cost, at)))
 
 
 def fold_viterbi(word: Column, edges: Column, unknown: float = -1e4) -> Column:
@@ -120,124 +124,78 @@ def fold_viterbi(word: Column, edges: Column, unknown: float = -1e4) -> Column:
     return F.aggregate(F.sequence(F.lit(1), n), start, step, lambda best: F.get(best, n)["path"])
 
 
-def segment(lattices: DataFrame, merges: bool, byte_base: int) -> DataFrame:
-    """(word, ids) of lattices: the pieces between the fold's borders, bytes for characters without a piece."""
-    word, edges = F.col("word"), F.col("edges")
+def fold(word: Column, edges: Column, merges: bool) -> Column:
+    """The word's piece ids; -1 - i for the character at i, if it has no piece."""
     borders = fold_merges(word, edges) if merges else fold_viterbi(word, edges)
-    cut = lattices.withColumn("borders", borders)
-    pairs = F.transform(F.slice("borders", 1, F.size("borders") - 1), lambda b, k: F.struct(b.alias("i"), F.get("borders", k + 1).alias("j")))
-    hexes = lambda p: F.hex(F.encode(F.substring(word, p["i"] + 1, p["j"] - p["i"]), "UTF-8"))
-    fall = lambda p: F.transform(F.regexp_extract_all(hexes(p), F.lit("(..)"), F.lit(1)), lambda h: (F.conv(h, 16, 10).cast("int") + byte_base))
-    one = lambda p: F.transform(F.filter(edges, lambda e: (e["i"] == p["i"]) & (e["j"] == p["j"])), lambda e: e["id"])
-    ids = F.flatten(F.transform(pairs, lambda p: F.when(F.size(one(p)) > 0, one(p)).otherwise(fall(p))))
-    return cut.select("word", ids.alias("ids"))
-
-
-def piece_table(spark: SparkSession, pieces: Pieces) -> DataFrame:
-    return spark.createDataFrame(list(pieces.rows), "piece string, id int, score double")
+    ids = F.map_from_entries(F.transform(edges, lambda e: F.struct((e["i"].cast("long") * _SPAN + e["j"]).alias("k"), e["id"].alias("v"))))
+    named = lambda b, known: F.transform(F.slice(b, 1, F.size(b) - 1), lambda i, k: F.coalesce(known[i.cast("long") * _SPAN + F.get(b, k + 1)], -1 - i))
+    return let(borders, lambda b: let(ids, lambda known: named(b, known)))
 
 
-def frequent_words(docs: DataFrame, most: int = FREQUENT_WORDS, text_col: str = "text") -> DataFrame:
-    """(word, n): words between blanks that are counted often, at most `most` of them, over all texts.
-
-    Each task counts up to a fixed number of distinct words at a time and passes on those it met
-    three times or more. This only decides which words go through the relations.
-    """
-
-    def run(batches):
-        counts: Counter = Counter()
+def segment(lattices: DataFrame, merges: bool, byte_base: int) -> DataFrame:
+    """(word, ids) of lattices: the fold's pieces, bytes for characters without a piece."""
+    word = F.col("word")
+    hexes = lambda i: F.hex(F.encode(F.substring(word, -i, F.lit(1)), "UTF-8"))
+    fall = lambda i: F.transform(F.regexp_extract_all(hexes(i), F.lit("(..)"), F.lit(1)), lambda h: (F.conv(h, 16, 10).cast("int") + byte_base))
+    folded = lattices.select("word", fold(word, F.col("edges"), merges).alias("_ids"))
+    return folded.select("word", F.flatten(F.transform("_ids", lambda i: F.when(i >= 0, F.array(i)).otherwise(fall(i)))).alias("ids"))
 
-        def flush():
-            often = [(MARK + w, n) for w, n in counts.items() if n > 2 and 0 < len(w) < FREQUENT_CHARS and "\n" not in w and MARK not in w]
-            counts.clear()
-            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in often], pa.string()), pa.array([n for _, n in often], pa.int64())], names=["word", "n"])
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                for text in batch.column(0).slice(at, 64).to_pylist():
-                    counts.update((text or "").split(" "))
-                if len(counts) > _COUNTED:
-                    yield flush()
-        yield flush()
+def piece_table(spark: SparkSession, pieces: Pieces) -> DataFrame:
+    """The piece table as a DataFrame; the model's file bounds it, so that it may be broadcast."""
+    return spark.createDataFrame(list(pieces.rows), "piece string, id int, score double")
 
-    seen = docs.select(text_col).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return seen.orderBy(F.desc("n"), "word").limit(most)
 
+# ---- documents, inside their tasks ----
 
-# ---- inside a task ----
+_EDGES = "array<struct<word:string,edges:array<struct<i:int,j:int,score:double,id:int>>>>"
 
 
 class Encoder:
-    """Encodes and decodes texts in one process; keeps the ids of up to _KEPT_WORDS rare words beside the frequent ones."""
+    """The piece table at work in one process."""
 
-    def __init__(self, pieces: Pieces, frequent: dict[str, tuple[int, ...]]):
-        self.base, self.merges = pieces.byte_base, pieces.merges
-        # Ids by what stands between two blanks, its one leading mark left out; and by word.
-        self.frequent = {w[1:]: ids for w, ids in frequent.items() if w[0] == MARK and w[1:2] not in ("", MARK)}
-        self.known, self.inner = dict(self.frequent), {}
+    def __init__(self, pieces: Pieces):
+        self.base, self.merges, self.longest = pieces.byte_base, pieces.merges, pieces.longest
         self.id_of = {p: i for p, i, _ in pieces.rows}
-        self.scores = {p: s for p, _, s in pieces.rows}
-        self.longest = pieces.longest
-        self.raw = [b""] * (max(self.base + 255, *(i for _, i, _ in pieces.rows)) + 1)
-        for p, i, _ in pieces.rows:
-            self.raw[i] = p.replace(MARK, " ").encode()
+        size = max(self.base + 255, *(i for _, i, _ in pieces.rows)) + 1
+        self.scores, self.raw = np.zeros(size), [b""] * size
+        for p, i, s in pieces.rows:
+            self.raw[i], self.scores[i] = p.replace(MARK, " ").encode(), s
         for b in range(256):
             self.raw[self.base + b] = bytes([b])
 
-    def word(self, word: str) -> tuple[int, ...]:
-        found = self.known.get(word[1:]) if word[0] == MARK else self.inner.get(word)
-        return self._new(word) if found is None else found
-
-    def _part(self, part: str) -> tuple[int, ...]:
-        """The ids of a mark and a part without blanks and marks."""
-        if "\n" not in part:
-            found = self._new(MARK + part)
-        else:
-            found = tuple([i for w in _WORD.findall(MARK + part) for i in self.word(w)])
-        if len(part) <= 256:
-            if len(self.known) >= len(self.frequent) + _KEPT_WORDS:
-                self.known = dict(self.frequent)
-            self.known[part] = found
-        return found
-
-    def _new(self, word: str) -> tuple[int, ...]:
-        if self.merges and len(word) <= 64:
-            parts = self._short(word)
-        else:
-            borders = self._merged(word) if self.merges else self._viterbi(word)
-            parts = [word[a:b] for a, b in zip(borders, borders[1:])]
-        try:
-            found = tuple([self.id_of[p] for p in parts])
-        except KeyError:
-            found = tuple([i for p in parts for i in self._piece(p)])
-        if word[0] != MARK and len(word) <= 256:
-            if len(self.inner) >= _KEPT_WORDS // 2:
-                self.inner.clear()
-            self.inner[word] = found
-        return found
-
-    def _piece(self, part: str) -> list[int]:
-        got = self.id_of.get(part)
-        return [got] if got is not None else [self.base + b for b in part.encode("utf-8", "surrogatepass")]
-
-    def _short(self, word: str) -> list[str]:
-        """As fold_merges, for words of few characters: the best of the scores of neighbours, until there is none."""
-        get, none = self.scores.get, -float("inf")
-        parts = list(word)
-        scores = [get(a + b, none) for a, b in zip(parts, parts[1:])]
-        while scores and (best := max(scores)) > none:
-            i = scores.index(best)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del scores[i]
-            if i:
-                scores[i - 1] = get(parts[i - 1] + parts[i], none)
-            if i < len(scores):
-                scores[i] = get(parts[i] + parts[i + 1], none)
-        return parts
+    def edges(self, some: list[str]) -> pa.Array:
+        """The lattices of words, as the relations of `lattice` give them: an array of _EDGES' elements."""
+        get, longest = self.id_of.get, self.longest
+        i_, j_, id_, ends = array("i"), array("i"), array("i"), array("i", [0])
+        for word in some:
+            n = len(word)
+            for i in range(n):
+                for j in range(i + 1, min(n, i + longest) + 1):
+                    if (got := get(word[i:j])) is not None:
+                        i_.append(i)
+                        j_.append(j)
+                        id_.append(got)
+            ends.append(len(id_))
+        ids = np.frombuffer(id_, np.int32) if id_ else np.empty(0, np.int32)
+        flat = pa.StructArray.from_arrays([pa.array(i_, pa.int32()), pa.array(j_, pa.int32()), pa.array(self.scores[ids]), pa.array(ids)], names=["i", "j", "score", "id"])
+        return pa.StructArray.from_arrays([pa.array(some, pa.string()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], names=["word", "edges"])
+
+    def named(self, word: str, found: list[int]) -> tuple[int, ...]:
+        """The ids of a word from its fold: bytes for characters without a piece."""
+        if min(found) >= 0:
+            return tuple(found)
+        return tuple([x for i in found for x in ((i,) if i >= 0 else [self.base + b for b in word[-1 - i].encode()])])
+
+    def long(self, word: str) -> tuple[int, ...]:
+        """The ids of a word over LONG_WORD characters."""
+        borders = self._merged(word) if self.merges else self._best(word)
+        return self.named(word, [self.id_of.get(word[a:b], -1 - a) for a, b in zip(borders, borders[1:])])
 
     def _merged(self, word: str) -> list[int]:
         """As fold_merges, with a heap of the edges over two neighbours."""
-        n, ids = len(word), self.scores
+        n = len(word)
+        ids = _Costs(self.id_of, self.scores)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         alive = [True] * n
         heap = [(-got, i, i + 2) for i in range(n - 1) if (got := ids.get(word[i : i + 2])) is not None]
@@ -257,14 +215,14 @@ class Encoder:
                     heapq.heappush(heap, (-got, left, j))
         return [i for i in range(n) if alive[i]] + [n]
 
-    def _viterbi(self, word: str, unknown: float = -1e4) -> list[int]:
+    def _best(self, word: str, unknown: float = -1e4) -> list[int]:
         """As fold_viterbi."""
         best, last = [0.0], [0]
         for j in range(1, len(word) + 1):
             top = (best[j - 1] + unknown, 1 - j)
             for i in range(max(0, j - self.longest), j):
-                if (got := self.scores.get(word[i:j])) is not None:
-                    top = max(top, (best[i] + got, -i))
+                if (got := self.id_of.get(word[i:j])) is not None:
+                    top = max(top, (best[i] + self.scores[got], -i))
             best.append(top[0])
             last.append(-top[1])
         path = [len(word)]
@@ -272,86 +230,129 @@ class Encoder:
             path.append(last[path[-1]])
         return path[::-1]
 
-    def encode(self, text: str | None) -> list[int]:
-        if not text:
-            return []
-        out: list[int] = []
-        if MARK in text:
-            for w in words(text):
-                out += self.word(w)
-            return out
-        get, blanks = self.known.get, 0
-        for part in text.split(" "):
-            if not part:
-                blanks += 1
-                continue
-            if blanks:
-                for w in _WORD.findall(MARK * (blanks + 1) + part):
-                    out += self._new(w) if w[0] == MARK else self.word(w)
-                blanks = 0
-                continue
-            found = get(part)
-            if found is None:
-                found = self._part(part)
-                get = self.known.get
-            out += found
-        return out + list(self._new(MARK * blanks)) if blanks else out
-
     def decode(self, ids: list[int]) -> str:
         """The text of ids: pieces joined, marks as spaces, without the first one."""
         raw = b"".join(map(self.raw.__getitem__, ids))
         return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
+class _Costs:
+    """Scores by piece."""
+
+    def __init__(self, id_of: dict[str, int], scores: np.ndarray):
+        self.id_of, self.scores = id_of, scores
+
+    def get(self, piece: str) -> float | None:
+        found = self.id_of.get(piece)
+        return None if found is None else float(self.scores[found])
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
 class Codec:
-    """Piece table and frequent words, built once and sent to the tasks as one broadcast of bounded size."""
+    """A piece table, sent to the tasks as one broadcast that the model's file bounds."""
 
-    def __init__(self, docs: DataFrame, pieces: Pieces | None = None, text_col: str = "text"):
-        spark = docs.sparkSession
+    def __init__(self, spark: SparkSession, pieces: Pieces | None = None):
         pieces = pieces or load_pieces()
-        often = settle(frequent_words(docs, text_col=text_col).select("word"))
-        ids = segment(lattice(often, piece_table(spark, pieces), pieces.longest), pieces.merges, pieces.byte_base)
-        rows = ids.collect()
-        flat = np.fromiter((i for r in rows for i in r["ids"]), np.int32)
-        self.key = os.urandom(8).hex()
-        self.sent = spark.sparkContext.broadcast((pieces, [r["word"] for r in rows], flat, [len(r["ids"]) for r in rows]))
+        self.key, self.merges = os.urandom(8).hex(), pieces.merges
+        self.sent = spark.sparkContext.broadcast(pieces)
 
     def here(self) -> Encoder:
-        """The encoder of this process. Numbers are shared among the words, which keeps it small."""
+        """The encoder of this process."""
         if self.key not in _ENCODERS:
             _ENCODERS.clear()
-            pieces, often, flat, sizes = self.sent.value
-            shared: dict[int, int] = {}
-            every = [shared.setdefault(i, i) for i in flat.tolist()]
-            ends = np.cumsum(sizes).tolist()
-            _ENCODERS[self.key] = Encoder(pieces, {w: tuple(every[e - n : e]) for w, n, e in zip(often, sizes, ends)})
+            _ENCODERS[self.key] = Encoder(self.sent.value)
         return _ENCODERS[self.key]
 
     def __getstate__(self):
-        return {"key": self.key, "sent": self.sent}
+        return {"key": self.key, "merges": self.merges, "sent": self.sent}
 
 
-def encode(docs: DataFrame, codec: Codec | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids) of every row: the piece ids of the whole text. Null and empty texts have none."""
-    codec = codec or Codec(docs, text_col=text_col)
-    kind = docs.schema[id_col].dataType.simpleString()
+def with_lattices(docs: DataFrame, codec: Codec) -> DataFrame:
+    """(key, text, fresh, words) from (key, text): each document, and before it rows with the lattices of the
+    words that its task doesn't know yet; fresh tells that the task has forgotten all words before."""
+    kind = docs.schema["key"].dataType.simpleString()
 
     def run(batches):
-        encoder = codec.here()
+        encoder, known, fresh = codec.here(), set(), True
+        schema = None
+        for batch in batches:
+            key = batch.schema.field(0).type
+            schema = schema or pa.schema([("key", key), ("text", pa.string()), ("fresh", pa.bool_()), ("words", pa.list_(encoder.edges([]).type))])
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                needed = {w for text in part.column(1).to_pylist() for w in words(text) if len(w) <= LONG_WORD}
+                if len(known) > KNOWN_WORDS:
+                    known, fresh = set(), True
+                new = sorted(needed - known)
+                known |= needed
+                for begin in range(0, len(new), ROW_WORDS):
+                    edges = encoder.edges(new[begin : begin + ROW_WORDS])
+                    one = pa.ListArray.from_arrays(pa.array([0, len(edges)], pa.int32()), edges)
+                    yield pa.RecordBatch.from_arrays([pa.nulls(1, key), pa.nulls(1, pa.string()), pa.array([fresh]), one], schema=schema)
+                    fresh = False
+                n = part.num_rows
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([False] * n), pa.nulls(n, schema.field(3).type)], schema=schema)
+
+    return docs.select("key", "text").mapInArrow(run, f"key {kind}, text string, fresh boolean, words {_EDGES}")
+
+
+def coded(docs: DataFrame, codec: Codec, id_col: str, text_col: str, what, fields: str) -> DataFrame:
+    """(key, *fields) for each row of docs: what(encoder, ids) gives the values from the ids of the whole text.
+
+    The rows of a partition keep their order from the lattices through the fold, so that the fold
+    of each word is there before the documents that need it.
+    """
+    keyed = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
+    kind = keyed.schema["key"].dataType.simpleString()
+    folds = F.transform("words", lambda w: F.struct(w["word"].alias("word"), fold(w["word"], w["edges"], codec.merges).alias("ids")))
+    folded = with_lattices(keyed, codec).select("key", "text", "fresh", folds.alias("words"))
+    out = pa.schema([(f.split()[0], {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}[f.split()[1]]) for f in fields.split(", ")])
+
+    def run(batches):
+        encoder, known = codec.here(), {}
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                ids = pa.array(map(encoder.encode, part.column(1).to_pylist()), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column(0), ids], names=[id_col, "ids"])
-
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+                rows, keys = [], []
+                for nth, (text, fresh, new) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist(), part.column(3))):
+                    if new.is_valid:
+                        if fresh:
+                            known = {}
+                        flat = new.values
+                        ids = flat.field("ids")
+                        ends, values = ids.offsets.to_pylist(), ids.flatten().to_pylist()
+                        first = ends[0]
+                        for word, a, b in zip(flat.field("word").to_pylist(), ends, ends[1:]):
+                            known[word] = encoder.named(word, values[a - first : b - first])
+                        continue
+                    every = words(text)
+                    if every and len(max(every, key=len)) > LONG_WORD:
+                        ids = list(chain.from_iterable([known[w] if len(w) <= LONG_WORD else encoder.long(w) for w in every]))
+                    else:
+                        ids = list(chain.from_iterable(map(known.__getitem__, every)))
+                    keys.append(nth)
+                    rows.append(what(encoder, ids))
+                if rows:
+                    columns = [pa.array(c, f.type) for c, f in zip(zip(*rows), out)]
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(keys)), *columns], names=["key", *out.names])
+
+    return folded.mapInArrow(run, f"key {kind}, {fields}")
+
+
+def encode(docs: DataFrame, codec: Codec, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ids) of every row: the piece ids of the whole text.
+
+    Null and empty texts have none; null and repeated ids and repeated rows are rows like any
+    other; other columns are not read; an empty table gives an empty result.
+    """
+    found = coded(docs, codec, id_col, text_col, lambda _, ids: (ids,), "ids array<int>")
+    return found.withColumnRenamed("key", id_col)
 
 
 def decode(encoded: DataFrame, codec: Codec, id_col: str = "doc_id") -> DataFrame:
-    """(id, text) of (id, ids)."""
+    """(id, text) of (id, ids); null and empty ids give the empty text. See encode for odd rows."""
     kind = encoded.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -367,41 +368,32 @@ def decode(encoded: DataFrame, codec: Codec, id_col: str = "doc_id") -> DataFram
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (of the ids as 32-bit numbers), decoded_sha256, decoded_chars of every document."""
-    docs = table(spark, sf_dir, "documents")
-    codec = Codec(docs)
-    kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def digest(batches):
-        encoder = codec.here()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                rows = []
-                for text in part.column(1).to_pylist():
-                    ids = encoder.encode(text)
-                    back = encoder.decode(ids)
-                    rows.append((len(ids), hashlib.sha256(array("i", ids).tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), len(back)))
-                arrays = [pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.string(), pa.string(), pa.int64()))]
-                yield pa.RecordBatch.from_arrays([part.column(0), *arrays], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "decoded_chars"])
+    def digest(encoder, ids):
+        back = encoder.decode(ids)
+        return len(ids), hashlib.sha256(array("i", ids).tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), len(back)
 
-    return docs.select("doc_id", "text").mapInArrow(digest, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, decoded_chars long")
+    found = coded(table(spark, sf_dir, "documents"), Codec(spark), "doc_id", "text", digest, "n_tokens long, ids_sha256 string, decoded_sha256 string, decoded_chars long")
+    return found.withColumnRenamed("key", "doc_id")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens, ids and decoded_sha256 (of the text decoded from the ids) of the documents."""
-    keyed = docs.withColumn("_key", F.struct("doc_id", "source"))
-    codec = Codec(docs)
-    found = encode(keyed, codec, "_key")
-    kind = found.schema["ids"].dataType.simpleString()
-    key = found.schema["_key"].dataType.simpleString()
-
-    def back(batches):
-        decoder = codec.here()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                digests = [hashlib.sha256(decoder.decode(ids).encode()).hexdigest() for ids in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(digests, pa.string())], names=["_key", "ids", "decoded_sha256"])
-
-    found = found.mapInArrow(back, f"_key {key}, ids {kind}, decoded_sha256 string")
-    return found.select("_key.doc_id", "_key.source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded_sha256")
+    """doc_id, source, n_tokens, ids and decoded_sha256 (of the text decoded from the ids) of the documents. See encode for odd rows."""
+    keyed = docs.select(F.struct("doc_id", "source").alias("key"), "text")
+    told = lambda encoder, ids: (ids, hashlib.sha256(encoder.decode(ids).encode()).hexdigest())
+    found = coded(keyed, Codec(spark), "key", "text", told, "ids array<int>, decoded_sha256 string")
+    return found.select("key.doc_id", "key.source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded_sha256")
+
+
+def unigram_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """word, pieces: the best path of each distinct word of at most LONG_WORD characters of benchmark, over the relations
+    and a unigram table: single letters and the two- and three-letter substrings of region and nation names, by how often they stand there."""
+    names = table(spark, sf_dir, "nation").select(F.lower("n_name").alias("w")).union(table(spark, sf_dir, "region").select(F.lower("r_name").alias("w")))
+    start = names.select("w", F.explode(F.sequence(F.lit(1), F.char_length("w"))).alias("i"))
+    parts = start.select(F.explode(F.array(*[F.when(F.col("i") + k - 1 <= F.char_length("w"), F.substring("w", F.col("i"), F.lit(k))) for k in (1, 2, 3)])).alias("piece")).where("piece is not null")
+    counted = parts.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+    pieces_ = counted.select("piece", F.lit(0).alias("id"), F.round(F.log(F.col("n") / 1000.0), 6).alias("score"))
+    every = table(spark, sf_dir, "benchmark").select(F.explode(F.split(F.lower(text_of()), "[^a-z]+")).alias("word")).where(F.char_length("word").between(1, LONG_WORD)).distinct()
+    cut = lattice(every, pieces_, 3).select("word", fold_viterbi(F.col("word"), F.col("edges")).alias("b"))
+    told = F.array_join(F.transform(F.slice("b", 1, F.size("b") - 1), lambda i, k: F.substring(F.col("word"), i + 1, F.get("b", k + 1) - i)), " ")
+    return cut.select("word", told.alias("pieces"))

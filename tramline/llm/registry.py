@@ -16,6 +16,7 @@ QUERIES = {
     "op9_secrets": secrets.op9_secrets,
     "op10_mixing": mixing.op10_mixing,
     "secret_ledger_runs": secrets.secret_ledger_runs,
+    "unigram_words": pieces.unigram_words,
 }
 ORACLES: dict[str, str] = {
     "op7_url_filter": urls.ORACLE_OP7,
