@@ -159,12 +159,15 @@ def _key(grams: np.ndarray) -> int:
 
 
 def prefix(grams: np.ndarray, common: np.ndarray, threshold: float) -> np.ndarray:
-    """The first n - ceil(threshold n) + 1 of n grams, common ones last.
+    """The first n - ceil(threshold n) + 1 of n grams, common ones last; both are in ascending order.
 
     Two sets with a Jaccard similarity of threshold or more share a gram of their prefixes in any
     order that is the same for all sets, so `common` changes no result, only the number of pairs.
     """
-    late = np.isin(grams, common)
+    late = np.zeros(len(grams), bool)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, grams), len(common) - 1)
+        late = common[at] == grams
     return np.concatenate((grams[~late], grams[late]))[: len(grams) - _least(len(grams), threshold) + 1]
 
 
