@@ -45,9 +45,32 @@ def rises(values: Column) -> Column:
     return let(values, lambda a: F.size(F.filter(a, lambda x, i: (i > 0) & (x < F.get(a, i - 1)))) == 0)
 
 
+#: Templates up to this length have their row of the table in the bits of a long.
+_BITS = 62
+
+
 def lcs_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence: a row of the table is folded over a, its cells over b."""
-    zeros = F.transform(F.concat(F.array(F.lit(0)), F.transform(b, lambda _: F.lit(0))), lambda x: x)
+    """Length of the longest common subsequence, folded over a.
+
+    The row of the table that belongs to an element of a is kept as differences of neighbours, one
+    bit for each element of b; longer b have it in chunks' place as an array of numbers.
+    """
+    return F.when(F.size(b) <= _BITS, _lcs_bits(a, b)).otherwise(_lcs_cells(a, b))
+
+
+def _lcs_bits(a: Column, b: Column) -> Column:
+    full = F.call_function("shiftleft", F.lit(1).cast("long"), F.size(b)) - 1
+    one = F.lit(1).cast("long")
+
+    def step(v: Column, x: Column) -> Column:
+        places = F.aggregate(b, F.struct(F.lit(0).cast("long").alias("m"), one.alias("p")), lambda acc, y: F.struct(F.when(y.eqNullSafe(x), acc["m"] + acc["p"]).otherwise(acc["m"]).alias("m"), (acc["p"] * 2).alias("p")), lambda acc: acc["m"])
+        return let(v.bitwiseAND(places), lambda u: ((v + u).bitwiseOR(v - u)).bitwiseAND(full))
+
+    return F.aggregate(a, full, step, lambda v: F.size(b) - F.bit_count(v))
+
+
+def _lcs_cells(a: Column, b: Column) -> Column:
+    zeros = F.concat(F.array(F.lit(0)), F.transform(b, lambda _: F.lit(0)))
 
     def row(prev: Column, x: Column) -> Column:
         def cell(acc: Column, j: Column) -> Column:
@@ -55,7 +78,7 @@ def lcs_length(a: Column, b: Column) -> Column:
             value = F.when(same, F.get(prev, j - 1) + 1).otherwise(F.greatest(F.get(prev, j), F.element_at(acc, -1)))
             return F.concat(acc, F.array(value))
 
-        return F.when(F.size(b) == 0, prev).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(b))), F.array(F.lit(0)), cell))
+        return F.aggregate(F.sequence(F.lit(1), F.size(b)), F.array(F.lit(0)), cell)
 
     return F.aggregate(a, zeros, row, lambda last: F.element_at(last, -1))
 

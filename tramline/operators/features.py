@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tramline.functions import times
+from tramline.operators.quantiles import exact_quantiles
 
 
 def merge_groups(groups: list[DataFrame], keys: list[str]) -> DataFrame:
@@ -122,7 +123,8 @@ def forward_fill(df: DataFrame, keys: list[str], at: str, value: str) -> DataFra
 
 def mode_shift(df: DataFrame, runs: str, regularity: str, weights: tuple[float, float] = (0.6, 0.4)) -> DataFrame:
     """df with score and tier: frequency capped at its 99th percentile and scaled, plus regularity; tiers split at 0.5 and 0.7, right-closed."""
-    cap = df.agg(F.percentile(runs, F.lit(0.99))).first()[0]
+    found = exact_quantiles(df, runs, [0.99])
+    cap = found[0] if found else None
     freq = F.least(F.col(runs) / F.lit(float(cap)), F.lit(1.0)) if cap else F.lit(0.0)
     score = weights[0] * freq + weights[1] * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.col(regularity), F.lit(0.0))))
     tier = F.when(F.col("score") <= 0.5, "T3").when(F.col("score") <= 0.7, "T2").otherwise("T1")

@@ -41,10 +41,19 @@ def asof_nearest(left: DataFrame, right: DataFrame, by: list[str], on: str, row_
 
 
 def band_nearest(left: DataFrame, right: DataFrame, by: list[str], left_min: str, right_min: str, row_id: str, window_min: float, value: str) -> DataFrame:
-    """left with the right row of the same `by` whose time of day is nearest around the clock, within window_min; ties to the lesser value."""
-    r = right.select(*[F.col(c).alias(f"_{c}") for c in by], F.col(right_min).alias("_m"), F.col(value).alias("_value"))
+    """left with the right row of the same `by` whose time of day is nearest around the clock, within window_min; ties to the lesser value.
+
+    Rows meet in parts of the day at least as wide as the window. Of the right rows of a part and a
+    minute only the least value can win, so the others go before they meet.
+    """
+    n = max(1, int(1440 // max(window_min, 1.0)))
+    part = lambda m: F.floor(F.pmod(m, F.lit(1440.0)) / F.lit(1440.0 / n)).cast("int")
+    least = right.groupBy(*by, right_min).agg(F.min(value).alias("_value")).where(F.col(right_min).isNotNull())
+    near_by = F.array_distinct(F.array(*[F.pmod(part(F.col(right_min)) + d, F.lit(n)) for d in (-1, 0, 1)]))
+    r = least.select(*[F.col(c).alias(f"_{c}") for c in by], F.col(right_min).alias("_m"), "_value", F.explode(near_by).alias("_part"))
     d = times.circular_minutes(F.col(left_min), F.col("_m"))
-    near = left.select(row_id, left_min, *by).join(r, [F.col(c) == F.col(f"_{c}") for c in by]).withColumn("_d", d).where(F.col("_d") <= window_min)
+    keys = [F.col(c) == F.col(f"_{c}") for c in by] + [part(F.col(left_min)) == F.col("_part")]
+    near = left.select(row_id, left_min, *by).join(r, keys).withColumn("_d", d).where(F.col("_d") <= window_min)
     best = near.groupBy(row_id).agg(F.min(F.struct("_d", "_value")).alias("_b")).select(F.col(row_id).alias("_id"), F.col("_b._value").alias(value), F.round("_b._d", 6).alias("delta_min"))
     return left.join(best, F.col(row_id) == F.col("_id"), "left").drop("_id")
 
@@ -71,21 +80,24 @@ def snap(points: DataFrame, stops: DataFrame, radius_m: float = 200.0, row_id: s
     return points.join(best, F.col(row_id) == F.col("_id"), "left").drop("_id")
 
 
-def nearest_k(points: DataFrame, centres: DataFrame, k: int, point_id: str, centre_id: str, most_centres: int = 1_000) -> DataFrame:
-    """(point_id, centre_id, distance_km, rank): the k nearest centres of each point by great circle.
+#: Centres that nearest_k sends to all tasks, at most: some 2 MB.
+MOST_CENTRES = 50_000
+
+
+def nearest_k(points: DataFrame, centres: DataFrame, k: int, point_id: str, centre_id: str, most_centres: int = MOST_CENTRES) -> DataFrame:
+    """(point_id, centre_id, distance_km, rank): the k nearest centres of each point by great circle; ties to the lesser centre_id.
 
-    centres is a stated query set of at most most_centres rows, carried as one array beside each
-    point; more raise ValueError, so that no product of two large tables arises.
+    centres is a stated query set of at most most_centres rows, sent to all tasks as one array; more
+    raise ValueError, so that no product of two large tables arises.
     """
-    rows = centres.where(F.col("lat").isNotNull() & F.col("lng").isNotNull()).select(centre_id, "lat", "lng").limit(most_centres + 1).collect()
-    if len(rows) > most_centres:
+    usable = centres.where(F.col("lat").isNotNull() & F.col("lng").isNotNull())
+    n = usable.limit(most_centres + 1).count()
+    if n > most_centres:
         raise ValueError(f"more than {most_centres} centres; use snap() with a radius")
-    kind = centres.schema[centre_id].dataType.simpleString()
-    if not rows:
-        return points.select(point_id).limit(0).selectExpr(point_id, f"cast(null as {kind}) {centre_id}", "0D distance_km", "0 rank")
-    held = F.array(*[F.struct(F.lit(r[0]).cast(kind).alias("c"), F.lit(r[1]).alias("lat"), F.lit(r[2]).alias("lng")) for r in rows])
-    d = F.transform(held, lambda c: F.struct((geo.haversine_m(F.col("lat"), F.col("lng"), c["lat"], c["lng"]) / 1000).alias("d"), c["c"].alias("c")))
-    top = points.where(F.col("lat").isNotNull() & F.col("lng").isNotNull()).select(point_id, F.posexplode(F.slice(F.array_sort(d), 1, k)).alias("i", "x"))
+    listed = usable.groupBy().agg(F.collect_list(F.struct(F.col(centre_id).alias("c"), "lat", "lng")).alias("_all")).withColumn("_k", F.lit(1))
+    held = points.where(F.col("lat").isNotNull() & F.col("lng").isNotNull()).select(point_id, "lat", "lng", F.lit(1).alias("_k")).join(F.broadcast(listed), "_k")
+    d = F.transform("_all", lambda c: F.struct((geo.haversine_m(F.col("lat"), F.col("lng"), c["lat"], c["lng"]) / 1000).alias("d"), c["c"].alias("c")))
+    top = held.select(point_id, F.posexplode(F.slice(F.array_sort(d), 1, k)).alias("i", "x"))
     return top.select(point_id, F.col("x.c").alias(centre_id), F.col("x.d").alias("distance_km"), (F.col("i") + 1).alias("rank"))
 
 
@@ -97,19 +109,23 @@ def idw(neighbours: DataFrame, values: DataFrame, point_id: str, centre_id: str,
     return joined.groupBy(point_id, at).agg(*[mean(c).alias(c) for c in names])
 
 
-def assign_zone(points: DataFrame, zones: DataFrame, point_id: str, zone_id: str = "zone_id", most_zones: int = 1_000) -> DataFrame:
+def assign_zone(points: DataFrame, zones: DataFrame, point_id: str, zone_id: str = "zone_id", cell_deg: float = 0.02) -> DataFrame:
     """points with zone_id: the first zone (by id) whose polygon holds the point, else the one with the nearest centroid.
 
-    zones (zone_id, polygon, lat, lng) is a stated set of at most most_zones rows.
+    zones has zone_id, polygon (or null), lat and lng. Polygons enter all grid cells of their bounding
+    box, so a point meets those of its cell only; points outside all meet the centroids, of which
+    nearest_k takes MOST_CENTRES.
     """
-    rows = zones.select(zone_id, "polygon", "lat", "lng").orderBy(zone_id).limit(most_zones + 1).collect()
-    if len(rows) > most_zones:
-        raise ValueError(f"more than {most_zones} zones")
-    kind = zones.schema[zone_id].dataType.simpleString()
-    corner = lambda p: F.struct(F.lit(float(p["lat"])).alias("lat"), F.lit(float(p["lng"])).alias("lng"))
-    inside = [F.when(geo.point_in_polygon(F.col("lat"), F.col("lng"), F.array(*map(corner, r["polygon"]))), F.lit(r[zone_id]).cast(kind)) for r in rows if r["polygon"]]
-    near = F.array_min(F.array(*[F.struct(geo.haversine_m(F.col("lat"), F.col("lng"), F.lit(r["lat"]), F.lit(r["lng"])).alias("d"), F.lit(r[zone_id]).cast(kind).alias("z")) for r in rows]))["z"]
-    return points.withColumn(zone_id, F.when(F.col("lat").isNotNull() & F.col("lng").isNotNull(), F.coalesce(*inside, near)))
+    side = lambda c: F.transform("polygon", lambda p: p[c])
+    span = lambda c: F.sequence(F.floor(F.array_min(side(c)) / cell_deg), F.floor(F.array_max(side(c)) / cell_deg))
+    shapes = zones.where(F.size("polygon") > 2).select(F.col(zone_id).alias("_z"), "polygon", F.explode(span("lat")).alias("_x"), F.lit(None).alias("_n"))
+    shapes = shapes.select("_z", "polygon", "_x", F.explode(span("lng")).alias("_y"))
+    known = points.where(F.col("lat").isNotNull() & F.col("lng").isNotNull()).select(point_id, "lat", "lng", F.floor(F.col("lat") / cell_deg).alias("_x"), F.floor(F.col("lng") / cell_deg).alias("_y"))
+    inside = known.join(shapes, ["_x", "_y"]).where(geo.point_in_polygon(F.col("lat"), F.col("lng"), F.col("polygon"))).groupBy(point_id).agg(F.min("_z").alias("_z"))
+    outside = known.join(inside, point_id, "left_anti")
+    nearest = nearest_k(outside, zones.select(F.col(zone_id).alias("_z"), "lat", "lng"), 1, point_id, "_z").select(point_id, "_z")
+    found = inside.unionByName(nearest).withColumnRenamed("_z", zone_id)
+    return points.drop(zone_id).join(found, point_id, "left")
 
 
 def match_edges(points: DataFrame, edges: DataFrame, radius_m: float = 50.0, row_id: str = "id", max_abs_lat: float = 60.0) -> DataFrame:

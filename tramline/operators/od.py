@@ -64,7 +64,7 @@ def od_matrix(trips: DataFrame, origin: str, dest: str, weight: str, by: list[st
     return known.groupBy(F.col(origin).alias("origin"), F.col(dest).alias("destination"), *by).agg(*aggs)
 
 
-def zero_fill(od: DataFrame, zones: DataFrame, zone: str = "zone", most: int = 500) -> DataFrame:
+def zero_fill(od: DataFrame, zones: DataFrame, zone: str = "zone", most: int = 20_000) -> DataFrame:
     """A row for each ordered pair of zones, with flow 0 where od has none.
 
     The product of zones is the result asked for; above `most` zones it is refused.

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tramline.operators.storage import cut
+
 
 def fit_margins(seed: DataFrame, rows: DataFrame, cols: DataFrame, rounds: int = 20) -> DataFrame:
     """Iterative proportional fitting: seed (origin, destination, flow) scaled in turn to rows (origin, total) and cols (destination, total).
@@ -20,16 +22,10 @@ def fit_margins(seed: DataFrame, rows: DataFrame, cols: DataFrame, rounds: int =
     for _ in range(rounds):
         u = base.join(v, "destination").groupBy("origin").agg((F.first("_a") / F.sum(F.col("flow") * F.col("_v"))).alias("_u"))
         v = base.join(u, "origin").groupBy("destination").agg((F.first("_b") / F.sum(F.col("flow") * F.col("_u"))).alias("_v"))
-        u, v = _cut(u), _cut(v)
+        u, v = cut(u), cut(v)
     return base.join(u, "origin").join(v, "destination").select("origin", "destination", (F.col("flow") * F.col("_u") * F.col("_v")).alias("flow"))
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    from tramline.operators.zones import _cut as cut
-
-    return cut(df)
-
-
 def gravity(pairs: DataFrame, mass_o: str, mass_d: str, km: str, power: float = 2.0) -> DataFrame:
     """pairs with attraction: product of masses over distance to a power, distance at least 100 m."""
     return pairs.withColumn("attraction", F.col(mass_o) * F.col(mass_d) / F.pow(F.greatest(F.col(km), F.lit(0.1)), F.lit(power)))

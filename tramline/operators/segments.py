@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tramline.functions import seqs, times
+from tramline.operators.quantiles import exact_quantiles
 
 _UP_TO_NOW = (Window.unboundedPreceding, Window.currentRow)
 
@@ -53,8 +54,8 @@ def gap_quantiles(pings: DataFrame, shares: list[float], order: tuple[str, ...]
     """(share, gap_min): quantiles of the minutes between pings of a vehicle."""
     w = Window.partitionBy("vehicle_id").orderBy(*order)
     gaps = pings.select(((times.elapsed_s(F.lag("ts").over(w), F.col("ts"))) / 60).alias("gap"))
-    q = gaps.agg(F.percentile("gap", F.array(*map(F.lit, shares))).alias("q"))
-    return q.select(F.posexplode("q").alias("i", "gap_min")).select(F.element_at(F.array(*map(F.lit, shares)), F.col("i") + 1).alias("share"), "gap_min")
+    found = exact_quantiles(gaps, "gap", shares) or [None] * len(shares)
+    return pings.sparkSession.createDataFrame(list(zip(map(float, shares), found)), "share double, gap_min double")
 
 
 def segment_sequences(segmented: DataFrame, stop: str = "stop_id", min_stops: int = 4, order: tuple[str, ...] = ("ts", "id")) -> DataFrame:

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import heapq
 import math
-import re
-import tempfile
 
 import numpy as np
 import pandas as pd
@@ -13,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tramline.functions import geo
+from tramline.operators.quantiles import exact_quantiles
+from tramline.operators.storage import cut
 
 
 def grid_cells(lat_min: float, lat_max: float, lng_min: float, lng_max: float, spacing_km: float, spark) -> DataFrame:
@@ -49,7 +49,7 @@ def building_levels(levels: Column) -> Column:
 
 def robust_z(df: DataFrame, value: str, name: str, clip: float = 5.0) -> DataFrame:
     """Distance from the median over the interquartile range, within plus or minus clip; 0 where all are alike."""
-    q = df.agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))).first()[0]
+    q = exact_quantiles(df, value, [0.25, 0.5, 0.75])
     if q is None or q[2] == q[0]:
         return df.withColumn(name, F.lit(0.0))
     z = (F.col(value) - F.lit(q[1])) / F.lit(q[2] - q[0])
@@ -158,38 +158,59 @@ def intra_zonal_s(area_km2: Column, kmh: float = 20.0) -> Column:
     return F.coalesce(0.52 * F.sqrt(area_km2) / kmh * 3600, F.lit(300.0))
 
 
-def shortest_paths(edges: DataFrame, origins: DataFrame, most_edges: int = 5_000_000) -> DataFrame:
-    """(origin, node, cost) from each origin to all nodes it reaches, over undirected edges (a, b, cost).
+def _paths(graph: dict, origin) -> pd.DataFrame:
+    """(origin, node, cost) of the nodes that one origin reaches."""
+    best, heap = {origin: 0.0}, [(0.0, origin)]
+    while heap:
+        d, u = heapq.heappop(heap)
+        if d > best[u]:
+            continue
+        for v, c in graph.get(u, ()):
+            if d + c < best.get(v, math.inf):
+                best[v] = d + c
+                heapq.heappush(heap, (d + c, v))
+    return pd.DataFrame({"origin": origin, "node": list(best), "cost": list(best.values())})
 
-    The network is sent to all tasks, up to most_edges edges; origins are spread over tasks.
-    """
-    spark = edges.sparkSession
-    rows = edges.select("a", "b", "cost").where("cost >= 0").limit(most_edges + 1).toPandas()
-    if len(rows) > most_edges:
-        raise ValueError(f"more than {most_edges} edges")
+
+def _graph(rows: pd.DataFrame) -> dict:
     graph: dict = {}
-    for a, b, c in rows.itertuples(index=False):
+    for a, b, c in rows[["a", "b", "cost"]].itertuples(index=False):
         graph.setdefault(a, []).append((b, c))
         graph.setdefault(b, []).append((a, c))
-    sent = spark.sparkContext.broadcast(graph)
+    return graph
+
+
+def shortest_paths(edges: DataFrame, origins: DataFrame, small_edges: int = 500_000) -> DataFrame:
+    """(origin, node, cost) from each origin to all nodes it reaches, over undirected edges (a, b, cost).
+
+    A network of up to small_edges edges is sent to all tasks, and origins are spread over them. A
+    larger one is split into its connected components, each of which meets its origins in one group.
+    """
+    spark = edges.sparkSession
+    usable = edges.select("a", "b", "cost").where("cost >= 0")
+    starts = origins.select(F.col(origins.columns[0]).alias("origin")).distinct()
     kind = edges.schema["a"].dataType.simpleString()
+    schema = f"origin {kind}, node {kind}, cost double"
+    if usable.limit(small_edges + 1).count() <= small_edges:
+        sent = spark.sparkContext.broadcast(_graph(usable.toPandas()))
+
+        def run(batches):
+            for pdf in batches:
+                for origin in pdf["origin"]:
+                    yield _paths(sent.value, origin)
 
-    def run(batches):
-        network = sent.value
-        for pdf in batches:
-            for origin in pdf["origin"]:
-                best, heap = {origin: 0.0}, [(0.0, origin)]
-                while heap:
-                    d, u = heapq.heappop(heap)
-                    if d > best[u]:
-                        continue
-                    for v, c in network.get(u, ()):
-                        if d + c < best.get(v, math.inf):
-                            best[v] = d + c
-                            heapq.heappush(heap, (d + c, v))
-                yield pd.DataFrame({"origin": origin, "node": list(best), "cost": list(best.values())})
+        return starts.mapInPandas(run, schema)
+    nodes = usable.select(F.col("a").alias("node")).union(usable.select("b")).union(starts).distinct()
+    parts = connected(usable, nodes, "node")
+    of_edges = usable.join(parts.withColumnRenamed("node", "a"), "a").select("component", "a", "b", "cost")
+    of_starts = starts.join(parts.withColumnRenamed("node", "origin"), "origin").select("component", "origin")
 
-    return origins.select(F.col(origins.columns[0]).alias("origin")).distinct().mapInPandas(run, f"origin {kind}, node {kind}, cost double")
+    def group(some: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        graph = _graph(rows)
+        found = [_paths(graph, o) for o in some["origin"]]
+        return pd.concat(found) if found else pd.DataFrame({"origin": [], "node": [], "cost": []})
+
+    return of_starts.groupBy("component").cogroup(of_edges.groupBy("component")).applyInPandas(group, schema)
 
 
 def connected(edges: DataFrame, nodes: DataFrame, node: str) -> DataFrame:
@@ -202,24 +223,13 @@ def connected(edges: DataFrame, nodes: DataFrame, node: str) -> DataFrame:
         hop = label.join(spread, "node", "left").select("node", F.least("component", F.coalesce("m", "component")).alias("component"))
         up = hop.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
         label = hop.join(up, F.col("component") == F.col("_n"), "left").select("node", F.coalesce("_c", "component").alias("component"))
-        label = _cut(label)
+        label = cut(label)
         mark = label.agg(F.sum(F.xxhash64("node", "component").cast("decimal(38,0)"))).first()[0]
         if mark == before:
             return label
         before = mark
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut in the session's shared folder; a local session may do without one, a cluster must name it."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and not re.match(r"local(\[|$)", sc.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
-
-
 def convex_hull(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
     """Corners (lat, lng), counter-clockwise by longitude and latitude; fewer than three distinct points as they are."""
     pts = sorted({(lng, lat) for lat, lng in points})

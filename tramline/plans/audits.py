@@ -94,10 +94,10 @@ def best_row(spark, sf):
     return audit.best_row(i.flows(spark, sf).groupBy("origin").agg(F.sum("flow").alias("flow")), "flow", "origin")
 
 
-@query("template_od", f"WITH {i.TRIPS}, c AS (SELECT trip_id AS template_id, stops FROM trips WHERE trip_id < 40) SELECT o_orderkey AS segment_id, template_id, stops[1] AS origin_stop_id, stops[len(stops)] AS dest_stop_id FROM orders JOIN c ON template_id = o_orderkey % 40 WHERE (o_orderkey % 10) / 10.0 >= 0.3")
+@query("template_od", f"WITH {i.TRIPS}, c AS (SELECT trip_id AS template_id, stops FROM trips) SELECT o_orderkey AS segment_id, template_id, stops[1] AS origin_stop_id, stops[len(stops)] AS dest_stop_id FROM orders JOIN c ON template_id = o_orderkey // 2 WHERE (o_orderkey % 10) / 10.0 >= 0.3")
 def template_od(spark, sf):
-    c = i.trips(spark, sf).where("trip_id < 40").select(F.col("trip_id").alias("template_id"), "stops")
-    s = table(spark, sf, "orders").select(F.col("o_orderkey").alias("segment_id"), (F.col("o_orderkey") % 40).alias("template_id"), ((F.col("o_orderkey") % 10) / 10).alias("confidence"))
+    c = i.trips(spark, sf).select(F.col("trip_id").alias("template_id"), "stops")
+    s = table(spark, sf, "orders").select(F.col("o_orderkey").alias("segment_id"), F.floor(F.col("o_orderkey") / 2).alias("template_id"), ((F.col("o_orderkey") % 10) / 10).alias("confidence"))
     return od.template_od(s, c).select("segment_id", "template_id", "origin_stop_id", "dest_stop_id")
 
 

@@ -142,13 +142,10 @@ def route_catalog(spark, sf):
     return rounded(c.select("template_id", "n_trips", "median_start_min", "first_date", "last_date", "n_dates", "n_stops", text("stops", "-"), text("sample_trip_ids", ",")))
 
 
-_TEMPLATES = 60
-
-
-@query("route_candidates", f"WITH {i.TRIPS}, t AS (SELECT trip_id AS template_id, stops FROM trips WHERE trip_id < {_TEMPLATES} AND len(stops) >= 4), x AS (SELECT a.trip_id, t.template_id, len(list_intersect(a.stops, t.stops)) AS shared FROM trips a, t WHERE a.trip_id < 2000 AND len(a.stops) >= 4), y AS (SELECT *, max(shared) OVER (PARTITION BY trip_id) AS most FROM x WHERE shared > 0) SELECT trip_id, template_id, shared::BIGINT AS shared FROM y WHERE shared >= 2 OR most < 2 QUALIFY row_number() OVER (PARTITION BY trip_id ORDER BY shared DESC, template_id) <= 15")
+@query("route_candidates", f"WITH {i.TRIPS}, d AS (SELECT trip_id, unnest(list_distinct(stops)) AS stop FROM trips WHERE len(stops) >= 4), x AS (SELECT a.trip_id, t.trip_id AS template_id, count(*) AS shared FROM d a JOIN d t USING (stop) GROUP BY ALL), y AS (SELECT *, max(shared) OVER (PARTITION BY trip_id) AS most FROM x WHERE shared > 0) SELECT trip_id, template_id, shared::BIGINT AS shared FROM y WHERE shared >= 2 OR most < 2 QUALIFY row_number() OVER (PARTITION BY trip_id ORDER BY shared DESC, template_id) <= 15")
 def route_candidates(spark, sf):
     t = i.trips(spark, sf).where(F.size("stops") >= 4)
-    return routes.candidates(t.where("trip_id < 2000").select("trip_id", "stops"), t.where(f"trip_id < {_TEMPLATES}").select(F.col("trip_id").alias("template_id"), "stops"), ["trip_id"])
+    return routes.candidates(t.select("trip_id", "stops"), t.select(F.col("trip_id").alias("template_id"), "stops"), ["trip_id"])
 
 
 @query("route_match")
@@ -181,14 +178,15 @@ def schedule_similarity(spark, sf):
     return rounded(routes.schedule_similarity(o))
 
 
-_REACH = """st AS (SELECT DISTINCT p_size AS template_id, unnest([p_partkey % 120, (p_partkey * 7) % 120]) AS stop_id FROM part WHERE p_partkey < 90),
+_REACH = """st AS (SELECT DISTINCT p_partkey // 6 AS template_id, unnest([p_partkey // 2, p_partkey * 5 // 4]) AS stop_id FROM part),
 direct AS (SELECT DISTINCT least(x.stop_id, y.stop_id) AS a, greatest(x.stop_id, y.stop_id) AS b FROM st x JOIN st y USING (template_id) WHERE x.stop_id < y.stop_id),
 far AS (SELECT DISTINCT least(x.stop_id, y.stop_id) AS a, greatest(x.stop_id, y.stop_id) AS b FROM st x JOIN st m ON m.template_id = x.template_id JOIN st n ON n.stop_id = m.stop_id AND n.template_id <> m.template_id JOIN st y ON y.template_id = n.template_id WHERE x.stop_id <> y.stop_id),
 transfer AS (SELECT * FROM far EXCEPT SELECT * FROM direct)"""
 
 
 def _reach(spark, sf):
-    p = table(spark, sf, "part").where("p_partkey < 90").select(F.col("p_size").alias("template_id"), F.array(F.col("p_partkey") % 120, F.col("p_partkey") * 7 % 120).alias("s"))
+    k = F.col("p_partkey")
+    p = table(spark, sf, "part").select(F.floor(k / 6).alias("template_id"), F.array(F.floor(k / 2), F.floor(k * 5 / 4)).alias("s"))
     return routes.reachability(p.groupBy("template_id").agg(F.flatten(F.collect_list("s")).alias("stops")))
 
 
@@ -198,10 +196,11 @@ def reachability(spark, sf):
     return direct.withColumn("kind", F.lit("direct")).union(transfer.withColumn("kind", F.lit("transfer")))
 
 
-@query("service_gaps", f"WITH {_REACH}, q AS (SELECT l_partkey % 120 AS o, l_suppkey % 120 AS d, count(*) AS flow FROM lineitem WHERE l_partkey % 120 <> l_suppkey % 120 GROUP BY ALL), s AS (SELECT q.*, CASE WHEN direct.a IS NOT NULL THEN 'direct' WHEN transfer.a IS NOT NULL THEN 'transfer' ELSE 'gap' END AS status FROM q LEFT JOIN direct ON direct.a = least(o, d) AND direct.b = greatest(o, d) LEFT JOIN transfer ON transfer.a = least(o, d) AND transfer.b = greatest(o, d)) SELECT status, sum(flow)::BIGINT AS flow, count(*) AS n_pairs, count(DISTINCT o) AS n_origins FROM s GROUP BY 1")
+@query("service_gaps", f"WITH {_REACH}, q AS (SELECT l_partkey // 2 AS o, l_partkey // 2 + l_suppkey % 9 AS d, count(*) AS flow FROM lineitem WHERE l_suppkey % 9 <> 0 GROUP BY ALL), s AS (SELECT q.*, CASE WHEN direct.a IS NOT NULL THEN 'direct' WHEN transfer.a IS NOT NULL THEN 'transfer' ELSE 'gap' END AS status FROM q LEFT JOIN direct ON direct.a = least(o, d) AND direct.b = greatest(o, d) LEFT JOIN transfer ON transfer.a = least(o, d) AND transfer.b = greatest(o, d)) SELECT status, sum(flow)::BIGINT AS flow, count(*) AS n_pairs, count(DISTINCT o) AS n_origins FROM s GROUP BY 1")
 def service_gaps(spark, sf):
     direct, transfer = _reach(spark, sf)
-    li = table(spark, sf, "lineitem").select((F.col("l_partkey") % 120).alias("o"), (F.col("l_suppkey") % 120).alias("d")).where("o <> d").groupBy("o", "d").agg(F.count(F.lit(1)).alias("flow"))
+    o = F.floor(F.col("l_partkey") / 2)
+    li = table(spark, sf, "lineitem").select(o.alias("o"), (o + F.col("l_suppkey") % 9).alias("d")).where("o <> d").groupBy("o", "d").agg(F.count(F.lit(1)).alias("flow"))
     return features.service_status(li, direct, transfer, "o", "d").groupBy("status").agg(F.sum("flow").alias("flow"), F.count(F.lit(1)).alias("n_pairs"), F.countDistinct("o").alias("n_origins"))
 
 
@@ -235,12 +234,12 @@ def knn_idw(spark, sf):
     return rounded(nearest.idw(near, hourly, "point_id", "stop_id", "t", ["v"]))
 
 
-@query("band_nearest", "WITH l AS (SELECT o_orderkey, o_custkey % 50 AS k, (o_orderkey * 7 % 1440)::DOUBLE AS m FROM orders), r AS (SELECT o_orderkey AS trip, o_custkey % 50 AS k, (o_orderkey * 11 % 1440)::DOUBLE AS m FROM orders WHERE o_orderkey % 10 = 0), x AS (SELECT l.o_orderkey, least(abs(l.m - r.m), 1440 - abs(l.m - r.m)) AS d, r.trip FROM l JOIN r USING (k)), b AS (SELECT * FROM x WHERE d <= 45 QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY d, trip) = 1) SELECT l.o_orderkey, b.trip, round(b.d, 4) AS delta_min FROM l LEFT JOIN b USING (o_orderkey)")
+@query("band_nearest", "WITH l AS (SELECT o_orderkey, o_custkey % 50 AS k, (o_orderkey * 7 % 1440)::DOUBLE AS m FROM orders), r AS (SELECT o_orderkey AS trip, o_custkey % 50 AS k, (o_orderkey * 11 % 1440)::DOUBLE AS m FROM orders), x AS (SELECT l.o_orderkey, least(abs(l.m - r.m), 1440 - abs(l.m - r.m)) AS d, r.trip FROM l JOIN r USING (k)), b AS (SELECT * FROM x WHERE d <= 45 QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY d, trip) = 1) SELECT l.o_orderkey, b.trip, round(b.d, 4) AS delta_min FROM l LEFT JOIN b USING (o_orderkey)")
 def band_nearest(spark, sf):
     o = table(spark, sf, "orders")
     k = (F.col("o_custkey") % 50).alias("k")
     left = o.select("o_orderkey", k, (F.col("o_orderkey") * 7 % 1440).cast("double").alias("m"))
-    right = o.where("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("trip"), k, (F.col("o_orderkey") * 11 % 1440).cast("double").alias("rm"))
+    right = o.select(F.col("o_orderkey").alias("trip"), k, (F.col("o_orderkey") * 11 % 1440).cast("double").alias("rm"))
     return rounded(nearest.band_nearest(left, right, ["k"], "m", "rm", "o_orderkey", 45.0, "trip").select("o_orderkey", "trip", "delta_min"))
 
 

@@ -177,16 +177,16 @@ def od_matrix(spark, sf):
     return m.withColumnRenamed("observed_trips", "n")
 
 
-@query("od_zero_fill", f"WITH {i.FLOWS}, s AS (SELECT origin, destination, sum(flow) AS flow FROM flows WHERE year = 1998 AND origin % 2 = 0 GROUP BY ALL) SELECT a.n_nationkey AS origin, b.n_nationkey AS destination, coalesce(flow, 0)::DOUBLE AS flow FROM nation a CROSS JOIN nation b LEFT JOIN s ON s.origin = a.n_nationkey AND s.destination = b.n_nationkey")
+@query("od_zero_fill", f"WITH {i.FLOWS}, s AS (SELECT origin, destination, sum(flow) AS flow FROM flows WHERE year = 1998 GROUP BY ALL) SELECT a.n_nationkey AS origin, b.n_nationkey AS destination, coalesce(flow, 0)::DOUBLE AS flow FROM nation a CROSS JOIN nation b LEFT JOIN s ON s.origin = a.n_nationkey AND s.destination = b.n_nationkey")
 def od_zero_fill(spark, sf):
     zones = table(spark, sf, "nation").select(F.col("n_nationkey").alias("zone"))
-    return od.zero_fill(i.flows(spark, sf).where("year = 1998 and origin % 2 = 0"), zones)
+    return od.zero_fill(i.flows(spark, sf).where("year = 1998"), zones)
 
 
-@query("od_compare", f"WITH {i.FLOWS}, a AS (SELECT origin, destination, flow AS x FROM flows WHERE year = 1997 AND origin % 3 <> 0), b AS (SELECT origin, destination, flow AS y FROM flows WHERE year = 1998 AND destination % 3 <> 0), j AS (SELECT a.x IS NOT NULL AS i, b.y IS NOT NULL AS k, coalesce(x, 0) AS x, coalesce(y, 0) AS y FROM a FULL JOIN b USING (origin, destination)) SELECT count(*) AS n_pairs, count(*) FILTER (i AND k) AS n_common, sum(x) AS total_a, sum(y) AS total_b, round(corr(x, y), 6) AS correlation, round(sqrt(avg((x - y) * (x - y))), 6) AS rmse, round(avg(abs(x - y)), 6) AS mae FROM j")
+@query("od_compare", f"WITH {i.FLOWS}, a AS (SELECT origin, destination, flow AS x FROM flows WHERE year = 1997), b AS (SELECT origin, destination, flow AS y FROM flows WHERE year = 1998), j AS (SELECT a.x IS NOT NULL AS i, b.y IS NOT NULL AS k, coalesce(x, 0) AS x, coalesce(y, 0) AS y FROM a FULL JOIN b USING (origin, destination)) SELECT count(*) AS n_pairs, count(*) FILTER (i AND k) AS n_common, sum(x) AS total_a, sum(y) AS total_b, round(corr(x, y), 6) AS correlation, round(sqrt(avg((x - y) * (x - y))), 6) AS rmse, round(avg(abs(x - y)), 6) AS mae FROM j")
 def od_compare(spark, sf):
     f = i.flows(spark, sf)
-    return rounded(od.compare(f.where("year = 1997 and origin % 3 <> 0"), f.where("year = 1998 and destination % 3 <> 0")), 6)
+    return rounded(od.compare(f.where("year = 1997"), f.where("year = 1998")), 6)
 
 
 @query("od_intra_zone", f"WITH {i.FLOWS}, s AS (SELECT origin, destination, sum(flow) AS flow FROM flows GROUP BY ALL), o AS (SELECT *, sum(CASE WHEN origin <> destination THEN flow ELSE 0 END) OVER (PARTITION BY origin) * (0.3 / 0.7) AS want FROM s) SELECT origin, destination, round(CASE WHEN origin <> destination THEN flow WHEN flow > 0 THEN least(want, flow * 5) ELSE want END, 6) AS flow FROM o")

@@ -72,23 +72,28 @@ def weighted_centroids(spark, sf):
     return rounded(zones.weighted_centroids(i.zones(spark, sf), "district", "population"), 7)
 
 
-_EDGES = "e AS (SELECT p_partkey % 40 AS a, (p_partkey * 7 + 3) % 40 AS b, 1.0 + p_partkey % 5 AS cost FROM part WHERE p_partkey < 60 AND p_partkey % 40 < 25)"
+_EDGES = "e AS (SELECT p_partkey AS a, p_partkey // 40 * 40 + (p_partkey * 7 + 3) % 40 AS b, 1.0::DOUBLE + p_partkey % 5 AS cost FROM part WHERE p_partkey % 40 < 25)"
 
 
 def _edges(spark, sf):
+    """Streets of towns of forty places; the roles leave some places without a street of their own."""
     k = F.col("p_partkey")
-    return table(spark, sf, "part").where("p_partkey < 60 and p_partkey % 40 < 25").select((k % 40).alias("a"), ((k * 7 + 3) % 40).alias("b"), (1.0 + k % 5).alias("cost"))
+    return table(spark, sf, "part").where("p_partkey % 40 < 25").select(k.alias("a"), (F.floor(k / 40) * 40 + (k * 7 + 3) % 40).alias("b"), (1.0 + k % 5).alias("cost"))
 
 
-@query("network_skim", f"WITH RECURSIVE {_EDGES}, s AS (SELECT a, b, min(cost) AS cost FROM (SELECT a, b, cost FROM e UNION ALL SELECT b, a, cost FROM e) GROUP BY ALL), r(origin, node, cost, hops) AS (SELECT a, a, 0.0::DOUBLE, 0 FROM (SELECT DISTINCT a FROM e WHERE a < 5) UNION SELECT origin, s.b, (r.cost + s.cost)::DOUBLE, hops + 1 FROM r JOIN s ON s.a = r.node WHERE hops < 9 AND r.cost < 30) SELECT origin, node, min(cost) AS cost FROM r GROUP BY ALL")
+_SQUARE = "{1} AS (SELECT x.origin, y.node, min(x.cost + y.cost) AS cost FROM {0} x JOIN {0} y ON y.origin = x.node GROUP BY ALL)"
+_STEPS = ", ".join(_SQUARE.format(f"d{n}", f"d{n + 1}") for n in range(6))
+
+
+@query("network_skim", f"WITH {_EDGES}, d0 AS (SELECT origin, node, min(cost) AS cost FROM (SELECT a AS origin, b AS node, cost FROM e UNION ALL SELECT b, a, cost FROM e UNION ALL SELECT a, a, 0.0 FROM e UNION ALL SELECT b, b, 0.0 FROM e) GROUP BY ALL), {_STEPS} SELECT origin, node, cost FROM d6 WHERE origin IN (SELECT a FROM e)")
 def network_skim(spark, sf):
     e = _edges(spark, sf)
-    return zones.shortest_paths(e, e.where("a < 5").select("a"))
+    return zones.shortest_paths(e, e.select("a"))
 
 
-@query("connected_components", f"WITH RECURSIVE {_EDGES}, s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, other) AS (SELECT i, i FROM range(40) t(i) UNION SELECT r.node, s.b FROM r JOIN s ON s.a = r.other) SELECT node, min(other) AS component FROM r GROUP BY node")
+@query("connected_components", f"WITH RECURSIVE {_EDGES}, s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, other) AS (SELECT p_partkey, p_partkey FROM part UNION SELECT r.node, s.b FROM r JOIN s ON s.a = r.other) SELECT node, min(other) AS component FROM r GROUP BY node")
 def connected_components(spark, sf):
-    return zones.connected(_edges(spark, sf), spark.range(40), "id")
+    return zones.connected(_edges(spark, sf), table(spark, sf, "part").select("p_partkey"), "p_partkey")
 
 
 @query("region_merge")
@@ -106,9 +111,9 @@ def convex_hull(spark, sf):
     return zones.hulls(i.pings(spark, sf), "event_type").select("event_type", "n_points", F.size("hull").alias("n_corners"), F.round(geo.polygon_area_m2(F.col("hull")), 0).alias("area_m2"))
 
 
-@query("neighbour_cells", "WITH c AS (SELECT DISTINCT floor(user_id % 40 / 4)::INT AS row, floor(event_id % 30 / 3)::INT AS col FROM events WHERE event_id % 3 = 0) SELECT a.row, a.col, b.row AS row2, b.col AS col2 FROM c a JOIN c b ON abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1")
+@query("neighbour_cells", "WITH c AS (SELECT DISTINCT floor(user_id % 40 / 4)::INT AS row, floor(event_id % 30 / 3)::INT AS col FROM events) SELECT a.row, a.col, b.row AS row2, b.col AS col2 FROM c a JOIN c b ON abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1")
 def neighbour_cells(spark, sf):
-    c = table(spark, sf, "events").where("event_id % 3 = 0").select(F.floor(F.col("user_id") % 40 / 4).cast("int").alias("row"), F.floor(F.col("event_id") % 30 / 3).cast("int").alias("col")).distinct()
+    c = table(spark, sf, "events").select(F.floor(F.col("user_id") % 40 / 4).cast("int").alias("row"), F.floor(F.col("event_id") % 30 / 3).cast("int").alias("col")).distinct()
     return zones.neighbours(c)
 
 
@@ -204,11 +209,11 @@ def gps_track(spark, sf):
     return rounded(trajectory.source_shares(trajectory.gps_track(_track(spark, sf), 600.0, 7200.0)), 6)
 
 
-@query("schedule_track", "WITH e AS (SELECT o_custkey, o_orderkey AS id, o_orderdate + to_seconds(o_orderkey % 7000) AS a, o_orderkey % 900 AS w FROM orders WHERE o_custkey < 100), s AS (SELECT o_custkey, a AS ts FROM e UNION ALL SELECT o_custkey, a + to_seconds(w) FROM e WHERE w > 0) SELECT o_custkey AS trip_id, count(*) AS n_events, min(ts) AS first_ts, max(ts) AS last_ts FROM s GROUP BY 1")
+@query("schedule_track", "WITH e AS (SELECT o_custkey, o_orderkey AS id, o_orderdate + to_seconds(o_orderkey % 7000) AS a, o_orderkey % 900 AS w FROM orders), s AS (SELECT o_custkey, a AS ts FROM e UNION ALL SELECT o_custkey, a + to_seconds(w) FROM e WHERE w > 0) SELECT o_custkey AS trip_id, count(*) AS n_events, min(ts) AS first_ts, max(ts) AS last_ts FROM s GROUP BY 1")
 def schedule_track(spark, sf):
     k = F.col("o_orderkey")
     later = lambda s, t: F.timestamp_add("SECOND", s, t)
-    o = table(spark, sf, "orders").where("o_custkey < 100").select(F.col("o_custkey").alias("trip_id"), k.alias("id"), later(k % 7000, F.col("o_orderdate")).alias("arrival_ts"), (F.lit(18.9) + k % 40 * 0.01).alias("lat"), (F.lit(72.8) + k % 30 * 0.01).alias("lng"), (k % 900).alias("w"))
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("trip_id"), k.alias("id"), later(k % 7000, F.col("o_orderdate")).alias("arrival_ts"), (F.lit(18.9) + k % 40 * 0.01).alias("lat"), (F.lit(72.8) + k % 30 * 0.01).alias("lng"), (k % 900).alias("w"))
     track = trajectory.schedule_track(o.withColumn("departure_ts", later(F.col("w"), F.col("arrival_ts"))).drop("w"), 864000.0)
     return track.where("step = 0").groupBy("trip_id").agg(F.count(F.lit(1)).alias("n_events"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 

@@ -56,7 +56,7 @@ def supersede(current: DataFrame, new: DataFrame, keys: list[str], stamp: str) -
     from pyspark.sql import Window
 
     every = current.drop("is_current").unionByName(new.drop("is_current"), allowMissingColumns=True)
-    return every.withColumn("is_current", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(stamp))) == 1)
+    return every.withColumn("is_current", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(stamp), *[F.col(c).desc_nulls_last() for c in sorted(every.columns) if c not in {*keys, stamp}])) == 1)
 
 
 def upsert_missing(current: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tramline.operators.storage import shared_folder
+
 
 def stream_table(spark, folder: str, name: str) -> DataFrame:
     """A Parquet table as a stream of its files."""
@@ -43,11 +45,17 @@ def first_within(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def run_to_table(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Runs a stream over all that is there now and returns the result; for tests and small results."""
-    name = f"s_{uuid.uuid4().hex}"
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """Runs a stream over all that is there now and returns the result, a table in the shared folder.
+
+    In complete mode each batch replaces the result, else it is appended.
+    """
+    spark = stream.sparkSession
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    spark.createDataFrame([], stream.schema).write.parquet(f"{folder}/result")
+    how = "overwrite" if mode == "complete" else "append"
+    query = stream.writeStream.foreachBatch(lambda batch, _: batch.write.mode(how).parquet(f"{folder}/result")).option("checkpointLocation", f"{folder}/log").outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/result")
 
 
 def run_to_files(stream: DataFrame, path: str, checkpoint: str) -> None:
