@@ -372,6 +372,14 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(r["f"] == zlib.crc32(str(r["doc_id"]).encode()) % 3 for r in folds)
 
 
+def test_score_never_falls_with_a_stronger_window():
+    rnd = np.random.default_rng(1)
+    y = (rnd.random(800) < 0.3).astype(float)
+    x = np.c_[y + rnd.normal(0, 0.5, 800), y + rnd.normal(0, 0.1, 800), rnd.normal(0, 1, 800) - 0.3 * y]
+    weights = toxicity._logistic(x, y)
+    assert min(weights[:-1]) >= 0 and weights[2] == 0 and weights[1] > 0
+
+
 def test_toxicity_without_labels(spark, corpus):
     _, docs = corpus
     model = toxicity.train(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
@@ -531,15 +539,18 @@ def test_ids_equal_the_library(spark, table, monkeypatch):
 
 
 def test_relations_give_the_same_lattice_and_fold(spark, table):
-    words = ["▁hello", "▁worth", "▁é日😀x", "\n", "▁▁▁▁b", "▁①", "▁internationalization", "x", "▁" + "ab" * 31]
+    words = ["▁hello", "▁worth", "▁é日😀x", "\n", "▁▁▁▁b", "▁①", "▁internationalization", "x", "▁" + "ab" * 29, "▁" * 20 + "the" * 13 + "!"]
     w = spark.createDataFrame([(x,) for x in words], "word string")
     unigram = pieces.Pieces(tuple((p, i, -float(len(p)) ** 0.5 - i % 7) for p, i, _ in table.rows), table.byte_base, False)
     for t in (table, unigram):
         one, plain = pieces.Encoder(t), Plain(t)
         edges = pieces.lattice(w, pieces.piece_table(spark, t), t.longest)
-        inside = {x["word"]: sorted((e["i"], e["j"], e["score"], e["id"]) for e in x["edges"]) for x in one.edges(words).to_pylist()}
-        assert {r["word"]: sorted(map(tuple, r["edges"])) for r in edges.collect()} == inside
-        found = pieces.segment(edges, t.merges, t.byte_base).collect()
+        inside = {x["word"]: x["lattice"] for x in one.lattices(words).to_pylist()}
+        if t.merges:
+            assert {r["word"]: [tuple(e) for e in r["x"]] for r in edges.select("word", pieces.marks(F.col("edges")).alias("x")).collect()} == {w: [(e["lo"], e["mid"]) for e in x] for w, x in inside.items()}
+        else:
+            assert {r["word"]: sorted(map(tuple, r["edges"])) for r in edges.collect()} == {w: sorted((e["i"], e["j"], e["score"], e["id"], e["rank"]) for e in x) for w, x in inside.items()}
+        found = pieces.segment(edges, t).collect()
         assert {r["word"]: r["ids"] for r in found} == {x: plain.word(x) for x in words}
         assert all(list(one.long(x)) == plain.word(x) for x in words)
 

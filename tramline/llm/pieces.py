@@ -33,12 +33,12 @@ from tramline.llm.common import let, table, text_of
 
 MODEL_FILE = os.environ.get("TRAMLINE_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 #: Words that a task knows at a time, and words in a row of lattices.
-KNOWN_WORDS, ROW_WORDS = 250_000, 256
+KNOWN_WORDS, ROW_WORDS = 500_000, 1024
 #: Longer words are merged by a heap inside the task, as the fold's time grows with the square of their length.
-LONG_WORD = 64
+LONG_WORD = 60
 MARK = "▁"
 _WORD = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
-_SPAN = 1 << 16
+_BASE = 0x9E3779B97F4A7C15
 
 
 @dataclass(frozen=True)
@@ -53,6 +53,11 @@ class Pieces:
     def longest(self) -> int:
         return max(len(p) for p, _, _ in self.rows)
 
+    def ranks(self) -> dict[int, int]:
+        """The place of each piece's score among all, the best first, by id; equal scores share theirs."""
+        place = {s: k for k, s in enumerate(sorted({s for _, _, s in self.rows}, reverse=True))}
+        return {i: place[s] for _, i, s in self.rows}
+
 
 def load_pieces(model_file: str = MODEL_FILE) -> Pieces:
     """The table of a SentencePiece BPE model with byte fallback. Read on the driver; tasks get the table."""
@@ -76,32 +81,42 @@ def words(text: str | None) -> list[str]:
 
 
 def lattice(distinct: DataFrame, table_: DataFrame, longest: int) -> DataFrame:
-    """(word, edges) of a table with column word: edges is an array of (i, j, score, id), end exclusive.
+    """(word, edges) of a table with column word: edges is an array of (i, j, score, id, rank), end exclusive.
 
-    table_ has piece, id and score. Words without any edge have an empty array.
+    table_ has piece, id, score and rank. Words without any edge have an empty array.
     """
     n = F.char_length("word")
     starts = distinct.where(n > 0).select("word", F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
     spans = starts.select("word", "i", F.explode(F.sequence(F.col("i") + 1, F.least(n, F.col("i") + longest))).alias("j"))
     parts = spans.select("word", "i", "j", F.substring("word", F.col("i") + 1, F.col("j") - F.col("i")).alias("piece"))
-    edges = parts.join(F.broadcast(table_), "piece").groupBy("word").agg(F.sort_array(F.collect_list(F.struct("i", "j", "score", "id"))).alias("edges"))
-    none = F.array().cast("array<struct<i:int,j:int,score:double,id:int>>")
+    edges = parts.join(F.broadcast(table_), "piece").groupBy("word").agg(F.sort_array(F.collect_list(F.struct("i", "j", "score", "id", "rank"))).alias("edges"))
+    none = F.array().cast("array<struct<i:int,j:int,score:double,id:int,rank:int>>")
     return distinct.select("word").join(edges, "word", "left").withColumn("edges", F.coalesce("edges", none))
 
 
+def marks(edges: Column) -> Column:
+    """The edges of a BPE word over two characters or more, the best first and then leftmost, as bits of its borders: ends (lo) and all between (mid)."""
+    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)
+    wide = F.transform(F.filter(edges, lambda e: e["j"] - e["i"] > 1), lambda e: F.struct(e["rank"].alias("r"), e["i"].alias("i"), e["j"].alias("j")))
+    return F.transform(F.array_sort(wide), lambda e: F.struct((bit(e["i"]) + bit(e["j"])).alias("lo"), (bit(e["j"]) - bit(e["i"] + 1)).alias("mid")))
+
+
 def fold_merges(word: Column, edges: Column) -> Column:
-    """Borders of the pieces of a BPE word: the best edge over two neighbouring pieces is merged, leftmost first, until none is left."""
+    """Borders of the pieces of a BPE word, as bits, from its marks.
+
+    In each step the first edge whose ends are borders with one border between merges two
+    neighbours, until there is none. Words have at most LONG_WORD characters.
+    """
     n = F.char_length(word)
-    place = lambda i, j: i.cast("long") * _SPAN + j
-    costs = F.map_from_entries(F.transform(edges, lambda e: F.struct(place(e["i"], e["j"]).alias("k"), (-e["score"]).alias("v"))))
+    none = F.lit(0).cast("long")
 
-    def step(cost: Column, at: Column) -> Column:
-        over = F.transform(F.slice(at, 1, F.greatest(F.lit(0), F.size(at) - 2)), lambda b, k: F.struct(cost[place(b, F.get(at, k + 2))].alias("s"), k.alias("k")))
-        best = F.array_min(F.filter(over, lambda x: x["s"].isNotNull()))
-        return let(best, lambda m: F.when(m.isNull(), at).otherwise(F.filter(at, lambda _, k: k != m["k"] + 1)))
+    def step(at: Column, _: Column) -> Column:
+        fits = lambda e: (at.bitwiseAND(e["lo"]) == e["lo"]) & (F.bit_count(at.bitwiseAND(e["mid"])) == 1)
+        gone = F.aggregate(edges, none, lambda acc, e: F.when(acc != 0, acc).when(fits(e), e["mid"]).otherwise(none))
+        return at.bitwiseAND(F.bitwise_not(gone))
 
-    start = F.sequence(F.lit(0), n)
-    return let(costs, lambda cost: F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), n - 1)), start, lambda at, _: step(cost, at)))
+    start = F.call_function("shiftleft", F.lit(1).cast("long"), n + 1) - 1
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), n - 1)), start, step)
 
 
 def fold_viterbi(word: Column, edges: Column, unknown: float = -1e4) -> Column:
@@ -124,31 +139,39 @@ def fold_viterbi(word: Column, edges: Column, unknown: float = -1e4) -> Column:
     return F.aggregate(F.sequence(F.lit(1), n), start, step, lambda best: F.get(best, n)["path"])
 
 
-def fold(word: Column, edges: Column, merges: bool) -> Column:
-    """The word's piece ids; -1 - i for the character at i, if it has no piece."""
-    borders = fold_merges(word, edges) if merges else fold_viterbi(word, edges)
-    ids = F.map_from_entries(F.transform(edges, lambda e: F.struct((e["i"].cast("long") * _SPAN + e["j"]).alias("k"), e["id"].alias("v"))))
-    named = lambda b, known: F.transform(F.slice(b, 1, F.size(b) - 1), lambda i, k: F.coalesce(known[i.cast("long") * _SPAN + F.get(b, k + 1)], -1 - i))
-    return let(borders, lambda b: let(ids, lambda known: named(b, known)))
+def fold(word: Column, lattice_: Column, merges: bool) -> Column:
+    """Borders of a word's pieces: from the marks of a BPE word, as bits; from the edges of a unigram word, as an array."""
+    return fold_merges(word, lattice_) if merges else fold_viterbi(word, lattice_)
 
 
-def segment(lattices: DataFrame, merges: bool, byte_base: int) -> DataFrame:
-    """(word, ids) of lattices: the fold's pieces, bytes for characters without a piece."""
-    word = F.col("word")
-    hexes = lambda i: F.hex(F.encode(F.substring(word, -i, F.lit(1)), "UTF-8"))
-    fall = lambda i: F.transform(F.regexp_extract_all(hexes(i), F.lit("(..)"), F.lit(1)), lambda h: (F.conv(h, 16, 10).cast("int") + byte_base))
-    folded = lattices.select("word", fold(word, F.col("edges"), merges).alias("_ids"))
-    return folded.select("word", F.flatten(F.transform("_ids", lambda i: F.when(i >= 0, F.array(i)).otherwise(fall(i)))).alias("ids"))
+def segment(lattices: DataFrame, pieces: Pieces) -> DataFrame:
+    """(word, ids) of lattices: the pieces between the fold's borders, bytes for characters without a piece."""
+    word, edges = F.col("word"), F.col("edges")
+    if pieces.merges:
+        bits = fold_merges(word, marks(edges))
+        borders = let(bits, lambda m: F.filter(F.sequence(F.lit(0), F.char_length(word)), lambda i: m.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i)) != 0))
+    else:
+        borders = fold_viterbi(word, edges)
+    cut = lattices.withColumn("borders", borders)
+    pairs = F.transform(F.slice("borders", 1, F.size("borders") - 1), lambda b, k: F.struct(b.alias("i"), F.get("borders", k + 1).alias("j")))
+    hexes = lambda p: F.hex(F.encode(F.substring(word, p["i"] + 1, p["j"] - p["i"]), "UTF-8"))
+    fall = lambda p: F.transform(F.regexp_extract_all(hexes(p), F.lit("(..)"), F.lit(1)), lambda h: (F.conv(h, 16, 10).cast("int") + pieces.byte_base))
+    one = lambda p: F.transform(F.filter(edges, lambda e: (e["i"] == p["i"]) & (e["j"] == p["j"])), lambda e: e["id"])
+    ids = F.flatten(F.transform(pairs, lambda p: F.when(F.size(one(p)) > 0, one(p)).otherwise(fall(p))))
+    return cut.select("word", ids.alias("ids"))
 
 
 def piece_table(spark: SparkSession, pieces: Pieces) -> DataFrame:
     """The piece table as a DataFrame; the model's file bounds it, so that it may be broadcast."""
-    return spark.createDataFrame(list(pieces.rows), "piece string, id int, score double")
+    ranks = pieces.ranks()
+    return spark.createDataFrame([(*r, ranks[r[1]]) for r in pieces.rows], "piece string, id int, score double, rank int")
 
 
 # ---- documents, inside their tasks ----
 
-_EDGES = "array<struct<word:string,edges:array<struct<i:int,j:int,score:double,id:int>>>>"
+#: Lattices of a row: marks of BPE words, edges of unigram words; and what the fold makes of them.
+_MARKS = "array<struct<word:string,lattice:array<struct<lo:long,mid:long>>>>"
+_EDGES = "array<struct<word:string,lattice:array<struct<i:int,j:int,score:double,id:int,rank:int>>>>"
 
 
 class Encoder:
@@ -158,39 +181,90 @@ class Encoder:
         self.base, self.merges, self.longest = pieces.byte_base, pieces.merges, pieces.longest
         self.id_of = {p: i for p, i, _ in pieces.rows}
         size = max(self.base + 255, *(i for _, i, _ in pieces.rows)) + 1
-        self.scores, self.raw = np.zeros(size), [b""] * size
+        self.scores, self.ranks, self.raw = np.zeros(size), np.zeros(size, np.int32), [b""] * size
+        ranks = pieces.ranks()
         for p, i, s in pieces.rows:
-            self.raw[i], self.scores[i] = p.replace(MARK, " ").encode(), s
+            self.raw[i], self.scores[i], self.ranks[i] = p.replace(MARK, " ").encode(), s, ranks[i]
         for b in range(256):
             self.raw[self.base + b] = bytes([b])
-
-    def edges(self, some: list[str]) -> pa.Array:
-        """The lattices of words, as the relations of `lattice` give them: an array of _EDGES' elements."""
-        get, longest = self.id_of.get, self.longest
-        i_, j_, id_, ends = array("i"), array("i"), array("i"), array("i", [0])
-        for word in some:
-            n = len(word)
-            for i in range(n):
-                for j in range(i + 1, min(n, i + longest) + 1):
-                    if (got := get(word[i:j])) is not None:
-                        i_.append(i)
-                        j_.append(j)
-                        id_.append(got)
-            ends.append(len(id_))
-        ids = np.frombuffer(id_, np.int32) if id_ else np.empty(0, np.int32)
-        flat = pa.StructArray.from_arrays([pa.array(i_, pa.int32()), pa.array(j_, pa.int32()), pa.array(self.scores[ids]), pa.array(ids)], names=["i", "j", "score", "id"])
-        return pa.StructArray.from_arrays([pa.array(some, pa.string()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], names=["word", "edges"])
-
-    def named(self, word: str, found: list[int]) -> tuple[int, ...]:
-        """The ids of a word from its fold: bytes for characters without a piece."""
-        if min(found) >= 0:
-            return tuple(found)
-        return tuple([x for i in found for x in ((i,) if i >= 0 else [self.base + b for b in word[-1 - i].encode()])])
+        self.spelled = np.zeros((size, self.longest), np.uint32)
+        heads: list[dict[int, int]] = [{} for _ in range(self.longest + 1)]
+        for p, i, _ in pieces.rows:
+            h = 0
+            for k, c in enumerate(map(ord, p)):
+                self.spelled[i, k] = c
+                h = (h * _BASE + c + 1) % (1 << 64)
+                heads[k + 1].setdefault(h, -1)
+            heads[len(p)][h] = i
+        #: By length: hashes of all beginnings of pieces in order, and the ids of those that are pieces.
+        self.heads = [(np.array(sorted(d), np.uint64), np.array([d[h] for h in sorted(d)], np.int64)) for d in heads]
+
+    def probes(self, some: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(word, i, j, id) of the substrings of words that are pieces.
+
+        The substrings that begin at each character are lengthened while a piece begins so, and
+        joined to the piece table by a hash; equal hashes are verified by their characters.
+        """
+        codes = np.frombuffer("".join(some).encode("utf-32-le", "surrogatepass"), np.uint32)
+        n = np.fromiter(map(len, some), np.int64, len(some))
+        ends = np.cumsum(n)
+        word = np.repeat(np.arange(len(some)), n)
+        at, h = np.arange(len(codes)), np.zeros(len(codes), np.uint64)
+        parts = []
+        for k in range(1, self.longest + 1):
+            inside = at + k <= ends[word[at]]
+            at, h = at[inside], h[inside]
+            if not len(at):
+                break
+            h = h * np.uint64(_BASE) + codes[at + k - 1].astype(np.uint64) + np.uint64(1)
+            known, ids = self.heads[k]
+            spot = np.minimum(np.searchsorted(known, h), len(known) - 1)
+            hit = known[spot] == h
+            at, h, got = at[hit], h[hit], ids[spot[hit]]
+            whole = got >= 0
+            begin, ident = at[whole], got[whole]
+            same = (codes[begin[:, None] + np.arange(k)] == self.spelled[ident, :k]).all(axis=1)
+            parts.append((begin[same], np.full(int(same.sum()), k), ident[same]))
+        begin, length, ident = (np.concatenate(c) if parts else np.empty(0, np.int64) for c in (zip(*parts) if parts else ((), (), ())))
+        first = (ends - n)[word[begin]]
+        return word[begin], begin - first, begin - first + length, ident
+
+    def lattices(self, some: list[str]) -> pa.Array:
+        """The lattices of words of at most LONG_WORD characters, as the relations of `lattice` give them: elements of _MARKS or _EDGES."""
+        at, i, j, ids = self.probes(some)
+        if self.merges:
+            wide = j - i > 1
+            at, i, j, ids = at[wide], i[wide], j[wide], ids[wide]
+            order = np.lexsort((i, self.ranks[ids], at))
+            at, i, j = at[order], i[order], j[order]
+            one = np.int64(1)
+            flat = pa.StructArray.from_arrays([pa.array((one << i) + (one << j)), pa.array((one << j) - (one << (i + 1)))], names=["lo", "mid"])
+        else:
+            order = np.argsort(at, kind="stable")
+            at, i, j, ids = at[order], i[order], j[order], ids[order]
+            flat = pa.StructArray.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(self.scores[ids]), pa.array(ids.astype(np.int32)), pa.array(self.ranks[ids])], names=["i", "j", "score", "id", "rank"])
+        ends = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(some)))]).astype(np.int32)
+        return pa.StructArray.from_arrays([pa.array(some, pa.string()), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["word", "lattice"])
+
+    def named(self, word: str, borders) -> tuple[int, ...]:
+        """The ids of the pieces between a fold's borders; bytes for characters without a piece."""
+        if self.merges:
+            i, bits, parts = 0, borders >> 1, []
+            while bits:
+                k = (bits & -bits).bit_length()
+                parts.append(word[i : i + k])
+                i, bits = i + k, bits >> k
+        else:
+            parts = [word[a:b] for a, b in zip(borders, borders[1:])]
+        try:
+            return tuple([self.id_of[p] for p in parts])
+        except KeyError:
+            return tuple([x for p in parts for x in ((self.id_of[p],) if p in self.id_of else [self.base + b for b in p.encode()])])
 
     def long(self, word: str) -> tuple[int, ...]:
         """The ids of a word over LONG_WORD characters."""
         borders = self._merged(word) if self.merges else self._best(word)
-        return self.named(word, [self.id_of.get(word[a:b], -1 - a) for a, b in zip(borders, borders[1:])])
+        return tuple([x for a, b in zip(borders, borders[1:]) for x in ((self.id_of[word[a:b]],) if word[a:b] in self.id_of else [self.base + c for c in word[a:b].encode()])])
 
     def _merged(self, word: str) -> list[int]:
         """As fold_merges, with a heap of the edges over two neighbours."""
@@ -279,7 +353,7 @@ def with_lattices(docs: DataFrame, codec: Codec) -> DataFrame:
         schema = None
         for batch in batches:
             key = batch.schema.field(0).type
-            schema = schema or pa.schema([("key", key), ("text", pa.string()), ("fresh", pa.bool_()), ("words", pa.list_(encoder.edges([]).type))])
+            schema = schema or pa.schema([("key", key), ("text", pa.string()), ("fresh", pa.bool_()), ("words", pa.list_(encoder.lattices([]).type))])
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 needed = {w for text in part.column(1).to_pylist() for w in words(text) if len(w) <= LONG_WORD}
@@ -288,14 +362,14 @@ def with_lattices(docs: DataFrame, codec: Codec) -> DataFrame:
                 new = sorted(needed - known)
                 known |= needed
                 for begin in range(0, len(new), ROW_WORDS):
-                    edges = encoder.edges(new[begin : begin + ROW_WORDS])
+                    edges = encoder.lattices(new[begin : begin + ROW_WORDS])
                     one = pa.ListArray.from_arrays(pa.array([0, len(edges)], pa.int32()), edges)
                     yield pa.RecordBatch.from_arrays([pa.nulls(1, key), pa.nulls(1, pa.string()), pa.array([fresh]), one], schema=schema)
                     fresh = False
                 n = part.num_rows
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([False] * n), pa.nulls(n, schema.field(3).type)], schema=schema)
 
-    return docs.select("key", "text").mapInArrow(run, f"key {kind}, text string, fresh boolean, words {_EDGES}")
+    return docs.select("key", "text").mapInArrow(run, f"key {kind}, text string, fresh boolean, words {_MARKS if codec.merges else _EDGES}")
 
 
 def coded(docs: DataFrame, codec: Codec, id_col: str, text_col: str, what, fields: str) -> DataFrame:
@@ -306,7 +380,7 @@ def coded(docs: DataFrame, codec: Codec, id_col: str, text_col: str, what, field
     """
     keyed = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
     kind = keyed.schema["key"].dataType.simpleString()
-    folds = F.transform("words", lambda w: F.struct(w["word"].alias("word"), fold(w["word"], w["edges"], codec.merges).alias("ids")))
+    folds = F.transform("words", lambda w: F.struct(w["word"].alias("word"), fold(w["word"], w["lattice"], codec.merges).alias("borders")))
     folded = with_lattices(keyed, codec).select("key", "text", "fresh", folds.alias("words"))
     out = pa.schema([(f.split()[0], {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}[f.split()[1]]) for f in fields.split(", ")])
 
@@ -321,11 +395,8 @@ def coded(docs: DataFrame, codec: Codec, id_col: str, text_col: str, what, field
                         if fresh:
                             known = {}
                         flat = new.values
-                        ids = flat.field("ids")
-                        ends, values = ids.offsets.to_pylist(), ids.flatten().to_pylist()
-                        first = ends[0]
-                        for word, a, b in zip(flat.field("word").to_pylist(), ends, ends[1:]):
-                            known[word] = encoder.named(word, values[a - first : b - first])
+                        some, borders = flat.field("word").to_pylist(), flat.field("borders").to_pylist()
+                        known.update(zip(some, map(encoder.named, some, borders)))
                         continue
                     every = words(text)
                     if every and len(max(every, key=len)) > LONG_WORD:
@@ -392,7 +463,7 @@ def unigram_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = names.select("w", F.explode(F.sequence(F.lit(1), F.char_length("w"))).alias("i"))
     parts = start.select(F.explode(F.array(*[F.when(F.col("i") + k - 1 <= F.char_length("w"), F.substring("w", F.col("i"), F.lit(k))) for k in (1, 2, 3)])).alias("piece")).where("piece is not null")
     counted = parts.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
-    pieces_ = counted.select("piece", F.lit(0).alias("id"), F.round(F.log(F.col("n") / 1000.0), 6).alias("score"))
+    pieces_ = counted.select("piece", F.lit(0).alias("id"), F.round(F.log(F.col("n") / 1000.0), 6).alias("score"), F.lit(0).alias("rank"))
     every = table(spark, sf_dir, "benchmark").select(F.explode(F.split(F.lower(text_of()), "[^a-z]+")).alias("word")).where(F.char_length("word").between(1, LONG_WORD)).distinct()
     cut = lattice(every, pieces_, 3).select("word", fold_viterbi(F.col("word"), F.col("edges")).alias("b"))
     told = F.array_join(F.transform(F.slice("b", 1, F.size("b") - 1), lambda i, k: F.substring(F.col("word"), i + 1, F.get("b", k + 1) - i)), " ")
