@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.llm.common import settle, table
+from tramline.llm.common import settle, small, table
 
 #: The labelled rows of each class that training reads, about; a hash of doc_id picks them.
 SAMPLE_PER_CLASS = 8_000
@@ -135,7 +135,9 @@ def fold(doc_id: Column) -> Column:
 def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> DataFrame:
     """(text, toxic, half): about per_class labelled documents of each class outside the held-out fold.
 
-    half 0 trains the dictionaries, half 1 calibrates.
+    half 0 trains the dictionaries, half 1 calibrates. An id with several labels is toxic if one
+    says so; one with several texts gives one row, the least of them. So the labels' bound holds for
+    what the driver reads, too.
     """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != HELD_OUT))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -143,7 +145,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_
     spot = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 20))
     rate = F.coalesce(*[F.when(F.col("toxic") == c, F.lit(per_class / n)) for c, n in sizes.items()], F.lit(0.0))
     picked = known.where(spot < rate * (1 << 20)).withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).cast("int"))
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "toxic", "half")
+    seen = docs.select("doc_id", "text").join(small(settle(picked), 4 * per_class), "doc_id")
+    return seen.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"), F.first("half").alias("half")).select("text", "toxic", "half")
 
 
 def train_dictionaries(sample: DataFrame) -> Model:
@@ -211,19 +214,30 @@ def calibrate(sample: DataFrame, model: Model) -> Model:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, ...]:
-    """Weights (the last one constant) of a ridge logistic regression by Newton's method."""
+    """Weights (the last one constant) of a ridge logistic regression by Newton's method.
+
+    Features that would count against toxicity are left out, so that a score never falls with a
+    stronger window.
+    """
     middle, spread = x.mean(0), x.std(0) + 1e-9
     z = np.c_[(x - middle) / spread, np.ones(len(x))]
-    hold = ridge * np.r_[np.ones(x.shape[1]), 1e-6]
-    w = np.zeros(z.shape[1])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -50, 50)))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(hold), z.T @ (y - p) - hold * w)
-        w += step
-        if np.abs(step).max() < 1e-9:
+    use = np.ones(x.shape[1] + 1, bool)
+    while True:
+        part, w = z[:, use], np.zeros(use.sum())
+        hold = ridge * np.r_[np.ones(use.sum() - 1), 1e-6]
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(part @ w, -50, 50)))
+            step = np.linalg.solve((part * (p * (1 - p))[:, None]).T @ part + np.diag(hold), part.T @ (y - p) - hold * w)
+            w += step
+            if np.abs(step).max() < 1e-9:
+                break
+        every = np.zeros(len(use))
+        every[use] = w
+        if (every[:-1] >= 0).all():
             break
-    slopes = w[:-1] / spread
-    return (*map(float, slopes), float(w[-1] - slopes @ middle))
+        use[:-1] &= every[:-1] > 0
+    slopes = every[:-1] / spread
+    return (*map(float, slopes), float(every[-1] - slopes @ middle))
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Model:
@@ -233,7 +247,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score) of every row from its whole text. Null and empty texts have the score of no evidence."""
+    """(id, score) of every row from its whole text, however long. Null and empty texts have the score of no evidence;
+    null and repeated ids and repeated rows are rows like any other; other columns are not read; an empty table gives an empty result."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
