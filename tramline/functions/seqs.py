@@ -104,3 +104,13 @@ def positions(observed: Column, template: Column) -> Column:
 
 def jaccard(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) / F.nullif(F.size(F.array_union(a, b)), F.lit(0))
+
+
+def stop_list(text: Column) -> Column:
+    """array<int> of a JSON list of stops; null for anything else."""
+    return F.from_json(text, "array<int>")
+
+
+def schedule_list(text: Column) -> Column:
+    """array<double> of a JSON list of minutes, empty for null."""
+    return F.coalesce(F.from_json(text, "array<double>"), F.array().cast("array<double>"))

@@ -95,3 +95,29 @@ def markdown(df: DataFrame, title: str, most: int = 1_000) -> str:
         raise ValueError(f"a report of more than {most} rows")
     line = lambda cells: "| " + " | ".join(map(str, cells)) + " |"
     return "\n".join([f"# {title}", "", line(df.columns), line(["---"] * len(df.columns)), *[line(r) for r in rows]]) + "\n"
+
+
+def vehicle_lines(pings: DataFrame, top_n: int = 20, key: str = "vehicle_id") -> DataFrame:
+    """(key, n_pings, line): the places of the top_n vehicles with most pings (two at least) in order of time, for maps."""
+    counts = pings.groupBy(key).agg(F.count(F.lit(1)).alias("n_pings")).where("n_pings >= 2").orderBy(F.desc("n_pings"), key).limit(top_n)
+    place = F.struct("ts", "id", "lat", "lng")
+    lines = pings.join(F.broadcast(counts.select(key)), key, "left_semi").groupBy(key).agg(F.transform(F.array_sort(F.collect_list(place)), lambda p: F.struct(p["lat"], p["lng"])).alias("line"))
+    return counts.join(lines, key)
+
+
+def longest(trips: DataFrame, n: int, minutes: str = "duration_min", key: str = "trip_id") -> DataFrame:
+    """The n longest trips with their rank, ties by key."""
+    top = trips.where(F.col(minutes).isNotNull()).orderBy(F.desc(minutes), key).limit(n)
+    return top.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc(minutes), key)))
+
+
+def bins(df: DataFrame, value: str, edges: list[float], by: str | None = None) -> DataFrame:
+    """Rows by right-closed bin of a value, numbered from 0; values outside the edges and nulls count in bin -1."""
+    inside = F.coalesce(*[F.when((F.col(value) > lo) & (F.col(value) <= hi), F.lit(i)) for i, (lo, hi) in enumerate(zip(edges, edges[1:]))], F.lit(-1))
+    return df.groupBy(*([by] if by else []), inside.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def schema_of(df: DataFrame) -> DataFrame:
+    """(position, column_name, column_type, nullable) of a table."""
+    rows = [(i, f.name, f.dataType.simpleString(), f.nullable) for i, f in enumerate(df.schema)]
+    return df.sparkSession.createDataFrame(rows, "position int, column_name string, column_type string, nullable boolean")

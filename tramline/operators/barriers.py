@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tramline.functions import geo
+from tramline.operators.shapes import cut_by_cells
 
 #: Weights of features that let people cross a corridor (fixed values).
 PERMEABLE = {"bridge": 1.0, "tunnel": 1.0, "footbridge": 0.5, "crossing": 0.2}
@@ -63,13 +64,9 @@ def building_proxies(cells: DataFrame, buildings: DataFrame, cell_deg: float, m2
     return out.fillna(0, ["n_buildings", "building_area_m2", "population"]).fillna(1.0, ["mean_levels"])
 
 
-def road_lengths(edges: DataFrame, cell_deg: float, classes: list[str], pieces: int = 20) -> DataFrame:
-    """(row, col, km_<class>): road length by class and cell; each edge is dealt out in `pieces` equal parts by their middles."""
-    km = geo.haversine_m(F.col("lat1"), F.col("lng1"), F.col("lat2"), F.col("lng2")) / 1000 / pieces
-    part = edges.select("road_class", km.alias("km"), "lat1", "lng1", "lat2", "lng2", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))).alias("k"))
-    share = (F.col("k") + 0.5) / pieces
-    placed = to_cells(part.withColumns({"lat": F.col("lat1") + (F.col("lat2") - F.col("lat1")) * share, "lng": F.col("lng1") + (F.col("lng2") - F.col("lng1")) * share}), cell_deg)
-    wide = placed.groupBy("row", "col").pivot("road_class", classes).agg(F.sum("km")).fillna(0.0, classes)
+def road_lengths(edges: DataFrame, cell_deg: float, classes: list[str]) -> DataFrame:
+    """(row, col, km_<class>): road length by class and cell, each edge cut where it leaves a cell."""
+    wide = cut_by_cells(edges, cell_deg).groupBy("row", "col").pivot("road_class", classes).agg(F.sum("km")).fillna(0.0, classes)
     return wide.select("row", "col", *[F.col(f"`{c}`").alias(f"km_{c}") for c in classes])
 
 

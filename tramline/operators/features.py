@@ -152,3 +152,19 @@ def ward_rollup(od: DataFrame, wards: DataFrame, month_of: str | None = None) ->
     keys = ["origin_ward", "dest_ward"] + (["month"] if month_of else [])
     src = od.withColumn("month", F.date_trunc("MONTH", month_of).cast("date")) if month_of else od
     return src.join(o, "origin_stop_id").join(d, "dest_stop_id").groupBy(*keys).agg(F.sum("flow").alias("flow"), F.avg("mean_duration_min").alias("mean_duration_min"), F.countDistinct("origin_stop_id").alias("n_origin_stops"), F.countDistinct("dest_stop_id").alias("n_dest_stops"))
+
+
+def ward_od(od: DataFrame, wards: DataFrame) -> DataFrame:
+    """Trips, mean distance and distinct stops between wards by period, month number, monsoon, day of week and month.
+
+    Both ends are joined to their wards; a trip with a stop outside all wards goes.
+    """
+    end = lambda side: wards.where(F.col("ward").isNotNull()).select(F.col("stop_id").alias(f"{side}_stop_id"), F.col("ward").alias(f"{side}_ward"))
+    keys = ["origin_ward", "dest_ward", "period", "month", "is_monsoon", "dow", F.date_trunc("MONTH", "time_bin").cast("date").alias("month_start")]
+    both = od.join(end("origin"), "origin_stop_id").join(end("dest"), "dest_stop_id")
+    return both.groupBy(*keys).agg(F.sum("flow").alias("trip_count"), F.avg("distance_km").alias("avg_distance_km"), F.countDistinct("origin_stop_id").alias("n_origin_stops"), F.countDistinct("dest_stop_id").alias("n_dest_stops"))
+
+
+def by_effective_day(df: DataFrame, keys: list[str], ts: str = "ts", start_hour: int = 3) -> DataFrame:
+    """Times of each key and effective day (a day that begins at start_hour): number, first and last."""
+    return df.where(F.col(ts).isNotNull()).groupBy(*keys, times.effective_day(F.col(ts), start_hour).alias("effective_day")).agg(F.count(F.lit(1)).alias("n"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"))

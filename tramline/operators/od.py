@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tramline.functions import times
 from tramline.operators.nearest import small_or_shuffled
+from tramline.operators.storage import cut
 
 
 def segment_od(pings: DataFrame, stop: str = "stop_id", min_pings: int = 3, min_minutes: int = 2) -> DataFrame:
@@ -117,3 +118,32 @@ def net_flow(od: DataFrame, by: list[str] = ()) -> DataFrame:
     into = od.select(F.col("destination").alias("zone"), *by, F.lit(0.0).alias("dep"), F.col("flow").alias("arr"))
     sums = out.unionByName(into).groupBy("zone", *by).agg(F.sum("dep").alias("departures"), F.sum("arr").alias("arrivals"))
     return sums.withColumn("net_flow", F.col("arrivals") - F.col("departures"))
+
+
+def to_sparse(od: DataFrame, zones: DataFrame, zone: str = "zone") -> DataFrame:
+    """(row, col, flow) by the places of origin and destination among the ordered zones, from 0; the compressed rows of a matrix when sorted.
+
+    Zones are numbered by ranges, so that no task orders all of them. Flows of other zones go.
+    """
+    dealt = cut(zones.select(F.col(zone).alias("_z")).where("_z is not null").distinct().repartitionByRange(16, "_z").withColumn("_p", F.spark_partition_id()))
+    sizes = sorted((r[0], r[1]) for r in dealt.groupBy("_p").agg(F.count(F.lit(1))).collect())
+    before, at = {}, 0
+    for p, n in sizes:
+        before[p], at = at, at + n
+    start = F.coalesce(*[F.when(F.col("_p") == p, F.lit(n)) for p, n in before.items()], F.lit(0))
+    place = dealt.select("_z", (start + F.row_number().over(Window.partitionBy("_p").orderBy("_z")) - 1).cast("long").alias("_n"))
+    named = lambda c, n: place.select(F.col("_z").alias(c), F.col("_n").alias(n))
+    sums = od.groupBy("origin", "destination").agg(F.sum("flow").alias("flow"))
+    return sums.join(named("origin", "row"), "origin").join(named("destination", "col"), "destination").where("flow <> 0").select("row", "col", "flow")
+
+
+def row_starts(sparse: DataFrame, n_zones: int) -> DataFrame:
+    """(row, n, start): entries of each row and where they start among all, for rows 0 to n_zones - 1."""
+    counts = sparse.groupBy("row").agg(F.count(F.lit(1)).alias("n"))
+    rows = sparse.sparkSession.range(n_zones).select(F.col("id").alias("row")).join(counts, "row", "left").fillna(0, ["n"])
+    block = F.floor(F.col("row") / 1024)
+    sums = rows.groupBy(block.alias("_b")).agg(F.sum("n").alias("_s"))
+    ahead = Window.partitionBy(F.lit(1)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("_a", F.coalesce(F.sum("_s").over(ahead), F.lit(0))).drop("_s")
+    own = F.coalesce(F.sum("n").over(Window.partitionBy("_b").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.withColumn("_b", block).join(sums, "_b").select("row", "n", (F.col("_a") + own).alias("start"))

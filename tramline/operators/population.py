@@ -90,3 +90,63 @@ def laplacian(edges: DataFrame) -> DataFrame:
     degree = every.groupBy("a").agg(F.sum("weight").alias("d"))
     joined = every.join(degree, "a").join(degree.select(F.col("a").alias("b"), F.col("d").alias("e")), "b")
     return joined.select("a", "b", (F.col("weight") / F.sqrt(F.col("d") * F.col("e"))).alias("weight"))
+
+
+class CountModel:
+    """A fitted negative-binomial regression with a log link: coefficients (the first constant) and fit statistics."""
+
+    def __init__(self, features: list[str], coefficients: list[float], alpha: float, stats: dict[str, float]):
+        self.features, self.coefficients, self.alpha, self.stats = features, coefficients, alpha, stats
+
+    def mean(self) -> Column:
+        """Expected count of a row."""
+        return F.exp(_linear(self.features, self.coefficients))
+
+
+def _linear(features: list[str], coefficients: list[float]) -> Column:
+    at = F.lit(float(coefficients[0]))
+    for f, b in zip(features, coefficients[1:]):
+        at = at + F.col(f).cast("double") * float(b)
+    return F.greatest(F.lit(-30.0), F.least(F.lit(30.0), at))
+
+
+def negative_binomial(df: DataFrame, target: str, features: list[str], alpha: float = 1.0, rounds: int = 50, tolerance: float = 1e-8) -> CountModel:
+    """Iteratively reweighted least squares for counts with variance mu + alpha mu^2.
+
+    Each round aggregates the moments of the features, so that the driver sees a matrix of their
+    number only. Rows with a null feature or target are left out. stats has log-likelihood, AIC, BIC,
+    deviance, McFadden's pseudo R2, n and the residual degrees of freedom.
+    """
+    import numpy as np
+
+    rows = df.dropna(subset=[*features, target])
+    y = F.col(target).cast("double")
+    x = [F.lit(1.0), *[F.col(f).cast("double") for f in features]]
+    n, mean = rows.agg(F.count(F.lit(1)), F.avg(y)).first()
+    if not n or not mean:
+        return CountModel(features, [0.0] * len(x), alpha, {"n": float(n or 0)})
+    b = np.zeros(len(x))
+    b[0] = np.log(mean)
+    pairs = [(i, j) for i in range(len(x)) for j in range(i, len(x))]
+    for _ in range(rounds):
+        eta = _linear(features, b.tolist())
+        mu = F.exp(eta)
+        w = mu / (1 + alpha * mu)
+        z = eta + (y - mu) / mu
+        got = rows.select(w.alias("w"), z.alias("z"), *[c.alias(f"x{i}") for i, c in enumerate(x)])
+        sums = got.agg(*[F.sum(F.col("w") * F.col(f"x{i}") * F.col(f"x{j}")) for i, j in pairs], *[F.sum(F.col("w") * F.col("z") * F.col(f"x{i}")) for i in range(len(x))]).first()
+        m = np.zeros((len(x), len(x)))
+        for (i, j), s in zip(pairs, sums):
+            m[i, j] = m[j, i] = s
+        new = np.linalg.lstsq(m, np.array(sums[len(pairs) :], float), rcond=None)[0]
+        moved, b = float(np.abs(new - b).max()), new
+        if moved < tolerance:
+            break
+    rising = F.aggregate(F.when(y >= 1, F.sequence(F.lit(0), (y - 1).cast("int"))).otherwise(F.array().cast("array<int>")), F.lit(0.0), lambda s, j: s + F.log(j + 1 / alpha) - F.log(j + 1.0))
+    score = lambda mu: rising + y * F.log(alpha * mu / (1 + alpha * mu)) - F.log(1 + alpha * mu) / alpha
+    mu = F.exp(_linear(features, b.tolist()))
+    deviance = 2 * (F.when(y > 0, y * F.log(y / mu)).otherwise(0.0) - (y + 1 / alpha) * F.log((1 + alpha * y) / (1 + alpha * mu)))
+    ll, null, dev = rows.agg(F.sum(score(mu)), F.sum(score(F.lit(float(mean)))), F.sum(deviance)).first()
+    k = len(x)
+    stats = {"log_likelihood": ll, "aic": 2 * k - 2 * ll, "bic": k * float(np.log(n)) - 2 * ll, "deviance": dev, "pseudo_r2": 1 - ll / null, "n": float(n), "df_residual": float(n - k)}
+    return CountModel(features, b.tolist(), alpha, stats)

@@ -39,6 +39,16 @@ def _candidates(points: list[tuple], radius_m: float, least_s: float) -> list[li
     return out
 
 
+def _by_cell(points: list[tuple]) -> list[list[tuple]]:
+    """The records of each cell; without cells, all that have a place."""
+    cells: dict[str, list[tuple]] = {}
+    for p in points:
+        if p[2] is not None:
+            cells.setdefault(p[2], []).append(p)
+    located = [p for p in points if p[0] is not None and p[1] is not None]
+    return list(cells.values()) or ([located] if located else [])
+
+
 def _clusters(places: list[tuple[float, float]], eps_m: float) -> list[int]:
     """Connected places within eps_m, through grid cells of that size."""
     cell = eps_m / 111_320
@@ -66,7 +76,9 @@ def detect_stays(obs: DataFrame, radius_m: float = 500.0, min_minutes: float = 3
     """STAYS of each user, from imsi, ts, lat, lng and cell_id.
 
     A candidate is a run of observations within radius_m of its first, of min_minutes or more; a
-    user with none is scanned again at 1.5 times the radius, then half the time, then both.
+    user with none is scanned again at 1.5 times the radius, then half the time, then both; one
+    with none even then has a stay at each cell, or, without cells, one of all located records,
+    which count as min_visits visits.
     Candidates whose centres connect within merge_m are one stay; those with fewer visits go.
     A user's records form one group, as the scan is sequential; keep_users() bounds them.
     """
@@ -80,6 +92,9 @@ def detect_stays(obs: DataFrame, radius_m: float = 500.0, min_minutes: float = 3
         for r, t in ((1, 1), (1.5, 1), (1, 0.5), (1.5, 0.5)):
             if found := _candidates(points, radius_m * r, min_minutes * 60 * t):
                 break
+        sparse = not found
+        if sparse:
+            found = _by_cell(points)
         rows = []
         for c in found:
             located = [(p[0], p[1]) for p in c if p[0] is not None and p[1] is not None]
@@ -88,20 +103,20 @@ def detect_stays(obs: DataFrame, radius_m: float = 500.0, min_minutes: float = 3
             centre = tuple(np.mean(located, axis=0)) if located else (None, None)
             rows.append((*centre, cell, c[0][3], c[-1][3], len(c)))
         placed = [i for i, r in enumerate(rows) if r[0] is not None]
-        group = {i: ("p", g) for i, g in zip(placed, _clusters([rows[i][:2] for i in placed], merge_m))}
+        group = {i: ("s", i) if sparse else ("p", g) for i, g in zip(placed, _clusters([rows[i][:2] for i in placed], merge_m))}
         members: dict = {}
         for i, r in enumerate(rows):
             members.setdefault(group.get(i, ("c", r[2])), []).append(r)
         out = []
         for part in members.values():
-            if len(part) < min_visits:
+            if len(part) < min_visits and not sparse:
                 continue
             weights = [r[5] for r in part]
             lat = float(np.average([r[0] for r in part], weights=weights)) if part[0][0] is not None else None
             lng = float(np.average([r[1] for r in part], weights=weights)) if part[0][1] is not None else None
             cells = Counter(r[2] for r in part if r[2] is not None)
             cell = min(cells, key=lambda k: (-cells[k], k)) if cells else None
-            out.append((lat, lng, cell, min(r[3] for r in part), max(r[4] for r in part), sum(r[4] - r[3] for r in part) / 3600, len(part), sum(weights)))
+            out.append((lat, lng, cell, min(r[3] for r in part), max(r[4] for r in part), sum(r[4] - r[3] for r in part) / 3600, max(min_visits, 1) if sparse else len(part), sum(weights)))
         out.sort(key=lambda s: s[3])
         user = str(pdf["imsi"].iloc[0]) if len(pdf) else ""
         stamp = lambda s: pd.Timestamp(round(s * 1e6), unit="us")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tramline.functions import geo, times
 from tramline.operators.features import average_rank
-from tramline.operators.nearest import asof_nearest
+from tramline.operators.nearest import asof_nearest, nearest_k
 
 _TRIP = ["trip_id"]
 
@@ -172,3 +172,18 @@ def rank_algorithms(table: DataFrame, lower: list[str], higher: list[str]) -> Da
         out = average_rank(out, c, f"rank_{c}", descending=True)
     ranks = [F.col(f"rank_{c}") for c in [*lower, *higher]]
     return out.withColumn("mean_rank", sum(ranks[1:], ranks[0]) / len(ranks))
+
+
+def handovers(track: DataFrame, towers: DataFrame, every_s: int = 30, within_s: float = 600.0) -> DataFrame:
+    """(trip_id, ts, tower_id, from_tower): changes of the nearest tower along a track (trip_id, id, ts, lat, lng), looked at every every_s seconds from its start.
+
+    At each look the nearest point in time within within_s counts; looks without one are passed over.
+    """
+    ends = track.groupBy("trip_id").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    looks = ends.select("trip_id", F.explode(F.sequence(F.lit(0), F.floor(times.elapsed_s(F.col("a"), F.col("b")) / every_s))).alias("k"), "a")
+    looks = looks.select("trip_id", F.timestamp_add("SECOND", (F.col("k") * every_s).cast("long"), F.col("a")).alias("ts"), F.concat_ws(":", "trip_id", "k").alias("look"), "k")
+    at = asof_nearest(looks, track.select("trip_id", "ts", "lat", "lng"), ["trip_id"], "ts", "look", within_s, ["lat", "lng"])
+    near = nearest_k(at.where("lat is not null"), towers, 1, "look", "tower_id").select("look", "tower_id")
+    w = Window.partitionBy("trip_id").orderBy("k")
+    seen = at.join(near, "look").withColumn("from_tower", F.lag("tower_id").over(w))
+    return seen.where("from_tower <> tower_id").select("trip_id", "ts", "tower_id", "from_tower")

@@ -123,7 +123,8 @@ def grow_regions(cells: DataFrame, edges: DataFrame, area: str, target: float, l
         return pd.DataFrame({area: [key[0]] * len(data), "cell": data["cell"], "zone": zone})
 
     kinds = {f.name: f.dataType.simpleString() for f in cells.schema}
-    return cells.groupBy(area).cogroup(edges.groupBy(area)).applyInPandas(run, f"`{area}` {kinds[area]}, cell {kinds['cell']}, zone int")
+    links = edges.select(*[F.col(c).alias(c) for c in edges.columns])  # apart from cells, if both come from one table
+    return cells.groupBy(area).cogroup(links.groupBy(area)).applyInPandas(run, f"`{area}` {kinds[area]}, cell {kinds['cell']}, zone int")
 
 
 def skim(zones: DataFrame, zone: str = "zone_id", most: int = 20_000) -> DataFrame:
@@ -202,8 +203,8 @@ def shortest_paths(edges: DataFrame, origins: DataFrame, small_edges: int = 500_
         return starts.mapInPandas(run, schema)
     nodes = usable.select(F.col("a").alias("node")).union(usable.select("b")).union(starts).distinct()
     parts = connected(usable, nodes, "node")
-    of_edges = usable.join(parts.withColumnRenamed("node", "a"), "a").select("component", "a", "b", "cost")
-    of_starts = starts.join(parts.withColumnRenamed("node", "origin"), "origin").select("component", "origin")
+    of_edges = usable.join(parts.withColumnRenamed("node", "a"), "a").select(F.col("component").alias("component"), "a", "b", "cost")
+    of_starts = starts.join(parts.withColumnRenamed("node", "origin"), "origin").select(F.col("component").alias("component"), "origin")
 
     def group(some: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         graph = _graph(rows)
@@ -300,3 +301,11 @@ def zone_summary(cells: DataFrame, zone: str = "zone") -> DataFrame:
 def with_shares(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
     """df with each row's share of its group's sum."""
     return df.withColumn("share", F.col(value) / F.nullif(F.sum(value).over(Window.partitionBy(*keys)), F.lit(0)))
+
+
+def generation_summary(zones: DataFrame) -> DataFrame:
+    """One row: number, total and mean area, population and employment, zones of the centre, and the zones of each land use as a map."""
+    sums = {"area_km2": "area", "population": "population", "employment": "employment"}
+    one = zones.agg(F.count(F.lit(1)).alias("n_zones"), *[F.sum(c).alias(f"total_{n}") for c, n in sums.items()], *[F.avg(c).alias(f"avg_{n}") for c, n in sums.items()], F.count_if("is_cbd").alias("n_cbd"))
+    uses = zones.groupBy("land_use").agg(F.count(F.lit(1)).alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("land_use", "n")))).alias("land_uses"))
+    return one.withColumn("_k", F.lit(1)).join(uses.withColumn("_k", F.lit(1)), "_k").drop("_k")

@@ -279,15 +279,15 @@ def building_proxies(spark, sf):
     return rounded(barriers.building_proxies(c, b, 0.05))
 
 
-@query("road_lengths", f"WITH e AS (SELECT CASE p_partkey % 2 WHEN 0 THEN 'primary' ELSE 'local' END AS c, 18.9::DOUBLE + p_partkey % 20 * 0.01::DOUBLE AS lat1, 72.8::DOUBLE + p_partkey % 30 * 0.01::DOUBLE AS lng1, 18.9::DOUBLE + p_partkey % 21 * 0.01::DOUBLE AS lat2, 72.8::DOUBLE + p_partkey % 31 * 0.01::DOUBLE AS lng2 FROM part WHERE p_partkey < 500), p AS (SELECT c, {i.HAVERSINE.format('lat1', 'lng1', 'lat2', 'lng2')} / 1000 / 20 AS km, floor((lat1 + (lat2 - lat1) * ((k + 0.5::DOUBLE) / 20)) / 0.05::DOUBLE)::BIGINT AS row, floor((lng1 + (lng2 - lng1) * ((k + 0.5::DOUBLE) / 20)) / 0.05::DOUBLE)::BIGINT AS col FROM e, range(20) r(k)) SELECT row, col, round(coalesce(sum(km) FILTER (c = 'primary'), 0), 4) AS km_primary, round(coalesce(sum(km) FILTER (c = 'local'), 0), 4) AS km_local FROM p GROUP BY ALL")
+@query("road_lengths", f"WITH e AS (SELECT p_partkey AS e, CASE p_partkey % 2 WHEN 0 THEN 'primary' ELSE 'local' END AS c, 18.9::DOUBLE + p_partkey % 20 * 0.01::DOUBLE AS lat1, 72.8::DOUBLE + p_partkey % 30 * 0.01::DOUBLE AS lng1, 18.9::DOUBLE + p_partkey % 21 * 0.01::DOUBLE AS lat2, 72.8::DOUBLE + p_partkey % 31 * 0.01::DOUBLE AS lng2 FROM part), t AS (SELECT e, 0.0::DOUBLE AS t FROM e UNION SELECT e, 1.0 FROM e UNION SELECT e, (k * 0.05::DOUBLE - lat1) / (lat2 - lat1) FROM e, range(300, 450) r(k) WHERE k * 0.05::DOUBLE > least(lat1, lat2) AND k * 0.05::DOUBLE < greatest(lat1, lat2) UNION SELECT e, (k * 0.05::DOUBLE - lng1) / (lng2 - lng1) FROM e, range(1400, 1500) r(k) WHERE k * 0.05::DOUBLE > least(lng1, lng2) AND k * 0.05::DOUBLE < greatest(lng1, lng2)), s AS (SELECT e, t AS a, lead(t) OVER (PARTITION BY e ORDER BY t) AS b FROM t), p AS (SELECT c, {i.HAVERSINE.format('lat1', 'lng1', 'lat2', 'lng2')} / 1000 * (b - a) AS km, floor((lat1 + (lat2 - lat1) * (a + b) / 2) / 0.05::DOUBLE)::BIGINT AS row, floor((lng1 + (lng2 - lng1) * (a + b) / 2) / 0.05::DOUBLE)::BIGINT AS col FROM e JOIN s USING (e) WHERE b IS NOT NULL), w AS (SELECT row, col, sum(km) AS every, round(coalesce(sum(km) FILTER (c = 'primary'), 0), 4) AS km_primary, round(coalesce(sum(km) FILTER (c = 'local'), 0), 4) AS km_local FROM p GROUP BY ALL) SELECT row, col, km_primary, km_local FROM w WHERE every > 0.0001")
 def road_lengths(spark, sf):
     """Road length by class and cell."""
     from tramline.operators import barriers
 
-    p = table(spark, sf, "part").where("p_partkey < 500")
+    p = table(spark, sf, "part")
     k = F.col("p_partkey")
     e = p.select(F.element_at(F.array(F.lit("primary"), F.lit("local")), (k % 2 + 1).cast("int")).alias("road_class"), (F.lit(18.9) + k % 20 * 0.01).alias("lat1"), (F.lit(72.8) + k % 30 * 0.01).alias("lng1"), (F.lit(18.9) + k % 21 * 0.01).alias("lat2"), (F.lit(72.8) + k % 31 * 0.01).alias("lng2"))
-    return rounded(barriers.road_lengths(e, 0.05, ["primary", "local"]))
+    return rounded(barriers.road_lengths(e, 0.05, ["primary", "local"]).where("km_primary + km_local > 0.0001"))
 
 
 @query("corridor_permeability", f"WITH {_LINES}, f AS (SELECT event_id AS id, 18.9::DOUBLE + (event_id % 39) * 0.01::DOUBLE AS lat, CASE event_type WHEN 'view' THEN 1.0 WHEN 'click' THEN 0.5 WHEN 'error' THEN 0.2 ELSE 0 END AS w FROM events), s AS (SELECT edge_id, sum(w) AS w FROM lines JOIN f ON abs(lines.lat - f.lat) * 111320.0::DOUBLE <= 20 GROUP BY 1), l AS (SELECT edge_id, {i.HAVERSINE.format('lat', '72.7::DOUBLE', 'lat', '73.2::DOUBLE')} / 1000 AS km FROM lines) SELECT edge_id, round(coalesce(w, 0) / km, 6) AS permeability FROM l LEFT JOIN s USING (edge_id)")
