@@ -75,7 +75,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier:
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     n = known.count()
     picked = known.where(F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1 << 20)) < (1 << 20) * sample / max(1, n))
-    seen = docs.select("doc_id", features(text_of()).alias("x")).join(small(settle(picked), 2 * sample), "doc_id")
+    seen = docs.select("doc_id", "text").join(small(settle(picked), 2 * sample), "doc_id").select("doc_id", "quality", features(text_of()).alias("x"))
     rows = sorted((tuple(r["x"]), r["quality"]) for r in seen.groupBy("doc_id").agg(F.min("x").alias("x"), F.first("quality").alias("quality")).collect())
     y = np.array([r[1] for r in rows], float)
     if not len(y) or y.min() == y.max():
