@@ -71,3 +71,25 @@ def test_streams(spark, tmp_path):
     assert sorted(r["n"] for r in got.collect()) == [1, 2]
     windows.run_to_files(windows.first_within(s, ["k"]), str(tmp_path / "out"), str(tmp_path / "check"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+def test_database_round_trip(spark):
+    """Over the database that comes with the session, in memory."""
+    url = "jdbc:derby:memory:tramline;create=true"
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id int, name string")
+    try:
+        writers.write_jdbc(df, url, "places", "overwrite", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    except Exception as e:  # the driver's jar is not part of every installation
+        if "ClassNotFound" in str(e) or "No suitable driver" in str(e):
+            pytest.skip("no database driver here")
+        raise
+    got = readers.jdbc(spark, url, 'select "id", "name" from places where "id" > 1', driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    assert [tuple(r) for r in got.collect()] == [(2, "b")]
+
+
+def test_versions_of_one_time(spark):
+    """Of two rows with the newest stamp exactly one is current, the same however they are dealt out."""
+    a = spark.createDataFrame([(i, "x", 5) for i in range(9)], "id int, city string, at int")
+    for n in (1, 4):
+        got = writers.supersede(a.limit(0), a.repartition(n), ["city"], "at").where("is_current").collect()
+        assert [r["id"] for r in got] == [8]

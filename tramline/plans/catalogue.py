@@ -21,7 +21,7 @@ def query(name: str, sql: str | None = None) -> Callable:
 
 
 def _load() -> None:
-    from tramline.plans import audits, bus, extras, telecom, zones  # noqa: F401
+    from tramline.plans import audits, bus, extras, files, telecom, zones  # noqa: F401
 
 
 def queries() -> dict[str, Callable]:
