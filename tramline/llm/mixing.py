@@ -128,9 +128,9 @@ def plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, block: int = BL
 
 
 def taken(rows: DataFrame, pieces: DataFrame) -> DataFrame:
-    """rows with taken, the words that the mix takes of each document, repeats counted, and first_slot, where it first does (else null)."""
+    """rows with taken, the words that the mix takes of each document, repeats counted, and first_slot, where it first does (-1: never)."""
     sums = pieces.groupBy("sid", "spot", "nth").agg(F.sum("words").alias("_taken"), F.min("slot").alias("first_slot"))
-    return rows.join(sums, ["sid", "spot", "nth"], "left").withColumn("taken", F.coalesce("_taken", F.lit(0)).cast("long")).drop("_taken")
+    return rows.join(sums, ["sid", "spot", "nth"], "left").withColumns({"taken": F.coalesce("_taken", F.lit(0)).cast("long"), "first_slot": F.coalesce("first_slot", F.lit(-1)).cast("long")}).drop("_taken")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,7 +180,7 @@ t AS (
 o AS (
   SELECT d.doc_id, d.source, d.size, t.source_size, t.target, round(t.target)::BIGINT AS want,
          coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id NULLS FIRST, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 n AS (
   SELECT source, b, coalesce(sum(b) OVER (ORDER BY source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo
   FROM (SELECT source, ceil(round(target)::BIGINT / 1024.0)::BIGINT AS b FROM t)),
@@ -191,6 +191,6 @@ k AS (
   JOIN n ON x.point >= n.lo AND x.point < n.lo + n.b)
 SELECT o.doc_id, size, source_size, target,
        (greatest(0, least(pos + size, want) - pos) + greatest(0, least(source_size + pos + size, want) - source_size - pos))::BIGINT AS taken,
-       k.slot AS first_slot
+       coalesce(k.slot, -1)::BIGINT AS first_slot
 FROM o LEFT JOIN k ON o.source IS NOT DISTINCT FROM k.source AND o.size > 0 AND o.pos < o.want AND k.rank = o.pos // 1024
 """

@@ -19,6 +19,8 @@ QUERIES = {
     "unigram_words": pieces.unigram_words,
 }
 ORACLES: dict[str, str] = {
+    "op3_repeats": repeats.ORACLE_OP3,
+    "op6_quality_rules": rules.ORACLE_OP6,
     "op7_url_filter": urls.ORACLE_OP7,
     "op9_secrets": secrets.ORACLE_OP9,
     "op10_mixing": mixing.ORACLE_OP10,

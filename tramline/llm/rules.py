@@ -91,7 +91,7 @@ VOTES = (
     Vote("upper case", "n_upper / nullif(word_chars, 0)", 0.1, 0.2, 0.002),
     Vote("repeated windows", "n_repeat_words / nullif(n_words, 0)", 0.2, 0.4, 0.002),
     Vote("repeated lines", "n_dup_lines / nullif(n_lines, 0)", 0.2, 0.4, 0.002),
-    Vote("word length", "abs(word_chars / nullif(n_words, 0) - 5)", 0.6, 1.2, 0.05),
+    Vote("word length", "abs(word_chars / nullif(n_words, 0) - 5)", 0.4, 0.7, 0.05),
 )
 #: What one expects of any rule before any document is seen: its share of bad votes on bad documents.
 CATCHES = 0.3
@@ -185,4 +185,39 @@ def judge(docs: DataFrame, votes=VOTES, id_col: str = "doc_id", text_col: str =
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept of every document."""
-    return judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+    return judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("quality", 6).alias("quality"))
+
+
+def _oracle() -> str:
+    """The counts, votes and label model in SQL: patterns are counted, and a recursion repeats the rounds on a list of the prior, the misfires and the catches."""
+    many = range(len(VOTES))
+    values = [v.value.replace("/ nullif", "::DOUBLE / nullif") for v in VOTES]
+    votes = ", ".join(f"coalesce(CASE WHEN {x} >= {v.bad} THEN -1 WHEN {x} <= {v.good} THEN 1 END, 0) AS v{i}" for i, (x, v) in enumerate(zip(values, VOTES)))
+    low, high = (lambda i: f"s[{i + 2}]"), (lambda i: f"s[{i + 2 + len(VOTES)}]")
+    odds = lambda: "ln(s[1] / (1 - s[1])) + " + " + ".join(f"CASE v{i} WHEN -1 THEN ln({low(i)} / {high(i)}) WHEN 1 THEN ln((1 - {low(i)}) / (1 - {high(i)})) ELSE 0 END" for i in many)
+    names = ", ".join(f"v{i}" for i in many)
+    rate = lambda i, w, expected: f"(sum(CASE WHEN v{i} = -1 THEN {w} ELSE 0 END) + {PRIOR_VOTES} * greatest(1, sum(n)) * {expected}) / (sum(CASE WHEN v{i} <> 0 THEN {w} ELSE 0 END) + {PRIOR_VOTES} * greatest(1, sum(n)))"
+    b = [rate(i, "(n - g)", CATCHES) for i in many]
+    a = [f"least({rate(i, 'g', VOTES[i].misfires)}, {b[i]})" for i in many]
+    start = ", ".join(map(str, [START_GOOD, *(v.misfires for v in VOTES), *([CATCHES] * len(VOTES))]))
+    return f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+l AS (SELECT id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY id),
+g3 AS (SELECT id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS k FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+r3 AS (SELECT id, i FROM g3 QUALIFY count(*) OVER (PARTITION BY id, k) > 1),
+r AS (SELECT id, count(DISTINCT j) AS n FROM (SELECT id, unnest([i, i + 1, i + 2]) AS j FROM r3) GROUP BY id),
+c AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g'))::BIGINT AS word_chars, (length(t) - length(translate(t, '#*$%&|<>', '')))::BIGINT AS n_symbols,
+  coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words, (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')))::BIGINT AS n_upper
+  FROM d LEFT JOIN l ON l.id = d.id LEFT JOIN r ON r.id = d.id),
+v AS (SELECT *, {votes} FROM c),
+pats AS (SELECT {names}, count(*)::DOUBLE AS n FROM v GROUP BY ALL),
+em(i, s) AS (
+  SELECT 0, [{start}]::DOUBLE[]
+  UNION ALL
+  SELECT i + 1, (SELECT [(sum(g) + 1) / (sum(n) + 2), {", ".join(a)}, {", ".join(b)}] FROM (SELECT *, n / (1 + exp(-greatest(-50, least(50, {odds()})))) AS g FROM pats)) FROM em WHERE i < 300),
+q AS (SELECT v.*, 1 / (1 + exp(-({odds()}))) AS quality, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM v, (SELECT s FROM em WHERE i = 300))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND quality >= {KEEP} AS kept, round(quality, 6) AS quality FROM q
+"""
+
+
+ORACLE_OP6 = _oracle()
