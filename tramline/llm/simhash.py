@@ -31,6 +31,8 @@ STAGE_SIMILARITY = 0.8
 ORDER_SAMPLE = 20_000
 ORDER_COMMON = 16
 ORDER_MOST = 200_000
+#: Grams of their prefixes that similar sets share at least.
+SHARED = 4
 #: Up to so many keys are sent to the grams, rather than the grams shuffled to them.
 HELD_KEYS = 500_000
 _CHUNK = 1 << 16
@@ -159,16 +161,17 @@ def _key(grams: np.ndarray) -> int:
 
 
 def prefix(grams: np.ndarray, common: np.ndarray, threshold: float) -> np.ndarray:
-    """The first n - ceil(threshold n) + 1 of n grams, common ones last; both are in ascending order.
+    """The first n - ceil(threshold n) + SHARED of n grams, common ones last; both are in ascending order.
 
-    Two sets with a Jaccard similarity of threshold or more share a gram of their prefixes in any
-    order that is the same for all sets, so `common` changes no result, only the number of pairs.
+    Two sets with a Jaccard similarity of threshold or more share at least SHARED grams of their
+    prefixes (or all that they must share, if that is fewer) in any order that is the same for all
+    sets, so `common` changes no result, only the number of pairs.
     """
     late = np.zeros(len(grams), bool)
     if len(common):
         at = np.minimum(np.searchsorted(common, grams), len(common) - 1)
         late = common[at] == grams
-    return np.concatenate((grams[~late], grams[late]))[: len(grams) - _least(len(grams), threshold) + 1]
+    return np.concatenate((grams[~late], grams[late]))[: len(grams) - _least(len(grams), threshold) + SHARED]
 
 
 def _least(n: int, threshold: float) -> int:
@@ -183,15 +186,17 @@ def common_grams(docs: DataFrame, rows: int, id_col: str, text_col: str, shingle
     return np.sort(often.select("gram").toPandas()["gram"].to_numpy(np.int64))
 
 
-def similar(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, threshold: float, id_col: str, text_col: str, shingle: int) -> DataFrame:
+def similar(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, threshold: float, repeated: bool, id_col: str, text_col: str, shingle: int) -> DataFrame:
     """The pairs (a, b) of keys whose sets have a Jaccard similarity of threshold or more.
 
-    Sets are computed anew, and only for the first document of each key of a pair.
+    Sets are computed anew, and only for the first document of each key of a pair. They are
+    deduplicated only where ids repeat.
     """
     needed = settle(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(firsts, "key").select("key", "first"))
     texts = docs.join(small(needed.select(F.col("first").alias("_first")).distinct(), HELD_KEYS), F.col(id_col).eqNullSafe(F.col("_first")), "left_semi")
     sets = _sets(texts, ["key", "grams"], "long array<long>", lambda _, each: (_key(each), each), id_col, text_col, shingle).select("key", "grams")
-    held = sets.join(small(needed.select("key"), HELD_KEYS), "key", "left_semi").dropDuplicates(["key"])
+    held = sets.join(small(needed.select("key"), HELD_KEYS), "key", "left_semi")
+    held = held.dropDuplicates(["key"]) if repeated else held
     both = small(pairs, HELD_KEYS).join(held.select(F.col("key").alias("a"), F.col("grams").alias("_a")), "a").join(held.select(F.col("key").alias("b"), F.col("grams").alias("_b")), "b")
     shared = F.size(F.array_intersect("_a", "_b"))
     return both.withColumn("_s", shared).where(F.col("_s") >= threshold * (F.size("_a") + F.size("_b") - F.col("_s")) - 1e-9).select("a", "b")
@@ -203,8 +208,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A similarity of 0.8 leaves some 10 of 64 fingerprint bits different, for which segments would
     be too short to tell documents apart. So SimHash links only propose the closest pairs;
-    the others are proposed by a shared gram of their prefixes, first to the least key of that gram,
-    then, between components so found, to each other. Every pair is verified by its grams. Rows
+    the others are proposed by shared grams of their prefixes, first with the least key of each gram,
+    then, between components so found, with each other. Every pair is verified by its grams. Rows
     without words form one component. component_id is the smallest id, nulls aside. Sets are known
     by a 64-bit hash (key); they are computed anew for each use rather than stored, since they take
     more room than the texts. Repeated rows and ids are rows like any other; other columns are not
@@ -224,11 +229,14 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     name = lambda c: fps.select(F.col("fp").alias(c), F.col("least").alias(f"_{c}"))
     linked = links(fps.select("fp")).join(name("a"), "a").join(name("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
     fit = lambda n, m: (F.col(n) >= threshold * F.col(m) - 1e-9) & (F.col(m) >= threshold * F.col(n) - 1e-9)
-    stars = heads.where("key <> pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct()
-    pairs = alike.union(linked).union(stars).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    enough = lambda n, m: F.col("_c") >= F.least(F.lit(SHARED), F.ceil(threshold / (1 + threshold) * (F.col(n) + F.col(m)) - 1e-9))
+    stars = heads.where("key <> pivot").groupBy(F.col("pivot").alias("a"), F.col("key").alias("b")).agg(F.count(F.lit(1)).alias("_c"))
+    others = alike.union(linked).withColumn("_c", F.lit(SHARED).cast("long"))
+    pairs = others.union(stars).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "_c").groupBy("a", "b").agg(F.max("_c").alias("_c"))
     long_as = lambda c, n: firsts.select(F.col("key").alias(c), F.col("n").alias(n))
-    pairs = settle(pairs.join(long_as("a", "_n"), "a").join(long_as("b", "_m"), "b").where(fit("_n", "_m")).select("a", "b"))
-    verified = lambda some: similar(some, docs, firsts, threshold, *told)
+    pairs = settle(pairs.join(long_as("a", "_n"), "a").join(long_as("b", "_m"), "b").where(fit("_n", "_m") & enough("_n", "_m")).select("a", "b"))
+    repeated = bool(each.groupBy(id_col).count().where("count > 1").head(1))
+    verified = lambda some: similar(some, docs, firsts, threshold, repeated, *told)
     found = settle(verified(pairs))
 
     parts = components(found).select(F.col("node").alias("key"), "component")
@@ -236,7 +244,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     several = stored(own.groupBy("gram").agg(F.min("part").alias("_lo"), F.max("part").alias("_hi")).where("_lo < _hi").select("gram"))
     own = stored(own.join(several, "gram").distinct())
     other = own.select("gram", F.col("key").alias("b"), F.col("n").alias("m"), F.col("part").alias("_part"))
-    across = own.join(other, "gram").where((F.col("key") < F.col("b")) & (F.col("part") != F.col("_part")) & fit("n", "m")).select(F.col("key").alias("a"), "b").distinct()
+    across = own.join(other, "gram").where((F.col("key") < F.col("b")) & (F.col("part") != F.col("_part")) & fit("n", "m"))
+    across = across.groupBy(F.col("key").alias("a"), "b", "n", "m").agg(F.count(F.lit(1)).alias("_c")).where(enough("n", "m")).select("a", "b")
     found = found.union(verified(settle(across.join(pairs, ["a", "b"], "left_anti"))))
 
     parts = components(found).withColumnRenamed("node", "key")
