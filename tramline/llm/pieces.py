@@ -101,22 +101,32 @@ def marks(edges: Column) -> Column:
     return F.transform(F.array_sort(wide), lambda e: F.struct((bit(e["i"]) + bit(e["j"])).alias("lo"), (bit(e["j"]) - bit(e["i"] + 1)).alias("mid")))
 
 
+#: A bit above those of the borders.
+_WAITS = 1 << 61
+
+
 def fold_merges(word: Column, edges: Column) -> Column:
-    """Borders of the pieces of a BPE word, as bits, from its marks.
+    """Borders of the pieces of a BPE word, as bits, from its marks. Words have at most LONG_WORD characters.
 
-    In each step the first edge whose ends are borders with one border between merges two
-    neighbours, until there is none. Words have at most LONG_WORD characters.
+    The rule takes the best edge whose ends are borders with one border between, again and again.
+    As borders only go, one pass in the order of the edges does the same, unless an edge meets
+    several borders between its ends and might fit later; such a word is folded step by step.
     """
     n = F.char_length(word)
     none = F.lit(0).cast("long")
+    start = F.call_function("shiftleft", F.lit(1).cast("long"), n + 1) - 1
+    ends = lambda at, e: at.bitwiseAND(e["lo"]) == e["lo"]
+    between = lambda at, e: F.bit_count(at.bitwiseAND(e["mid"]))
+
+    def once(at: Column, e: Column) -> Column:
+        return F.when(ends(at, e), F.when(between(at, e) == 1, at.bitwiseAND(F.bitwise_not(e["mid"]))).when(between(at, e) > 1, at.bitwiseOR(F.lit(_WAITS))).otherwise(at)).otherwise(at)
 
     def step(at: Column, _: Column) -> Column:
-        fits = lambda e: (at.bitwiseAND(e["lo"]) == e["lo"]) & (F.bit_count(at.bitwiseAND(e["mid"])) == 1)
-        gone = F.aggregate(edges, none, lambda acc, e: F.when(acc != 0, acc).when(fits(e), e["mid"]).otherwise(none))
+        gone = F.aggregate(edges, none, lambda acc, e: F.when(acc != 0, acc).when(ends(at, e) & (between(at, e) == 1), e["mid"]).otherwise(none))
         return at.bitwiseAND(F.bitwise_not(gone))
 
-    start = F.call_function("shiftleft", F.lit(1).cast("long"), n + 1) - 1
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), n - 1)), start, step)
+    steps = lambda: F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), n - 1)), start, step)
+    return let(F.aggregate(edges, start, once), lambda found: F.when(found < _WAITS, found).otherwise(steps()))
 
 
 def fold_viterbi(word: Column, edges: Column, unknown: float = -1e4) -> Column:
@@ -356,10 +366,10 @@ def with_lattices(docs: DataFrame, codec: Codec) -> DataFrame:
             schema = schema or pa.schema([("key", key), ("text", pa.string()), ("fresh", pa.bool_()), ("words", pa.list_(encoder.lattices([]).type))])
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                needed = {w for text in part.column(1).to_pylist() for w in words(text) if len(w) <= LONG_WORD}
+                needed = set().union(*map(words, part.column(1).to_pylist()))
                 if len(known) > KNOWN_WORDS:
                     known, fresh = set(), True
-                new = sorted(needed - known)
+                new = sorted(w for w in needed - known if len(w) <= LONG_WORD)
                 known |= needed
                 for begin in range(0, len(new), ROW_WORDS):
                     edges = encoder.lattices(new[begin : begin + ROW_WORDS])
@@ -399,10 +409,10 @@ def coded(docs: DataFrame, codec: Codec, id_col: str, text_col: str, what, field
                         known.update(zip(some, map(encoder.named, some, borders)))
                         continue
                     every = words(text)
-                    if every and len(max(every, key=len)) > LONG_WORD:
-                        ids = list(chain.from_iterable([known[w] if len(w) <= LONG_WORD else encoder.long(w) for w in every]))
-                    else:
+                    try:
                         ids = list(chain.from_iterable(map(known.__getitem__, every)))
+                    except KeyError:
+                        ids = list(chain.from_iterable([encoder.long(w) if len(w) > LONG_WORD else known[w] for w in every]))
                     keys.append(nth)
                     rows.append(what(encoder, ids))
                 if rows:
