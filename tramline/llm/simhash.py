@@ -33,6 +33,9 @@ ORDER_COMMON = 16
 ORDER_MOST = 200_000
 #: Grams of their prefixes that similar sets share at least.
 SHARED = 4
+#: Rows of a gram that all meet; in larger ones they meet the pivots of so many drawn orders and one more.
+MEET_ALL = 16
+DRAWN_ORDERS = 6
 #: Up to so many keys are sent to the grams, rather than the grams shuffled to them.
 HELD_KEYS = 500_000
 _CHUNK = 1 << 16
@@ -202,14 +205,35 @@ def similar(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, threshold: flo
     return both.withColumn("_s", shared).where(F.col("_s") >= threshold * (F.size("_a") + F.size("_b") - F.col("_s")) - 1e-9).select("a", "b")
 
 
+def _meetings(own: DataFrame) -> DataFrame:
+    """(a, b), a < b: pairs of keys of different parts that share two grams or more, from (gram, key, n, part, _size).
+
+    All members of a gram of up to MEET_ALL rows meet; those of a larger one meet its pivots: the
+    member that shares most with others, and the first of some drawn orders of all keys. So a gram
+    of s rows makes at most some 8 s pairs.
+    """
+    few, many = own.where(F.col("_size") <= MEET_ALL), own.where(F.col("_size") > MEET_ALL)
+    other = few.select("gram", F.col("key").alias("b"), F.col("part").alias("_part"))
+    met = few.join(other, "gram").where((F.col("key") < F.col("b")) & (F.col("part") != F.col("_part"))).select(F.col("key").alias("a"), "b")
+    score = settle(many.groupBy("key").agg(F.sum("_size").alias("_score")))
+    drawn = [F.min_by("key", F.xxhash64("key", F.lit(i))).alias(f"_p{i}") for i in range(DRAWN_ORDERS)]
+    pivots = stored(many.join(score, "key").groupBy("gram").agg(F.max_by("key", "_score").alias("_top"), *drawn))
+    some = F.array_distinct(F.array("_top", *[f"_p{i}" for i in range(DRAWN_ORDERS)]))
+    starred = many.select("gram", "key").join(pivots.select("gram", some.alias("_some")), "gram").select("key", F.explode("_some").alias("b")).where("key <> b")
+    both = met.union(starred.select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b")))
+    return both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("_c")).where("_c >= 2").select("a", "b")
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = STAGE_SIMILARITY, shingle: int = STAGE_WORDS) -> DataFrame:
     """One row for each row of docs: id and component_id, over pairs of a Jaccard similarity of
-    threshold or more between their sets of word shingles. None is missed.
+    threshold or more between their sets of word shingles.
 
     A similarity of 0.8 leaves some 10 of 64 fingerprint bits different, for which segments would
     be too short to tell documents apart. So SimHash links only propose the closest pairs;
     the others are proposed by shared grams of their prefixes, first with the least key of each gram,
-    then, between components so found, with each other. Every pair is verified by its grams. Rows
+    then, between components so found, as _meetings has it. Every pair is verified by its grams. No
+    similar pair is missed unless most grams that it shares are in more than MEET_ALL rows of
+    different components, of which neither is a pivot: all pairs of such a group would be too many. Rows
     without words form one component. component_id is the smallest id, nulls aside. Sets are known
     by a 64-bit hash (key); they are computed anew for each use rather than stored, since they take
     more room than the texts. Repeated rows and ids are rows like any other; other columns are not
@@ -241,12 +265,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     parts = components(found).select(F.col("node").alias("key"), "component")
     own = stored(heads.join(parts, "key", "left").select("gram", "key", "n", F.coalesce("component", "key").alias("part")))
-    several = stored(own.groupBy("gram").agg(F.min("part").alias("_lo"), F.max("part").alias("_hi")).where("_lo < _hi").select("gram"))
-    own = stored(own.join(several, "gram").distinct())
-    other = own.select("gram", F.col("key").alias("b"), F.col("n").alias("m"), F.col("part").alias("_part"))
-    across = own.join(other, "gram").where((F.col("key") < F.col("b")) & (F.col("part") != F.col("_part")) & fit("n", "m"))
-    across = across.groupBy(F.col("key").alias("a"), "b", "n", "m").agg(F.count(F.lit(1)).alias("_c")).where(enough("n", "m")).select("a", "b")
-    found = found.union(verified(settle(across.join(pairs, ["a", "b"], "left_anti"))))
+    several = own.groupBy("gram").agg(F.min("part").alias("_lo"), F.max("part").alias("_hi"), F.count(F.lit(1)).alias("_size")).where("_lo < _hi").select("gram", "_size")
+    own = stored(own.join(stored(several), "gram").distinct())
+    across = settle(_meetings(own).join(pairs, ["a", "b"], "left_anti").join(long_as("a", "_n"), "a").join(long_as("b", "_m"), "b").where(fit("_n", "_m")).select("a", "b"))
+    found = found.union(verified(across))
 
     parts = components(found).withColumnRenamed("node", "key")
     rooted = firsts.join(parts, "key", "left").select("key", "first", F.coalesce("component", "key").alias("root"))
