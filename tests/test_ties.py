@@ -26,3 +26,15 @@ def against_sql(spark, tmp_path, name, rows):
 def test_zero_is_a_value(spark, tmp_path):
     got, want = against_sql(spark, tmp_path, "repair_coordinates", [(8, 1, 0.0), (10, 1, 5.0), (11, 1, 0.0), (50, 1, 0.0), (51, 1, 2.0), (52, 1, None)])
     assert got == want and (8, 0.0) in got and (52, None) in got
+
+
+def test_point_on_a_side(spark, tmp_path):
+    got, want = against_sql(spark, tmp_path, "zone_assignment", [(121488, 340, 0.0), (21488, 340, 0.0), (12, 10, 0.0), (15, 5, 0.0)])
+    assert got == want
+
+
+def test_sides_of_a_box(spark):
+    square = "array(named_struct('lat', 0D, 'lng', 0D), named_struct('lat', 0D, 'lng', 1D), named_struct('lat', 1D, 'lng', 1D), named_struct('lat', 1D, 'lng', 0D))"
+    points = spark.createDataFrame([(0.0, 0.5), (1.0, 0.5), (0.5, 0.0), (0.5, 1.0)], "lat double, lng double")
+    found = points.select("lat", "lng", geo.point_in_polygon(F.col("lat"), F.col("lng"), F.expr(square)).alias("inside"))
+    assert {(r["lat"], r["lng"]): r["inside"] for r in found.collect()} == {(0.0, 0.5): False, (1.0, 0.5): True, (0.5, 0.0): True, (0.5, 1.0): False}

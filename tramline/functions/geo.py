@@ -76,10 +76,13 @@ def sector(lat: Column, lng: Column, azimuth_deg: Column, beamwidth_deg: Column,
 
 
 def point_in_polygon(lat: Column, lng: Column, polygon: Column) -> Column:
-    """Ray casting: whether a point is inside a polygon given as array<struct<lat, lng>>, closed or not."""
+    """Ray casting: whether a point is inside a polygon given as array<struct<lat, lng>>, closed or not.
+
+    Of a box the upper latitude and the lesser longitude belong to it, the other two sides don't.
+    """
     def crosses(p: Column, i: Column) -> Column:
         q = F.element_at(polygon, F.when(i == 0, F.size(polygon)).otherwise(i))
-        meets = (p["lat"] > lat) != (q["lat"] > lat)
+        meets = (lat > p["lat"]) != (lat > q["lat"])
         edge = (q["lng"] - p["lng"]) * (lat - p["lat"]) / F.nullif(q["lat"] - p["lat"], F.lit(0.0)) + p["lng"]
         return meets & (lng < edge)
 
