@@ -38,3 +38,29 @@ def test_sides_of_a_box(spark):
     points = spark.createDataFrame([(0.0, 0.5), (1.0, 0.5), (0.5, 0.0), (0.5, 1.0)], "lat double, lng double")
     found = points.select("lat", "lng", geo.point_in_polygon(F.col("lat"), F.col("lng"), F.expr(square)).alias("inside"))
     assert {(r["lat"], r["lng"]): r["inside"] for r in found.collect()} == {(0.0, 0.5): False, (1.0, 0.5): True, (0.5, 0.0): True, (0.5, 1.0): False}
+
+
+def test_delays_on_a_limit(spark, tmp_path):
+    """Delays of 90 minutes but for the last digits of a mean: its addition follows the ids, whatever the order of rows."""
+    random.seed(3)
+    rows, day = [], dt.datetime(2024, 1, 7)
+    for vehicle in range(200):
+        late = random.randrange(48_000, 52_000)
+        others = [late - 6300 + random.randrange(-300, 300) for _ in range(5)]
+        for s in [late, *others, 6 * late - sum(others) - 37_800]:
+            rows.append((len(rows) * 12, day + dt.timedelta(seconds=s), vehicle, "view", 0.0))
+    random.shuffle(rows)
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double")
+    events.repartition(5).write.parquet(f"{tmp_path}/events.parquet")
+    db = duckdb.connect(config={"threads": 1})
+    db.sql(f"create table events as select * from '{tmp_path}/events.parquet/*.parquet' order by event_id")
+    got = [tuple(r) for r in catalogue.queries()["schedule_adherence"](spark, str(tmp_path)).collect()]
+    assert got == db.sql(catalogue.oracle_sql()["schedule_adherence"]).fetchall() and got[0][1] < len(rows)
+
+
+def test_means_in_order(spark):
+    t = spark.createDataFrame([(1, 2, 0.1), (1, 1, 1e16), (1, 3, -1e16), (2, 1, None), (3, 1, None), (3, 2, 2.0), (None, 1, 4.0)], "k int, i int, y double")
+    got = {r["k"]: r["m"] for r in features.mean_in_order(t, ["k"], "y", ["i"], "m").collect()}
+    assert got == {1: (1e16 + 0.1 - 1e16) / 3, 2: None, 3: 2.0, None: 4.0}
+    keys = spark.createDataFrame([(1,), (9,)], "k int")
+    assert sorted((r["k"], r["k_mean"]) for r in features.target_encode(t.where("k = 1"), [keys], "k", "y", ["i"])[0].collect()) == [(1, 0.0), (9, None)]

@@ -76,9 +76,25 @@ def average_rank(df: DataFrame, value: str, name: str, keys: list[str] = (), des
     return df.alias("l").join(ranked.alias("r"), cond, "left").select("l.*", F.col(f"r.{name}"))
 
 
-def target_encode(train: DataFrame, frames: list[DataFrame], key: str, target: str) -> list[DataFrame]:
-    """Each frame with the training mean of target by key and that mean's rank share; unseen keys get null."""
-    means = average_rank(train.groupBy(key).agg(F.avg(target).alias(f"{key}_mean")), f"{key}_mean", f"{key}_rank", share=True)
+def mean_in_order(df: DataFrame, keys: list[str], value: str, order: list[str], name: str) -> DataFrame:
+    """(keys, name): means of value, added in the stated order of rows.
+
+    So the last digits of a mean don't depend on how rows are dealt: equal sequences have equal
+    means, and a mean lies on the same side of a limit in each run.
+    """
+    w = Window.partitionBy(*keys).orderBy(*order)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    summed = df.select(*keys, (F.sum(value).over(upto) / F.nullif(F.count(value).over(upto), F.lit(0))).alias(name), F.lead(F.lit(1)).over(w).alias("_next"))
+    return summed.where(F.col("_next").isNull()).drop("_next")
+
+
+def target_encode(train: DataFrame, frames: list[DataFrame], key: str, target: str, order: list[str] | None = None) -> list[DataFrame]:
+    """Each frame with the training mean of target by key and that mean's rank share; unseen keys get null.
+
+    With an order, targets are added in it, so that keys with equal sequences of targets tie.
+    """
+    mean = mean_in_order(train, [key], target, order, f"{key}_mean") if order else train.groupBy(key).agg(F.avg(target).alias(f"{key}_mean"))
+    means = average_rank(mean, f"{key}_mean", f"{key}_rank", share=True)
     return [f.join(means, key, "left") for f in frames]
 
 

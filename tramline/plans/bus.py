@@ -168,7 +168,8 @@ def route_stops(spark, sf):
 @query("schedule_adherence", f"WITH {i.PINGS}, s AS (SELECT vehicle_id, stop_id, avg(hour(ts) * 60.0 + minute(ts) + second(ts) / 60.0) AS minutes FROM pings GROUP BY ALL), d AS (SELECT p.stop_id, hour(ts) * 60.0 + minute(ts) + second(ts) / 60.0 - minutes AS raw FROM pings p JOIN s USING (vehicle_id, stop_id)), e AS (SELECT stop_id, CASE WHEN raw > 720 THEN raw - 1440 WHEN raw < -720 THEN raw + 1440 ELSE raw END AS d FROM d) SELECT stop_id, count(*) AS n, round(avg(d), 4) AS mean_delay, round(stddev_samp(d), 4) AS sd_delay, round(median(d), 4) AS median_delay, round(avg((abs(d) <= 3)::INT), 4) AS on_time_share, round(avg((d > 5)::INT), 4) AS late_share, round(avg((d < -2)::INT), 4) AS early_share FROM e WHERE abs(d) < 90 GROUP BY 1")
 def schedule_adherence(spark, sf):
     p = i.pings(spark, sf)
-    schedule = p.groupBy(F.col("vehicle_id").alias("trip_id"), "stop_id").agg(F.avg(times.minutes_of_day(F.col("ts"))).alias("minutes"))
+    daily = p.select(F.col("vehicle_id").alias("trip_id"), "stop_id", "id", times.minutes_of_day(F.col("ts")).alias("minutes"))
+    schedule = features.mean_in_order(daily, ["trip_id", "stop_id"], "minutes", ["id"], "minutes")
     return rounded(routes.adherence(p.select(F.col("vehicle_id").alias("trip_id"), "stop_id", F.col("ts").alias("arrival")), schedule, ["stop_id"]))
 
 
