@@ -64,3 +64,18 @@ def test_means_in_order(spark):
     assert got == {1: (1e16 + 0.1 - 1e16) / 3, 2: None, 3: 2.0, None: 4.0}
     keys = spark.createDataFrame([(1,), (9,)], "k int")
     assert sorted((r["k"], r["k_mean"]) for r in features.target_encode(t.where("k = 1"), [keys], "k", "y", ["i"])[0].collect()) == [(1, 0.0), (9, None)]
+
+
+def test_equal_targets_tie_in_any_order(spark, tmp_path):
+    random.seed(5)
+    rows = []
+    for customer in range(12):
+        values = random.Random(customer % 3)
+        rows += [(1000 * customer + i, customer, round(values.uniform(1, 400_000), 2)) for i in range(30)]
+    random.shuffle(rows)
+    orders = spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_totalprice double")
+    orders.repartition(5).write.parquet(f"{tmp_path}/orders.parquet")
+    db = duckdb.connect(config={"threads": 1})
+    db.sql(f"create table orders as select * from '{tmp_path}/orders.parquet/*.parquet' order by o_orderkey")
+    got = sorted(map(tuple, catalogue.queries()["target_encode"](spark, str(tmp_path)).collect()))
+    assert got == sorted(db.sql(catalogue.oracle_sql()["target_encode"]).fetchall()) and len({r[3] for r in got}) == 3

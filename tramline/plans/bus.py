@@ -289,8 +289,8 @@ def overdispersion(spark, sf):
 @query("target_encode", "WITH d AS (SELECT o_custkey, avg(o_totalprice) AS m FROM orders WHERE o_orderkey % 5 <> 0 GROUP BY 1), r AS (SELECT o_custkey, m, (rank() OVER (ORDER BY m) + (count(*) OVER (PARTITION BY m) - 1) / 2.0) / count(*) OVER () AS p FROM d) SELECT o.o_orderkey, o.o_custkey, round(r.m, 3) AS o_custkey_mean, round(r.p, 6) AS o_custkey_rank FROM orders o LEFT JOIN r USING (o_custkey) WHERE o_orderkey % 5 = 0")
 def target_encode(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
-    out = features.target_encode(o.where("o_orderkey % 5 <> 0"), [o.where("o_orderkey % 5 = 0").drop("o_totalprice")], "o_custkey", "o_totalprice")[0]
-    return out.select("o_orderkey", "o_custkey", F.round("o_custkey_mean", 3).alias("o_custkey_mean"), F.round("o_custkey_rank", 6).alias("o_custkey_rank"))
+    out = features.target_encode(o.where("o_orderkey % 5 <> 0"), [o.where("o_orderkey % 5 = 0").drop("o_totalprice")], "o_custkey", "o_totalprice", order=["o_orderkey"])[0]
+    return out.select("o_orderkey", "o_custkey", (F.round(F.col("o_custkey_mean") * 1000) / 1000).alias("o_custkey_mean"), F.round("o_custkey_rank", 6).alias("o_custkey_rank"))
 
 
 @query("weather_merge", "WITH a AS (SELECT user_id % 15 AS g, date_trunc('hour', ts) AS t, max(value) AS x FROM events WHERE event_type = 'view' GROUP BY ALL), b AS (SELECT user_id % 15 AS g, date_trunc('hour', ts) AS t, max(value) AS x FROM events WHERE event_type = 'click' GROUP BY ALL) SELECT g, t, a.x, b.x AS x_1 FROM a FULL JOIN b USING (g, t)")
