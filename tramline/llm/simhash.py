@@ -15,7 +15,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tramline.llm.common import components, settle, small, stored, table
@@ -36,6 +36,8 @@ SHARED = 4
 #: Rows of a gram that all meet; in larger ones they meet the pivots of so many drawn orders and one more.
 MEET_ALL = 16
 DRAWN_ORDERS = 6
+#: Members of a gram that one task holds against as many others.
+BLOCK = 512
 #: Up to so many keys are sent to the grams, rather than the grams shuffled to them.
 HELD_KEYS = 500_000
 _CHUNK = 1 << 16
@@ -186,7 +188,7 @@ def common_grams(docs: DataFrame, rows: int, id_col: str, text_col: str, shingle
     picked = docs.where(F.pmod(F.xxhash64(F.col(id_col), F.lit("order")), F.lit(max(1, rows // ORDER_SAMPLE))) == 0)
     grams = _sets(picked, ["grams"], "array<long>", lambda _, each: (each,), id_col, text_col, shingle).select(F.explode("grams").alias("gram"))
     often = grams.groupBy("gram").count().where(F.col("count") >= ORDER_COMMON).orderBy(F.desc("count"), "gram").limit(ORDER_MOST)
-    return np.sort(often.select("gram").toPandas()["gram"].to_numpy(np.int64))
+    return np.sort(often.select("gram").toArrow().column("gram").to_numpy())
 
 
 def similar(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, threshold: float, repeated: bool, id_col: str, text_col: str, shingle: int) -> DataFrame:
@@ -205,6 +207,13 @@ def similar(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, threshold: flo
     return both.withColumn("_s", shared).where(F.col("_s") >= threshold * (F.size("_a") + F.size("_b") - F.col("_s")) - 1e-9).select("a", "b")
 
 
+def _apart(heads: DataFrame, parts: DataFrame) -> DataFrame:
+    """(gram, key, n, part, _size) of the grams whose keys are in several components; a key without one is its own."""
+    own = stored(heads.join(parts, "key", "left").select("gram", "key", "n", F.coalesce("component", "key").alias("part")).distinct())
+    several = own.groupBy("gram").agg(F.min("part").alias("_lo"), F.max("part").alias("_hi"), F.count(F.lit(1)).alias("_size")).where("_lo < _hi").select("gram", "_size")
+    return stored(own.join(stored(several), "gram"))
+
+
 def _meetings(own: DataFrame) -> DataFrame:
     """(a, b), a < b: pairs of keys of different parts that share two grams or more, from (gram, key, n, part, _size).
 
@@ -224,6 +233,48 @@ def _meetings(own: DataFrame) -> DataFrame:
     return both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("_c")).where("_c >= 2").select("a", "b")
 
 
+def _rest(own: DataFrame, threshold: float) -> DataFrame:
+    """(a, b), a < b: all pairs of keys of different parts that may be similar and that _meetings
+    need not have proposed, from (gram, key, n, part, _size).
+
+    Such a pair shares SHARED grams of its prefixes, but at most one of up to MEET_ALL rows: so it
+    shares SHARED - 1 larger ones, and still one if each key leaves out its SHARED - 2 largest. All
+    members of those meet, in blocks, so that no task holds a whole gram. Of two sets the one whose
+    prefix ends first has all its shared grams in both prefixes, or after its own: the pairs with
+    too few for the threshold never leave the task.
+    """
+    largest = Window.partitionBy("key").orderBy(F.desc("_size"), "gram")
+    many = own.where(F.col("_size") > MEET_ALL).withColumn("_r", F.row_number().over(largest)).where(F.col("_r") > SHARED - 2)
+    blocks = F.ceil(F.col("_size") / BLOCK).cast("int")
+    block = F.pmod(F.xxhash64("key", F.lit("block")), blocks.cast("long")).cast("int")
+    dealt = many.select("gram", "key", block.alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_o"))
+    dealt = dealt.select("gram", "key", "block", F.least("block", "_o").alias("lo"), F.greatest("block", "_o").alias("hi"))
+    held = own.groupBy("key", "n", "part").agg(F.collect_set("gram").alias("grams"))
+
+    def meet(t: pa.Table) -> pa.Table:
+        key, n, part, at = (t.column(c).to_numpy() for c in ("key", "n", "part", "block"))
+        grams = t.column("grams").combine_chunks()
+        row = np.repeat(np.arange(len(key)), np.diff(grams.offsets.to_numpy()))
+        _, gram, often = np.unique(grams.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        row, gram = row[often[gram] > 1], gram[often[gram] > 1]
+        _, gram = np.unique(gram, return_inverse=True)
+        one, two = np.flatnonzero(at == at.min()), np.flatnonzero(at == at.max())
+        shared = np.zeros((len(one), len(two)), np.float32)
+        for start in range(0, int(gram.max(initial=-1)) + 1, 2048):
+            now = (gram >= start) & (gram < start + 2048)
+            has = np.zeros((len(key), 2048), np.float32)
+            has[row[now], gram[now] - start] = 1
+            shared += has[one] @ has[two].T
+        x, y = n[one].astype(np.float64)[:, None], n[two].astype(np.float64)[None, :]
+        left = np.maximum(0, np.ceil(threshold * np.maximum(x, y) - 1e-9) - SHARED)
+        fit = (np.minimum(x, y) >= threshold * np.maximum(x, y) - 1e-9) & (part[one][:, None] != part[two][None, :])
+        i, j = np.nonzero(fit & (shared >= np.maximum(1, np.ceil(threshold / (1 + threshold) * (x + y) - 1e-9) - left)))
+        a, b = key[one][i], key[two][j]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return dealt.join(held, "key").groupBy("gram", "lo", "hi").applyInArrow(meet, "a long, b long").distinct()
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = STAGE_SIMILARITY, shingle: int = STAGE_WORDS) -> DataFrame:
     """One row for each row of docs: id and component_id, over pairs of a Jaccard similarity of
     threshold or more between their sets of word shingles.
@@ -231,9 +282,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A similarity of 0.8 leaves some 10 of 64 fingerprint bits different, for which segments would
     be too short to tell documents apart. So SimHash links only propose the closest pairs;
     the others are proposed by shared grams of their prefixes, first with the least key of each gram,
-    then, between components so found, as _meetings has it. Every pair is verified by its grams. No
-    similar pair is missed unless most grams that it shares are in more than MEET_ALL rows of
-    different components, of which neither is a pivot: all pairs of such a group would be too many. Rows
+    then, between components so found, as _meetings has it, and at last, between those that are
+    still apart, as _rest has it. Every pair is verified by its grams. No similar
+    pair is missed at thresholds of 0.8 or more (lower ones let sets of a few grams share fewer than SHARED); the work for a gram in many rows that stay apart grows with their square. Rows
     without words form one component. component_id is the smallest id, nulls aside. Sets are known
     by a 64-bit hash (key); they are computed anew for each use rather than stored, since they take
     more room than the texts. Repeated rows and ids are rows like any other; other columns are not
@@ -264,11 +315,16 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = settle(verified(pairs))
 
     parts = components(found).select(F.col("node").alias("key"), "component")
-    own = stored(heads.join(parts, "key", "left").select("gram", "key", "n", F.coalesce("component", "key").alias("part")))
-    several = own.groupBy("gram").agg(F.min("part").alias("_lo"), F.max("part").alias("_hi"), F.count(F.lit(1)).alias("_size")).where("_lo < _hi").select("gram", "_size")
-    own = stored(own.join(stored(several), "gram").distinct())
+    own = _apart(heads, parts)
     across = settle(_meetings(own).join(pairs, ["a", "b"], "left_anti").join(long_as("a", "_n"), "a").join(long_as("b", "_m"), "b").where(fit("_n", "_m")).select("a", "b"))
-    found = found.union(verified(across))
+    found = settle(found.union(verified(across)))
+
+    if own.where(F.col("_size") > MEET_ALL).head(1):
+        parts = components(found).select(F.col("node").alias("key"), "component")
+        own = _apart(own, parts)
+        if own.where(F.col("_size") > MEET_ALL).head(1):
+            rest = settle(_rest(own, threshold).join(pairs.union(across), ["a", "b"], "left_anti"))
+            found = found.union(verified(rest))
 
     parts = components(found).withColumnRenamed("node", "key")
     rooted = firsts.join(parts, "key", "left").select("key", "first", F.coalesce("component", "key").alias("root"))
