@@ -46,3 +46,14 @@ def test_similar_pairs_in_large_grams(spark, monkeypatch, block):
     got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs).collect()}
     want = least_of_components(texts)
     assert len(set(want)) > 400 and [got[i] for i in range(len(texts))] == want
+
+
+def test_each_pair_of_large_grams_is_proposed_once(spark, monkeypatch):
+    """Sets that share many large grams are one row, not one for each gram, and none is missed."""
+    monkeypatch.setattr(simhash, "BLOCK", 7)
+    rows = [(g, key, 40, key, 30) for key in range(30) for g in range(20)] + [(100 + key, key, 40, key, 1) for key in range(30)]
+    own = spark.createDataFrame(rows, "gram long, key long, n int, part long, _size long")
+    proposed = simhash._rest(own, 0.8)
+    assert sorted(map(tuple, proposed.collect())) == list(itertools.combinations(range(30), 2))
+    plan = proposed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("FlatMapGroupsInArrow") and "Join" not in plan

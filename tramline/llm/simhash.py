@@ -224,9 +224,9 @@ def _meetings(own: DataFrame) -> DataFrame:
     few, many = own.where(F.col("_size") <= MEET_ALL), own.where(F.col("_size") > MEET_ALL)
     other = few.select("gram", F.col("key").alias("b"), F.col("part").alias("_part"))
     met = few.join(other, "gram").where((F.col("key") < F.col("b")) & (F.col("part") != F.col("_part"))).select(F.col("key").alias("a"), "b")
-    score = settle(many.groupBy("key").agg(F.sum("_size").alias("_score")))
+    scored = many.withColumn("_score", F.sum("_size").over(Window.partitionBy("key")))
     drawn = [F.min_by("key", F.xxhash64("key", F.lit(i))).alias(f"_p{i}") for i in range(DRAWN_ORDERS)]
-    pivots = stored(many.join(score, "key").groupBy("gram").agg(F.max_by("key", "_score").alias("_top"), *drawn))
+    pivots = stored(scored.groupBy("gram").agg(F.max_by("key", "_score").alias("_top"), *drawn))
     some = F.array_distinct(F.array("_top", *[f"_p{i}" for i in range(DRAWN_ORDERS)]))
     starred = many.select("gram", "key").join(pivots.select("gram", some.alias("_some")), "gram").select("key", F.explode("_some").alias("b")).where("key <> b")
     both = met.union(starred.select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b")))
@@ -241,38 +241,56 @@ def _rest(own: DataFrame, threshold: float) -> DataFrame:
     shares SHARED - 1 larger ones, and still one if each key leaves out its SHARED - 2 largest. All
     members of those meet, in blocks, so that no task holds a whole gram. Of two sets the one whose
     prefix ends first has all its shared grams in both prefixes, or after its own: the pairs with
-    too few for the threshold never leave the task.
+    too few for the threshold never leave the task. A pair leaves at the least of the grams at which
+    it meets, so it is one row however many they are.
     """
-    largest = Window.partitionBy("key").orderBy(F.desc("_size"), "gram")
-    many = own.where(F.col("_size") > MEET_ALL).withColumn("_r", F.row_number().over(largest)).where(F.col("_r") > SHARED - 2)
-    blocks = F.ceil(F.col("_size") / BLOCK).cast("int")
-    block = F.pmod(F.xxhash64("key", F.lit("block")), blocks.cast("long")).cast("int")
-    dealt = many.select("gram", "key", block.alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_o"))
-    dealt = dealt.select("gram", "key", "block", F.least("block", "_o").alias("lo"), F.greatest("block", "_o").alias("hi"))
-    held = own.groupBy("key", "n", "part").agg(F.collect_set("gram").alias("grams"))
+    held = own.groupBy("key", "n", "part").agg(F.array_sort(F.collect_list(F.struct((-F.col("_size")).alias("less"), "gram"))).alias("_g"))
+    large = F.slice(F.filter("_g", lambda g: g["less"] < -MEET_ALL), SHARED - 1, 1 << 30)
+    held = held.withColumn("_large", large).where(F.size("_large") > 0)
+    grams = F.concat(F.col("_large.gram"), F.array_except(F.col("_g.gram"), F.col("_large.gram")))
+
+    def tasks(g):
+        """(gram, block, lo, hi) of each block that a key's block meets."""
+        blocks = F.ceil(-g["less"] / BLOCK).cast("int")
+        block = F.pmod(F.xxhash64("key", F.lit("block")), blocks.cast("long")).cast("int")
+        return F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(g["gram"].alias("gram"), block.alias("block"), F.least(block, o).alias("lo"), F.greatest(block, o).alias("hi")))
+
+    dealt = held.select("key", "n", "part", grams.alias("grams"), F.size("_large").alias("m"), F.explode(F.flatten(F.transform("_large", tasks))).alias("_t")).select("key", "n", "part", "grams", "m", "_t.*")
+
+    def alike(one, two, row, gram, rows: int) -> np.ndarray:
+        """How many grams of (row, gram) the rows one and two share."""
+        shared = np.zeros((len(one), len(two)), np.float32)
+        order = np.argsort(gram, kind="stable")
+        row, gram = row[order], gram[order]
+        for start in range(0, int(gram.max(initial=-1)) + 1, 2048):
+            lo, hi = np.searchsorted(gram, (start, start + 2048))
+            has = np.zeros((rows, 2048), np.float32)
+            has[row[lo:hi], gram[lo:hi] - start] = 1
+            shared += has[one] @ has[two].T
+        return shared
 
     def meet(t: pa.Table) -> pa.Table:
-        key, n, part, at = (t.column(c).to_numpy() for c in ("key", "n", "part", "block"))
+        key, n, part, at, m = (t.column(c).to_numpy() for c in ("key", "n", "part", "block", "m"))
         grams = t.column("grams").combine_chunks()
-        row = np.repeat(np.arange(len(key)), np.diff(grams.offsets.to_numpy()))
-        _, gram, often = np.unique(grams.flatten().to_numpy(), return_inverse=True, return_counts=True)
-        row, gram = row[often[gram] > 1], gram[often[gram] > 1]
+        ends = grams.offsets.to_numpy()
+        row, each = np.repeat(np.arange(len(key)), np.diff(ends)), grams.flatten().to_numpy()
+        before = (np.arange(len(each)) - (ends[:-1] - ends[0])[row] < m[row]) & (each < t.column("gram")[0].as_py())
+        _, gram, often = np.unique(each, return_inverse=True, return_counts=True)
+        row, gram, before = row[often[gram] > 1], gram[often[gram] > 1], before[often[gram] > 1]
         _, gram = np.unique(gram, return_inverse=True)
         one, two = np.flatnonzero(at == at.min()), np.flatnonzero(at == at.max())
-        shared = np.zeros((len(one), len(two)), np.float32)
-        for start in range(0, int(gram.max(initial=-1)) + 1, 2048):
-            now = (gram >= start) & (gram < start + 2048)
-            has = np.zeros((len(key), 2048), np.float32)
-            has[row[now], gram[now] - start] = 1
-            shared += has[one] @ has[two].T
         x, y = n[one].astype(np.float64)[:, None], n[two].astype(np.float64)[None, :]
-        left = np.maximum(0, np.ceil(threshold * np.maximum(x, y) - 1e-9) - SHARED)
         fit = (np.minimum(x, y) >= threshold * np.maximum(x, y) - 1e-9) & (part[one][:, None] != part[two][None, :])
-        i, j = np.nonzero(fit & (shared >= np.maximum(1, np.ceil(threshold / (1 + threshold) * (x + y) - 1e-9) - left)))
+        if one[0] == two[0]:
+            fit &= one[:, None] < two[None, :]
+        left = np.maximum(0, np.ceil(threshold * np.maximum(x, y) - 1e-9) - SHARED)
+        fit &= alike(one, two, row, gram, len(key)) >= np.maximum(1, np.ceil(threshold / (1 + threshold) * (x + y) - 1e-9) - left)
+        fit &= alike(one, two, row[before], gram[before], len(key)) == 0
+        i, j = np.nonzero(fit)
         a, b = key[one][i], key[two][j]
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    return dealt.join(held, "key").groupBy("gram", "lo", "hi").applyInArrow(meet, "a long, b long").distinct()
+    return dealt.groupBy("gram", "lo", "hi").applyInArrow(meet, "a long, b long")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = STAGE_SIMILARITY, shingle: int = STAGE_WORDS) -> DataFrame:
@@ -317,14 +335,15 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     parts = components(found).select(F.col("node").alias("key"), "component")
     own = _apart(heads, parts)
     across = settle(_meetings(own).join(pairs, ["a", "b"], "left_anti").join(long_as("a", "_n"), "a").join(long_as("b", "_m"), "b").where(fit("_n", "_m")).select("a", "b"))
-    found = settle(found.union(verified(across)))
+    # The next components start from the stars of these, which are few rounds from their end.
+    found = settle(parts.select(F.col("key").alias("a"), F.col("component").alias("b")).union(verified(across)))
 
     if own.where(F.col("_size") > MEET_ALL).head(1):
         parts = components(found).select(F.col("node").alias("key"), "component")
         own = _apart(own, parts)
         if own.where(F.col("_size") > MEET_ALL).head(1):
             rest = settle(_rest(own, threshold).join(pairs.union(across), ["a", "b"], "left_anti"))
-            found = found.union(verified(rest))
+            found = parts.select(F.col("key").alias("a"), F.col("component").alias("b")).union(verified(rest))
 
     parts = components(found).withColumnRenamed("node", "key")
     rooted = firsts.join(parts, "key", "left").select("key", "first", F.coalesce("component", "key").alias("root"))
