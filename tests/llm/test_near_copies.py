@@ -57,3 +57,35 @@ def test_each_pair_of_large_grams_is_proposed_once(spark, monkeypatch):
     assert sorted(map(tuple, proposed.collect())) == list(itertools.combinations(range(30), 2))
     plan = proposed._jdf.queryExecution().optimizedPlan().toString()
     assert plan.startswith("FlatMapGroupsInArrow") and "Join" not in plan
+
+
+def generated(plan):
+    """Rows that the Generate nodes of an executed plan made."""
+    name, kin = plan.nodeName(), plan.children()
+    within = plan.finalPhysicalPlan() if name.startswith("AdaptiveSparkPlan") else plan.plan() if "QueryStage" in name else None
+    own = plan.metrics().get("numOutputRows").get().value() if name == "Generate" else 0
+    return own + (generated(within) if within is not None else 0) + sum(generated(kin.apply(i)) for i in range(kin.size()))
+
+
+def test_members_of_large_grams_make_a_row_for_each_pivot(spark):
+    """However many grams they share: one row for each pivot that shares two, none for a single gram."""
+    rows = [(g, key, 40, key, 50) for key in range(50) for g in range(20)] + [(99, key, 40, key, 40) for key in range(100, 140)]
+    met = simhash._meetings(spark.createDataFrame(rows, "gram long, key long, n int, part long, _size long"))
+    pairs = {tuple(r) for r in met.collect()}
+    pivots = {x for x in range(50) if sum(x in p for p in pairs) == 49}
+    assert 1 <= len(pivots) <= 7 and pairs == {(min(p, k), max(p, k)) for p in pivots for k in range(50) if k != p}
+    other = met.groupBy().count()
+    other.collect()
+    assert generated(other._jdf.queryExecution().executedPlan()) <= 50 * 7
+
+
+def test_commonest_grams_come_last(spark):
+    """In samples of any size a gram found more often comes after one found less often."""
+    texts = ["a b c d e f"] * 9 + ["b c d e f g"] * 4 + ["one two three four five six seven"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    common, often = simhash.common_grams(docs, len(texts), "doc_id", "text", 5)
+    assert sorted(often.tolist()) == [4, 9, 13] and sorted(common.tolist()) == common.tolist()
+    rare = simhash.shingle_hashes(texts[-1], 5).view("int64")
+    every = sorted([*common.tolist(), *rare.tolist()])
+    first = simhash.prefix(simhash.np.array(every), common, often, 0.2).tolist()
+    assert first == [*sorted(rare.tolist()), *(g for _, g in sorted(zip(often.tolist(), common.tolist())))]

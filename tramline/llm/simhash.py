@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tramline.llm.common import components, settle, small, stored, table
+from tramline.llm.common import components, let, settle, small, stored, table
 
 SEGMENT_BITS = 32
 MAX_DISTANCE = 3
@@ -27,10 +27,10 @@ HASH_SEED = 42
 #: The pipeline's stage: near copies share this much of their shingles of so many words.
 STAGE_WORDS = 5
 STAGE_SIMILARITY = 0.8
-#: Grams found so often among about so many sampled rows come last in prefixes. They set an order, no result.
+#: Grams found so often among about so many sampled rows come last in prefixes, the commonest at the end. They set an order, no result.
 ORDER_SAMPLE = 20_000
-ORDER_COMMON = 16
-ORDER_MOST = 200_000
+ORDER_COMMON = 2
+ORDER_MOST = 250_000
 #: Grams of their prefixes that similar sets share at least.
 SHARED = 4
 #: Rows of a gram that all meet; in larger ones they meet the pivots of so many drawn orders and one more.
@@ -165,30 +165,41 @@ def _key(grams: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(grams.astype("<i8").tobytes(), HASH_SEED) - (1 << 63)
 
 
-def prefix(grams: np.ndarray, common: np.ndarray, threshold: float) -> np.ndarray:
-    """The first n - ceil(threshold n) + SHARED of n grams, common ones last; both are in ascending order.
+def prefix(grams: np.ndarray, common: np.ndarray, often: np.ndarray, threshold: float) -> np.ndarray:
+    """The first n - ceil(threshold n) + SHARED of n grams, common ones last in the order of their counts (often); both are in ascending order.
 
     Two sets with a Jaccard similarity of threshold or more share at least SHARED grams of their
     prefixes (or all that they must share, if that is fewer) in any order that is the same for all
     sets, so `common` changes no result, only the number of pairs.
     """
-    late = np.zeros(len(grams), bool)
+    count = np.zeros(len(grams), np.int64)
     if len(common):
         at = np.minimum(np.searchsorted(common, grams), len(common) - 1)
-        late = common[at] == grams
-    return np.concatenate((grams[~late], grams[late]))[: len(grams) - _least(len(grams), threshold) + SHARED]
+        count = np.where(common[at] == grams, often[at], 0)
+    return grams[np.argsort(count, kind="stable")[: len(grams) - _least(len(grams), threshold) + SHARED]]
 
 
 def _least(n: int, threshold: float) -> int:
     return math.ceil(threshold * n - 1e-9)
 
 
-def common_grams(docs: DataFrame, rows: int, id_col: str, text_col: str, shingle: int) -> np.ndarray:
-    """The grams that are frequent in a sample of about ORDER_SAMPLE rows, ORDER_MOST at most, in ascending order."""
+def common_grams(docs: DataFrame, rows: int, id_col: str, text_col: str, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """The grams found ORDER_COMMON times or more in a sample of about ORDER_SAMPLE rows, in ascending order, and their counts.
+
+    Only those from the least count on at which they are ORDER_MOST or fewer.
+    """
     picked = docs.where(F.pmod(F.xxhash64(F.col(id_col), F.lit("order")), F.lit(max(1, rows // ORDER_SAMPLE))) == 0)
     grams = _sets(picked, ["grams"], "array<long>", lambda _, each: (each,), id_col, text_col, shingle).select(F.explode("grams").alias("gram"))
-    often = grams.groupBy("gram").count().where(F.col("count") >= ORDER_COMMON).orderBy(F.desc("count"), "gram").limit(ORDER_MOST)
-    return np.sort(often.select("gram").toArrow().column("gram").to_numpy())
+    found = stored(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("often")).where(F.col("often") >= ORDER_COMMON))
+    total, least = 0, None
+    for often, some in sorted(map(tuple, found.groupBy("often").count().collect()), reverse=True):
+        if (total := total + some) > ORDER_MOST:
+            break
+        least = often
+    held = found.where(F.lit(False) if least is None else F.col("often") >= least).toArrow()
+    common, often = held.column("gram").to_numpy(), held.column("often").to_numpy()
+    order = np.argsort(common)
+    return common[order], np.minimum(often[order], 65535).astype(np.uint16)
 
 
 def similar(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, threshold: float, repeated: bool, id_col: str, text_col: str, shingle: int) -> DataFrame:
@@ -215,11 +226,12 @@ def _apart(heads: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def _meetings(own: DataFrame) -> DataFrame:
-    """(a, b), a < b: pairs of keys of different parts that share two grams or more, from (gram, key, n, part, _size).
+    """(a, b), a < b: pairs of keys of different parts, from (gram, key, n, part, _size).
 
-    All members of a gram of up to MEET_ALL rows meet; those of a larger one meet its pivots: the
-    member that shares most with others, and the first of some drawn orders of all keys. So a gram
-    of s rows makes at most some 8 s pairs.
+    All members of a gram of up to MEET_ALL rows meet; those that share two such grams are a pair.
+    The members of a larger one are given its pivots: the member that shares most with others, and
+    the first of some drawn orders of all keys. A key makes a pair with each pivot that two of its
+    larger grams have; so it makes one row for each, however many grams they share.
     """
     few, many = own.where(F.col("_size") <= MEET_ALL), own.where(F.col("_size") > MEET_ALL)
     other = few.select("gram", F.col("key").alias("b"), F.col("part").alias("_part"))
@@ -228,9 +240,11 @@ def _meetings(own: DataFrame) -> DataFrame:
     drawn = [F.min_by("key", F.xxhash64("key", F.lit(i))).alias(f"_p{i}") for i in range(DRAWN_ORDERS)]
     pivots = stored(scored.groupBy("gram").agg(F.max_by("key", "_score").alias("_top"), *drawn))
     some = F.array_distinct(F.array("_top", *[f"_p{i}" for i in range(DRAWN_ORDERS)]))
-    starred = many.select("gram", "key").join(pivots.select("gram", some.alias("_some")), "gram").select("key", F.explode("_some").alias("b")).where("key <> b")
-    both = met.union(starred.select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b")))
-    return both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("_c")).where("_c >= 2").select("a", "b")
+    given = many.select("gram", "key").join(pivots.select("gram", some.alias("_some")), "gram").groupBy("key").agg(F.flatten(F.collect_list("_some")).alias("_all"))
+    twice = let(F.array_sort("_all"), lambda each: F.array_distinct(F.filter(each, lambda x, i: F.get(each, i + 1) == x)))
+    starred = given.select("key", F.explode(twice).alias("b")).where("key <> b")
+    often = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("_c")).where("_c >= 2").select("a", "b")
+    return often.union(starred.select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b"))).distinct()
 
 
 def _rest(own: DataFrame, threshold: float) -> DataFrame:
@@ -311,11 +325,12 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     told = [id_col, text_col, shingle]
     each = stored(_sets(docs, ["key", "fp", "n"], "long long int", lambda hashes, grams: (_key(grams), simhash(hashes), len(grams)), *told))
     firsts = settle(each.groupBy("key").agg(F.min(id_col).alias("first"), F.min("fp").alias("fp"), F.min("n").alias("n")))
-    common = common_grams(docs, each.count(), *told)
-    parts_of = _sets(docs, ["key", "n", "prefix"], "long int array<long>", lambda _, grams: (_key(grams), len(grams), prefix(grams, common, threshold)), *told)
+    common, often = common_grams(docs, each.count(), *told)
+    parts_of = _sets(docs, ["key", "n", "prefix"], "long int array<long>", lambda _, grams: (_key(grams), len(grams), prefix(grams, common, often, threshold)), *told)
     heads = parts_of.select("key", "n", F.explode("prefix").alias("gram"))
     met = heads.groupBy("gram").agg(F.min("key").alias("pivot"), F.max("key").alias("_last")).where("pivot < _last").select("gram", "pivot")
-    heads = stored(heads.join(stored(met), "gram"))
+    # Copies have one key: their rows of a gram are one.
+    heads = stored(heads.join(stored(met), "gram").dropDuplicates(["gram", "key"]))
 
     fps = settle(firsts.groupBy("fp").agg(F.min("key").alias("least")))
     alike = firsts.select("key", "fp").join(fps, "fp").where("key <> least").select(F.col("least").alias("a"), F.col("key").alias("b"))
