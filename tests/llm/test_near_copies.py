@@ -89,3 +89,11 @@ def test_commonest_grams_come_last(spark):
     every = sorted([*common.tolist(), *rare.tolist()])
     first = simhash.prefix(simhash.np.array(every), common, often, 0.2).tolist()
     assert first == [*sorted(rare.tolist()), *(g for _, g in sorted(zip(often.tolist(), common.tolist())))]
+
+
+def test_exploded_keys_are_not_broadcast(spark):
+    """Spark sizes an exploded array as one entry, so that some 35 rows for each of 300,000 fingerprints seem to fit a broadcast."""
+    fps = spark.range(300_000).selectExpr("xxhash64(id) AS fp")
+    assert "Broadcast" not in simhash.links(fps)._jdf.queryExecution().executedPlan().toString()
+    pairs = simhash.links(spark.createDataFrame([(0,), (7,), (-1,), (1 << 40,), (15,)], "fp long"))
+    assert {tuple(sorted(r)) for r in pairs.collect()} == {(0, 7), (0, 1 << 40), (7, 15)}

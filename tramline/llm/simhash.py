@@ -118,7 +118,8 @@ def links(fps: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
     whole = F.pmod(F.shiftrightunsigned("key", SEGMENT_BITS), F.lit(SEGMENT_BITS + 1)) == SEGMENT_BITS
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_distance
     left, right = side(0, "a"), side(1, "b")
-    return left.join(right, "key").where(near & (~whole | (F.col("a") < F.col("b")))).select("a", "b")
+    # Spark sizes an exploded array as one entry: a side of 35 rows for each fingerprint would be broadcast as if it had one.
+    return left.join(right.hint("merge"), "key").where(near & (~whole | (F.col("a") < F.col("b")))).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_distance: int = MAX_DISTANCE) -> DataFrame:
